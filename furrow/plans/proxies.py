@@ -300,7 +300,8 @@ def year_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _orders_store(spark, sf_dir, parts):
     path = scratch_path(spark, "orders-" + "-".join(parts))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    partitioned.write_partitioned(orders, path, "o_orderdate", parts, sort_cols=["o_orderkey"])
+    # a fresh folder: no partitions to preserve, so no dynamic-overwrite staging
+    partitioned.write_partitioned(orders, path, "o_orderdate", parts, sort_cols=["o_orderkey"], dynamic=False)
     return path
 
 

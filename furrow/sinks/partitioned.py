@@ -18,19 +18,26 @@ def with_date_parts(df: DataFrame, date_col: str, parts: Sequence[str] = ("year"
 
 def write_partitioned(df: DataFrame, path: str, date_col: str,
                       parts: Sequence[str] = ("year", "month", "day"),
-                      sort_cols: Sequence[str] = (), mode: str = "overwrite") -> None:
+                      sort_cols: Sequence[str] = (), mode: str = "overwrite",
+                      dynamic: bool = True, num_tasks: int | None = None) -> None:
     """One folder per ``year/month/day`` (op 2.1) or ``year`` (op 2.2).
 
-    Overwrite is dynamic: only the partitions present in ``df`` are replaced,
-    so re-running a day is idempotent and other days survive.  Rows are
-    clustered by partition values before the write (one file set per
-    partition, not one per task) and sorted inside files for min/max pruning.
+    Rows are range-partitioned on ``(date, sort_cols)``: each write task owns
+    a contiguous span of days (few files per folder, tasks in parallel), and
+    a hot day is split over several tasks by the secondary key instead of
+    landing in one.  Files are sorted for min/max pruning.  With ``dynamic``
+    (the default) an overwrite replaces only the partitions present in
+    ``df``, so re-running a day is idempotent and other days survive; a fresh
+    folder can skip the staging step with ``dynamic=False``.
     """
     parts = list(parts)
-    out = with_date_parts(df, date_col, parts).repartition(*[F.col(p) for p in parts])
-    if sort_cols:
-        out = out.sortWithinPartitions(*parts, *sort_cols)
-    (out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    spark = df.sparkSession
+    n = num_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tie = [F.col(c) for c in sort_cols] or [F.xxhash64(*[F.col(c) for c in df.columns])]
+    out = (with_date_parts(df, date_col, parts)
+           .repartitionByRange(n, F.col(date_col), *tie)
+           .sortWithinPartitions(*parts, *sort_cols))
+    (out.write.mode(mode).option("partitionOverwriteMode", "dynamic" if dynamic else "static")
      .partitionBy(*parts).parquet(path))
 
 

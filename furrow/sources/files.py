@@ -129,7 +129,7 @@ def read_catalog_xml(spark: SparkSession, path: str, row_tag: str = "dcat:Datase
         F.coalesce(F.col("`_xml:id`"), F.lit("Unknown")).alias("id"),
         *[F.coalesce(F.col(f"`{src}`"), F.lit("")).alias(dst) for dst, src in CATALOG_FIELDS.items()],
         subjects.alias("subjects"),
-        F.col("`dcat:distribution`")[0]["`dcat:Distribution`"]["`dcat:downloadURL`"].alias("download_url"))
+        F.col("`dcat:distribution`")[0].getField("dcat:Distribution").getField("dcat:downloadURL").alias("download_url"))
 
 
 def param_sql(spark: SparkSession, query: str, args: Mapping[str, object] | None = None,

@@ -67,9 +67,16 @@ def neighbors(df: DataFrame, keys: Sequence[str], order: Sequence, values: Seque
                         F.struct((F.col("__off") + F.col(f"__first_{v}.p")).alias("p"), F.col(f"__first_{v}.v").alias("v")))
         carried += [F.last(glast, ignorenulls=True).over(ws.rowsBetween(_UNB_P, -1)).alias(f"__cin_{v}"),
                     F.first(gfirst, ignorenulls=True).over(ws.rowsBetween(1, _UNB_F)).alias(f"__cout_{v}")]
-    summ = summ.select(*keys, ck, "__off", *carried)
-
-    joined = local.join(summ, [*keys, ck], "left")
+    summ = summ.select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.col(ck).alias("__s_chunk"),
+                       "__off", *carried)
+
+    # Null-safe keys: no inferred not-null filter lands on one branch only, so
+    # both branches keep the same shuffle of the input, which Spark reuses.
+    cond = None
+    for k in [*keys, ck]:
+        c = F.col(k).eqNullSafe(F.col(f"__s_{k}" if k != ck else "__s_chunk"))
+        cond = c if cond is None else cond & c
+    joined = local.join(summ, cond, "left")
     out_cols = [c for c in df.columns]
     sel = [*[F.col(c) for c in out_cols], (F.col("__off") + F.col("__lpos")).alias(pos_col)]
     for v in values:

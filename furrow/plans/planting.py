@@ -26,7 +26,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.session import bounded_broadcast
 
 # Defaults of the reference planting query.
 DEFAULT_REF_DATE = "2026-01-31"
@@ -111,10 +110,14 @@ def planting_windows(daily: DataFrame, plants: DataFrame, requests: DataFrame,
     plant_cols = ["nom_du_plante", "temp_min_opt", "temp_max_opt", "temp_min_abs",
                   "temp_max_abs", "crop_cycle_min"]
     dim = plants.select(*plant_cols)
-    # The distinct cycle lengths of the (bounded) plant dimension drive one lead each.
-    cycles = sorted({r[0] for r in dim.select("crop_cycle_min").distinct().collect() if r[0] is not None})
+    # One small job over the plant dimension: its size (checked before it is
+    # broadcast) and its distinct cycle lengths, which drive one lead each.
+    stats = dim.agg(F.count(F.lit(1)).alias("n"),
+                    F.array_sort(F.collect_set("crop_cycle_min")).alias("cycles")).first()
+    cycles = list(stats["cycles"] or [])
+    small = stats["n"] <= max_plants
     req = (requests.select(*loc_cols, "nom_du_plante").distinct()
-           .join(bounded_broadcast(dim, max_plants), "nom_du_plante"))
+           .join(F.broadcast(dim) if small else dim, "nom_du_plante"))
 
     a = F.col("daytime_temp_avg")
     flags = (daily.join(req, list(loc_cols))

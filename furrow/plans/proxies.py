@@ -530,22 +530,17 @@ def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 9.22-9.30 over whole documents."""
-    docs = table(spark, sf_dir, "documents")
+    from furrow.operators.textstats import text_profile
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prof = text_profile(docs, "text")
     t = F.col("text")
-    return docs.select(
-        "doc_id",
-        TX.word_count(t).alias("n_words"),
-        TX.sentence_count(t).alias("n_sentences"),
-        TX.digit_token_count(t).alias("n_digit_tokens"),
-        TX.marker_hits(t, TX.UNIT_MARKERS).alias("unit_hits"),
-        TX.marker_hits(t, TX.CAUTION_MARKERS).alias("caution_hits"),
-        TX.detail_dense(t).alias("dense"),
-        TX.too_long(t).alias("too_long"),
+    return prof.select(
+        "doc_id", "n_words", "n_sentences", "n_digit_tokens", "unit_hits", "caution_hits", "dense", "too_long",
         F.length(TX.truncate(t)).alias("truncated_len"),
-        F.length(TX.collapse_ws(t)).alias("collapsed_len"),
+        F.length("norm").alias("collapsed_len"),
         F.coalesce(TX.control_kind(t), F.lit("none")).alias("kind"),
         F.length(TX.after_marker(t, "|")).alias("after_bar_len"),
-        F.substring(TX.strip_list_prefix(TX.collapse_ws(t)), 1, 40).alias("head"))
+        F.substring(TX.strip_list_prefix("norm"), 1, 40).alias("head"))
 
 
 # --------------------------------------------------------------------------- json / dates / math

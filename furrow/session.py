@@ -77,3 +77,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 def local_dir_exists(path: str) -> bool:
     return os.path.isdir(path.replace("file:", ""))
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Round-robin repartition before CPU-heavy row-local work, only when the
+    input has fewer partitions than the cluster has cores (a few large files
+    or row groups).  A scan of many files is left as it is: no shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(target)

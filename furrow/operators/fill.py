@@ -106,9 +106,9 @@ def _local_cols(w, values: Sequence[str], pos: str, strict: bool = False) -> lis
     return cols
 
 
-def _finish(df: DataFrame, values: Sequence[str], exprs: dict[str, Column], keep_pos: bool) -> DataFrame:
-    keep = [c for c in df.columns if not c.startswith("__") or (keep_pos and c == "__pos")]
-    return df.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in keep])
+def _finish(nb: DataFrame, columns: Sequence[str], exprs: dict[str, Column]) -> DataFrame:
+    """Back to the input's columns, filled columns replaced."""
+    return nb.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in columns])
 
 
 def interpolate_linear(df: DataFrame, keys: Sequence[str], order: Sequence, values: Sequence[str],
@@ -125,20 +125,20 @@ def interpolate_linear(df: DataFrame, keys: Sequence[str], order: Sequence, valu
         exprs[v] = (F.when(F.col(v).isNotNull(), F.col(v))
                     .when(p.isNull(), q).when(q.isNull(), p)
                     .otherwise(p + slope * (F.col("__pos") - ip).cast("double")))
-    return _finish(nb, values, exprs, False)
+    return _finish(nb, df.columns, exprs)
 
 
 def ffill(df: DataFrame, keys: Sequence[str], order: Sequence, values: Sequence[str], chunk=None) -> DataFrame:
     """Forward fill only; leading nulls stay null (op 6.5)."""
     nb = neighbors(df, keys, order, values, chunk)
-    return _finish(nb, values, {v: F.col(_names(v)["prev"]) for v in values}, False)
+    return _finish(nb, df.columns, {v: F.col(_names(v)["prev"]) for v in values})
 
 
 def ffill_bfill(df: DataFrame, keys: Sequence[str], order: Sequence, values: Sequence[str], chunk=None) -> DataFrame:
     """Forward fill, then backward fill the leading gap (op 6.4)."""
     nb = neighbors(df, keys, order, values, chunk)
-    return _finish(nb, values, {v: F.coalesce(F.col(_names(v)["prev"]), F.col(_names(v)["next"]))
-                                for v in values}, False)
+    return _finish(nb, df.columns, {v: F.coalesce(F.col(_names(v)["prev"]), F.col(_names(v)["next"]))
+                                    for v in values})
 
 
 def carry_forward_before(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str,

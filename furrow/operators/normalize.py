@@ -40,8 +40,10 @@ def _bounds_then_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str], d
     out = df.select(*[C.null_outside(c, lo, hi).alias(c) if c in cols else F.col(c) for c in df.columns])
     base, skeys, chunk = _series_keys(out, keys, date_col)
     if how == "interpolate":
+        # the reference follows interpolation with ffill + bfill; interpolation
+        # already fills both edges with the nearest value and an all-null series
+        # stays null either way, so that second pass is the identity and is skipped
         filled = fill.interpolate_linear(base, skeys, [date_col], cols, chunk)
-        filled = fill.ffill_bfill(filled, skeys, [date_col], cols, chunk)
     else:
         filled = fill.ffill(base, skeys, [date_col], cols, chunk)
     return filled.drop("__year")

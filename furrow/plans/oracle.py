@@ -511,3 +511,85 @@ select conv_id, turn, retry,
                                            rows between unbounded preceding and 1 preceding) as previous_request
 from c
 """
+
+
+def _fill_ctes(src: str, part: str, order: str, cols, name: str) -> str:
+    """CTEs ``{name}_p`` / ``{name}`` adding, per column c: __pv_c, __pp_c, __nv_c, __np_c and __pos."""
+    nb = []
+    for c in cols:
+        nb += [f"last_value({c} ignore nulls) over wb as __pv_{c}",
+               f"last_value(case when {c} is not null then __pos end ignore nulls) over wb as __pp_{c}",
+               f"first_value({c} ignore nulls) over wf as __nv_{c}",
+               f"first_value(case when {c} is not null then __pos end ignore nulls) over wf as __np_{c}"]
+    return (f"{name}_p as (select *, row_number() over (partition by {part} order by {order}) as __pos from {src}),\n"
+            f"{name} as (select *, {', '.join(nb)} from {name}_p\n"
+            f"  window wb as (partition by {part} order by {order} rows between unbounded preceding and current row),\n"
+            f"         wf as (partition by {part} order by {order} rows between current row and unbounded following))")
+
+
+def _interp(c: str) -> str:
+    return (f"case when {c} is not null then {c} when __pv_{c} is null then __nv_{c} when __nv_{c} is null then __pv_{c} "
+            f"else __pv_{c} + (__nv_{c} - __pv_{c}) / (__np_{c} - __pp_{c}) * (__pos - __pp_{c}) end")
+
+
+ORACLE["normalize_daily"] = f"""
+with d as (select l_returnflag as location, cast(l_shipdate as date) as date,
+                  avg(l_discount) * 1000 - 30 as m, max(l_tax) * 1000 - 20 as x, min(l_discount) * 1000 as n,
+                  sum(l_quantity) - 100 as p from lineitem group by 1, 2),
+s as (select location, date, m, p, case when n > x then x else n end as n2, case when n > x then n else x end as x2 from d),
+r as (select location, date, p, n2, x2, case when m < n2 or m > x2 then (n2 + x2) / 2 else m end as m2 from s),
+b as (select location, date, year(date) as yr, p,
+             case when m2 between -50 and 60 then m2 end as tm,
+             case when x2 between -50 and 60 then x2 end as tx,
+             case when n2 between -50 and 60 then n2 end as tn from r),
+{_fill_ctes("b", "location, yr", "date", ["tm", "tx", "tn"], "q")}
+select location, date, round({_interp("tm")}, 6) as temperature_2m_mean,
+       round({_interp("tx")}, 6) as temperature_2m_max, round({_interp("tn")}, 6) as temperature_2m_min,
+       round(case when p < 0 or p > 500 then 0.0 else p end, 6) as precipitation_sum,
+       date '2024-06-01' as extraction_date, 'openmeteo' as source
+from q
+"""
+
+ORACLE["normalize_hourly"] = f"""
+with b as (select user_id as location, ts as date, year(ts) as yr,
+                  case when value * 2 + 850 between 870 and 1090 then value * 2 + 850 end as sp from events),
+{_fill_ctes("b", "location, yr", "date", ["sp"], "q")}
+select location, date, round(__pv_sp, 6) as surface_pressure, date '2024-06-01' as extraction_date,
+       'openmeteo' as source
+from q
+"""
+
+ORACLE["normalize_point_series"] = f"""
+with l as (select user_id as location, cast(ts as date) as date, event_type, event_id,
+                  case when value > 450 then -999.0
+                       when event_type = 'click' then value - 40
+                       when event_type = 'error' then value * 1.5 - 30
+                       when event_type = 'signup' then value - 20
+                       when event_type = 'view' then value / 10
+                       else value end as v from events),
+f as (select * from (select *, row_number() over (partition by location, date, event_type order by event_id) as rn from l)
+      where rn = 1),
+w as (select location, date,
+             max(v) filter (where event_type = 'click') as t2m,
+             max(v) filter (where event_type = 'error') as prec,
+             max(v) filter (where event_type = 'purchase') as rh,
+             max(v) filter (where event_type = 'signup') as ws,
+             max(v) filter (where event_type = 'view') as asky,
+             cast(null as double) as csky
+      from f group by 1, 2),
+s as (select location, date, year(date) as yr,
+             case when t2m <> -999 and t2m between -50 and 60 then t2m end as t2m,
+             case when prec <> -999 then prec end as prec, case when rh <> -999 then rh end as rh,
+             case when ws <> -999 then ws end as ws, case when asky <> -999 then asky end as asky, csky from w),
+{_fill_ctes("s", "location, yr", "date", ["t2m"], "q")},
+c as (select location, date, {_interp("t2m")} as t2m,
+             case when prec < 0 or prec > 500 then 0.0 else prec end as prec,
+             case when rh < 0 then 0.0 when rh > 100 then 100.0 else rh end as rh,
+             ws, case when asky > csky then csky else asky end as asky, csky from q)
+select location, date, round(t2m, 6) as temperature_2m_mean, round(prec, 6) as precipitation_sum,
+       round(rh, 6) as relative_humidity_2m, round(case when ws < 0 then 0.0 else ws end, 6) as wind_speed_2m,
+       round(case when asky < 0 then 0.0 else asky end, 6) as all_sky_surface_shortwave_radiation_downward,
+       round(case when csky < 0 then 0.0 else csky end, 6) as clear_sky_surface_shortwave_radiation_downward,
+       date '2024-06-01' as extraction_date, 'nasapower' as source
+from c
+"""

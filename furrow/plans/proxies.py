@@ -99,10 +99,11 @@ def map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrays_zip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 1.6: parallel-array payloads (one per user and hour) to rows."""
+    """Op 1.6: parallel-array payloads (one per user and id block) to rows."""
     ev = _events(spark, sf_dir)
     rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
-    pl = (ev.groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(rows.alias("r"))
+    # one payload per user and block of 1,000 event ids: bounded by construction
+    pl = (ev.groupBy("user_id", F.floor(F.col("event_id") / 1000).alias("block")).agg(rows.alias("r"))
           .select("user_id", F.transform("r", lambda x: F.date_format(x["ts"], "yyyy-MM-dd'T'HH:mm:ss")).alias("time"),
                   F.col("r.event_id").alias("event_id"), F.col("r.value").alias("value")))
     return payloads.arrays_to_rows(pl, "time", ["event_id", "value"], ["user_id"])
@@ -395,10 +396,11 @@ def upsert_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 10.1: order files landed per year, consumed by a file stream two
-    files per micro-batch, merged by customer (latest order wins)."""
+    files per micro-batch, merged by customer (latest order wins) into a
+    table partitioned by a bucket of the customer key."""
     from pyspark.sql import types as T
 
-    from furrow.streaming.incremental import SnapshotTable
+    from furrow.streaming.incremental import key_bucket
     from furrow.streaming.incremental import stream_upsert as run
     landing = scratch_path(spark, "landing")
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
@@ -406,10 +408,10 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T.StructType([T.StructField("o_custkey", T.LongType()), T.StructField("o_orderkey", T.LongType()),
                            T.StructField("o_orderdate", T.TimestampNTZType()),
                            T.StructField("o_totalprice", T.DoubleType())])
-    target = SnapshotTable(spark, scratch_path(spark, "orders-latest"), schema)
-    run(spark, landing + "/*", schema, target, ["o_custkey"], ["o_orderdate", "o_orderkey"],
-        max_files_per_trigger=2)
-    return target.read()
+    target = scratch_path(spark, "orders-latest")
+    run(spark, landing + "/*", schema, target, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["bucket"],
+        clean=lambda b: b.withColumn("bucket", key_bucket(["o_custkey"], 16)), max_files_per_trigger=2)
+    return spark.read.parquet(target).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
 
 
 def get_or_create_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -645,6 +647,61 @@ def retry_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.previous_requests(table(spark, sf_dir, "conversations"))
 
 
+# --------------------------------------------------------------------------- normaliser pipelines
+AS_OF = "2024-06-01"
+
+
+def normalize_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily normaliser on a lineitem daily series per
+    return flag: swap, mean repair, bounds, interpolation, precipitation."""
+    from furrow.operators.normalize import openmeteo_daily
+    daily = _lineitem(spark, sf_dir).groupBy(F.col("l_returnflag").alias("location"),
+                                             F.to_date("l_shipdate").alias("date")).agg(
+        (F.avg("l_discount") * 1000 - 30).alias("temperature_2m_mean"),
+        (F.max("l_tax") * 1000 - 20).alias("temperature_2m_max"),
+        (F.min("l_discount") * 1000).alias("temperature_2m_min"),
+        (F.sum("l_quantity") - 100).alias("precipitation_sum"))
+    out = openmeteo_daily(daily, AS_OF, ["location"])
+    return out.select("location", "date", *[F.round(c, 6).alias(c) for c in
+                      ("temperature_2m_mean", "temperature_2m_max", "temperature_2m_min", "precipitation_sum")],
+                      "extraction_date", "source")
+
+
+def normalize_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly normaliser: pressure bounds then forward fill per station-year."""
+    from furrow.operators.normalize import openmeteo_hourly
+    ev = _events(spark, sf_dir).select(F.col("user_id").alias("location"), F.col("ts").alias("date"),
+                                       (F.col("value") * 2 + 850).alias("surface_pressure"))
+    out = openmeteo_hourly(ev, AS_OF, ["location"])
+    return out.select("location", "date", F.round("surface_pressure", 6).alias("surface_pressure"),
+                      "extraction_date", "source")
+
+
+# Event types read as point-series parameter codes in this proxy.
+EVENT_CODES = {"click": "T2M", "error": "PRECTOTCORR", "purchase": "RH2M", "signup": "WS2M",
+               "view": "ALLSKY_SFC_SW_DWN"}
+
+
+def normalize_point_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point-series normaliser: dedup, pivot, rename, sentinel, bounds,
+    interpolation, precipitation, radiation cap, humidity clip, floors."""
+    from furrow.operators.normalize import nasapower_daily
+    ev = _events(spark, sf_dir)
+    code = F.create_map(*[x for k, v in EVENT_CODES.items() for x in (F.lit(k), F.lit(v))])[F.col("event_type")]
+    v = F.col("value")
+    scaled = (F.when(v > 450, F.lit(-999.0))
+              .when(F.col("event_type") == "click", v - 40)
+              .when(F.col("event_type") == "error", v * 1.5 - 30)
+              .when(F.col("event_type") == "signup", v - 20)
+              .when(F.col("event_type") == "view", v / 10)
+              .otherwise(v))
+    long = ev.select(F.col("user_id").alias("location"), F.to_date("ts").alias("date"),
+                     code.alias("parameter"), scaled.alias("value"), "event_id")
+    out = nasapower_daily(long, AS_OF, ["location"], order_col="event_id")
+    metrics = list(reshape.POINT_SERIES_NAMES.values())
+    return out.select("location", "date", *[F.round(c, 6).alias(c) for c in metrics], "extraction_date", "source")
+
+
 REGISTRY = {
     "planting_window": planting_window,
     "hourly_rollup": hourly_rollup,
@@ -701,4 +758,7 @@ REGISTRY = {
     "pixel_mean": pixel_mean,
     "last_turns": last_turns,
     "retry_resolve": retry_resolve,
+    "normalize_daily": normalize_daily,
+    "normalize_hourly": normalize_hourly,
+    "normalize_point_series": normalize_point_series,
 }

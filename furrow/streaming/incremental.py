@@ -4,11 +4,18 @@ New landed files are picked up by a file stream (``trigger(availableNow)``
 processes everything present, then stops, like a scheduled daily run).  Each
 micro-batch is cleaned by the caller's batch function and merged into the
 target by key, latest extraction wins, so late or repeated files replace
-earlier rows.  The target is a set of snapshot folders; each batch writes a
-new snapshot and the committed snapshot name is recorded in a small pointer
-file, so a failed batch never leaves a half-written table and a replayed
-batch (same ``batch_id``) is idempotent.  Stream progress lives in the
-checkpoint location below ``spark.checkpoint.dir``.
+earlier rows.
+
+The target is a partitioned Parquet table whose partition columns are a
+function of the key (e.g. ``year(date)`` for a ``(location, date)`` key, or a
+hash bucket of the key), so a key never spans partitions.  A batch reads back
+only the partitions it touches (semi-join on the touched partition values,
+pruned at the scan), merges them with the new rows, checkpoints the merged
+rows into the shared checkpoint folder (the write below no longer depends on
+the files it replaces), then replaces just those partitions with dynamic
+partition overwrite.  Replaying a batch after a failure gives the same table
+(the merge is idempotent).  Stream progress lives in the checkpoint location
+below ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -16,73 +23,59 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.session import scratch_path
+from furrow.session import bounded_broadcast, checkpoint_root, scratch_path
 from furrow.sinks.upsert import upsert
 
 
-class SnapshotTable:
-    """Parquet table whose current version is named by a pointer file."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def current(self) -> str | None:
-        jvm, fs = self._fs()
-        ptr = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_CURRENT")
-        if not fs.exists(ptr):
-            return None
-        stream = fs.open(ptr)
-        try:
-            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
-            return reader.readLine()
-        finally:
-            stream.close()
-
-    def read(self) -> DataFrame:
-        cur = self.current()
-        if cur is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{cur}")
-
-    def commit(self, df: DataFrame, version: str) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{version}")
-        jvm, fs = self._fs()
-        tmp = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_CURRENT.tmp")
-        out = fs.create(tmp, True)
-        try:
-            out.write(bytearray(version.encode()))
-        finally:
-            out.close()
-        dst = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_CURRENT")
-        fs.delete(dst, False)
-        fs.rename(tmp, dst)
-
-
-def stream_upsert(spark: SparkSession, source_path: str, source_schema: T.StructType,
-                  target: SnapshotTable, keys: Sequence[str], order: Sequence[str],
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def upsert_partitions(incoming: DataFrame, path: str, keys: Sequence[str], order: Sequence[str],
+                      part_cols: Sequence[str], max_touched: int = 1_000_000) -> None:
+    """Merge ``incoming`` into the partitioned table at ``path``, rewriting
+    only the partitions it touches."""
+    spark = incoming.sparkSession
+    part_cols = list(part_cols)
+    if _exists(spark, path):
+        touched = incoming.select(*part_cols).distinct()
+        current = spark.read.parquet(path).join(bounded_broadcast(touched, max_touched), part_cols, "left_semi")
+        merged = upsert(current.select(*incoming.columns), incoming, keys, order)
+    else:
+        merged = upsert(incoming.limit(0), incoming, keys, order)
+    checkpoint_root(spark)
+    merged = merged.checkpoint(eager=True)
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*part_cols).parquet(path))
+
+
+def stream_upsert(spark: SparkSession, source_path: str, source_schema: T.StructType, target_path: str,
+                  keys: Sequence[str], order: Sequence[str], part_cols: Sequence[str],
                   clean: Callable[[DataFrame], DataFrame] = lambda d: d,
                   checkpoint: str | None = None, max_files_per_trigger: int | None = None,
                   fmt: str = "parquet") -> None:
-    """Run the incremental load until every available file is processed."""
+    """Run the incremental load until every available file is processed.
+
+    ``clean`` must add the ``part_cols`` (derived from the key)."""
     reader = spark.readStream.schema(source_schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source_path)
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        incoming = clean(batch)
-        current = target.read()
-        merged = upsert(current, incoming.select(*current.columns), keys, order)
-        target.commit(merged, f"v{batch_id:012d}")
+        upsert_partitions(clean(batch), target_path, keys, order, part_cols)
 
     q = (stream.writeStream.foreachBatch(merge_batch)
          .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def key_bucket(keys: Sequence[str], buckets: int = 64) -> F.Column:
+    """A partition column that is a function of the key (for keys without a date)."""
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")

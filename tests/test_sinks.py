@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from furrow.operators import keys
 from furrow.sinks import align, partitioned, upsert
-from furrow.streaming.incremental import SnapshotTable
 
 
 def _days(spark, days, v):
@@ -85,9 +84,23 @@ def test_dense_index_and_get_or_create(spark):
     assert got == [(1, "a"), (5, "b"), (6, "c"), (7, "unknown")]
 
 
-def test_snapshot_table_commit(spark, tmp_dir):
-    t = SnapshotTable(spark, tmp_dir + "/snap", _days(spark, [1], 1).schema)
-    assert t.read().count() == 0
-    t.commit(_days(spark, [1, 2], 1), "v1")
-    t.commit(_days(spark, [3], 1), "v2")
-    assert t.current() == "v2" and t.read().count() == 1
+def test_upsert_partitions_rewrites_touched_only(spark, tmp_dir):
+    import glob
+    import os
+
+    from furrow.streaming.incremental import upsert_partitions
+    path = tmp_dir + "/facts"
+    base = spark.createDataFrame([(1, dt.date(2023, 5, 1), 1.0, dt.date(2024, 1, 1), 2023),
+                                  (1, dt.date(2024, 5, 1), 2.0, dt.date(2024, 1, 1), 2024)],
+                                 "loc int, date date, t double, extraction_date date, year int")
+    upsert_partitions(base, path, ["loc", "date"], ["extraction_date"], ["year"])
+    before = {f: os.path.getmtime(f) for f in glob.glob(path + "/year=2023/*.parquet")}
+    late = spark.createDataFrame([(1, dt.date(2024, 5, 1), 9.0, dt.date(2024, 1, 2), 2024),
+                                  (2, dt.date(2024, 5, 2), 3.0, dt.date(2024, 1, 2), 2024)],
+                                 "loc int, date date, t double, extraction_date date, year int")
+    for _ in range(2):  # replay: same table
+        upsert_partitions(late, path, ["loc", "date"], ["extraction_date"], ["year"])
+        got = sorted((r.loc, str(r.date), r.t) for r in spark.read.parquet(path).collect())
+        assert got == [(1, "2023-05-01", 1.0), (1, "2024-05-01", 9.0), (2, "2024-05-02", 3.0)]
+    after = {f: os.path.getmtime(f) for f in glob.glob(path + "/year=2023/*.parquet")}
+    assert before == after  # untouched partition kept its files

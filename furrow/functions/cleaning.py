@@ -96,9 +96,17 @@ def floor_zero(c) -> Column:
 
 def nearest_code(c, codes: Iterable[int] = WEATHER_CODES) -> Column:
     """Round half to even, then snap to the nearest valid code; on a tie the
-    lower code wins; null stays null (op 3.13)."""
-    c = as_col(c)
-    r = F.bround(c.cast("double"), 0)
-    arr = F.array(*[F.lit(int(x)) for x in sorted(codes)])
-    best = F.array_min(F.transform(arr, lambda x: F.struct(F.abs(x - r).alias("d"), x.alias("code"))))
-    return F.when(r.isNotNull() & ~F.isnan(r), best["code"].cast("double"))
+    lower code wins; null stays null (op 3.13).
+
+    Between two consecutive sorted codes the nearest one changes at their
+    midpoint, so the snap is a CASE chain on the midpoints (``<=`` sends a
+    value exactly on a midpoint to the lower code); it stays in generated code.
+    """
+    r = F.bround(as_col(c).cast("double"), 0)
+    cs = sorted(int(x) for x in codes)
+    out = None
+    for lo, hi in zip(cs, cs[1:]):
+        cond = r <= F.lit((lo + hi) / 2.0)
+        out = F.when(cond, F.lit(float(lo))) if out is None else out.when(cond, F.lit(float(lo)))
+    out = F.lit(float(cs[0])) if out is None else out.otherwise(F.lit(float(cs[-1])))
+    return F.when(r.isNotNull() & ~F.isnan(r), out)

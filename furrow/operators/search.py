@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions.jsonx import array_has_normalized
+from furrow.functions.jsonx import normalized_array
 from furrow.functions.text import any_keyword, contains_ci
 
 DEFAULT_LIMIT = 10
@@ -56,21 +56,23 @@ def soil_compatibility(requests: DataFrame, plants: DataFrame, plant_col: str =
     plant names case-insensitively (the planting tool's rule, op 3.27).
     Adds ``compatible``, ``allowed_soils`` and ``message``.
     """
-    dim = plants.select(F.col(dim_plant_col).alias("__plant"), F.col(soils_col).alias("__soils"))
+    # normalise the allowed soils once per plant (dimension side), not per request
+    soils = F.coalesce(F.col(soils_col), F.array().cast("array<string>"))
+    dim = plants.select(F.col(dim_plant_col).alias("__plant"),
+                        normalized_array(soils).alias("__norm"),
+                        F.array_join(soils, ", ").alias("__allowed"))
     if exact_name:
         cond = F.col(plant_col) == F.col("__plant")
     else:
         cond = F.lower(F.col(plant_col)) == F.lower(F.col("__plant"))
     j = requests.join(dim, cond, "left")
     found = F.col("__plant").isNotNull()
-    ok = found & F.coalesce(array_has_normalized(F.coalesce(F.col("__soils"), F.array().cast("array<string>")),
-                                                 F.col(soil_col)), F.lit(False))
-    allowed = F.array_join(F.coalesce(F.col("__soils"), F.array().cast("array<string>")), ", ")
+    ok = found & F.coalesce(F.array_contains("__norm", F.lower(F.trim(F.col(soil_col)))), F.lit(False))
+    allowed = F.col("__allowed")
     msg = (F.when(~found, F.concat(F.lit("Aucune exigence de sol trouvée pour "), F.col(plant_col), F.lit(".")))
            .when(ok, F.concat(F.lit("Le sol '"), F.col(soil_col), F.lit("' est compatible avec "),
                               F.col(plant_col), F.lit(".")))
            .otherwise(F.concat(F.lit("Le sol '"), F.col(soil_col), F.lit("' n'est pas listé comme compatible avec "),
                                F.col(plant_col), F.lit(". Sols compatibles: "),
                                F.when(allowed == "", F.lit("aucun")).otherwise(allowed), F.lit("."))))
-    return j.select(*requests.columns, ok.alias("compatible"),
-                    F.when(found, allowed).alias("allowed_soils"), msg.alias("message"))
+    return j.select(*requests.columns, ok.alias("compatible"), allowed.alias("allowed_soils"), msg.alias("message"))

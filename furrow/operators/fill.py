@@ -16,6 +16,12 @@ a segmented scan so that no series has to fit in one task:
 
 Without ``chunk`` the window runs per key directly (fine when a key's series
 is bounded, e.g. one location-year of daily rows).
+
+The summary branch reads only keys, chunk, order and value columns.  When
+the input is a table scan, Spark reuses the step-1 shuffle for it or runs a
+narrower second scan.  When the input is an expensive derived frame (a big
+aggregation), pass ``checkpoint_input=True`` to materialise it once in the
+shared checkpoint folder instead of computing it for both branches.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.session import cut_lineage
+
 _UNB_P, _UNB_F, _CUR = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
 
 
@@ -34,7 +42,7 @@ def _names(v: str) -> dict[str, str]:
 
 def neighbors(df: DataFrame, keys: Sequence[str], order: Sequence, values: Sequence[str],
               chunk: Column | str | None = None, pos_col: str = "__pos",
-              strict: bool = False) -> DataFrame:
+              strict: bool = False, checkpoint_input: bool = False) -> DataFrame:
     """Adds ``pos_col`` (1-based row position within the key) and, per value
     column ``v``: ``__prev_v``, ``__prev_pos_v``, ``__next_v``, ``__next_pos_v``.
     Prev/next include the row itself when it is non-null, unless ``strict``."""
@@ -47,6 +55,8 @@ def neighbors(df: DataFrame, keys: Sequence[str], order: Sequence, values: Seque
 
     chunk_c = chunk if isinstance(chunk, Column) else F.col(chunk)
     ck = "__chunk"
+    if checkpoint_input:
+        df = cut_lineage(df)
     wl = Window.partitionBy(*keys, ck).orderBy(*order)
     step1 = df.withColumn(ck, chunk_c).withColumn("__lpos", F.row_number().over(wl).cast("long"))
     local = step1.select("*", *_local_cols(wl, values, "__lpos", strict))

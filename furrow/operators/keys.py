@@ -1,18 +1,19 @@
 """Surrogate keys: get-or-create ids (ops 4.5, 12.1, 12.2).
 
 Dense, consecutive ids without a single-partition window: new keys are
-range-partitioned and sorted, each partition counts its rows, the (tiny)
-table of per-partition counts gives each partition its offset, and a row's
+range-partitioned and sorted, each partition counts its rows, the
+per-partition counts give each partition its offset, and a row's
 id is ``base + offset(partition) + position in partition``.  The numbered
 frame is checkpointed first so the range bounds (found by sampling) cannot
-change between the counting job and later reads.
+change between the counting job and later reads.  The per-partition counts
+(one small number per partition) are the only values read back to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.session import checkpoint_root
@@ -31,12 +32,15 @@ def dense_index(df: DataFrame, order: Sequence[str], id_col: str = "id", start:
     ranged = ranged.checkpoint(eager=True)
     # monotonically_increasing_id = (partition index << 33) + row index in partition
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(
-        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    # one row per partition: a size bound by construction
-    out = ranged.join(F.broadcast(offsets), "__pid")
-    return out.select(*df.columns, (F.lit(start) + F.col("__off") + local).cast("long").alias(id_col))
+    # one count per partition (metadata-sized): offsets are applied from a literal map
+    counts = sorted((r["__pid"], r["n"]) for r in
+                    ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, acc = [], 0
+    for pid, cnt in counts:
+        offsets += [F.lit(pid), F.lit(acc)]
+        acc += cnt
+    off = F.create_map(*offsets)[F.col("__pid")] if offsets else F.lit(0)
+    return ranged.select(*df.columns, (F.lit(start) + off + local).cast("long").alias(id_col))
 
 
 def get_or_create(existing: DataFrame, candidates: DataFrame, key_cols: Sequence[str],

@@ -592,7 +592,7 @@ def math_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 5.6/5.7/7.3: distinct (user, type) pairs and per-user distinct types."""
-    pairs = dedup.distinct_sorted(_events(spark, sf_dir), ["user_id", "event_type"])
+    pairs = _events(spark, sf_dir).select("user_id", "event_type").distinct()
     return pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_types"),
                                         F.array_sort(F.collect_list("event_type")).alias("types"))
 

@@ -7,7 +7,7 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 # global top-k reports (limit is the feature) end in a single-partition take
 TOP_K = {"text_search", "catalog_stats"}
-WRITES = {"partition_roundtrip", "partition_scan", "year_range_scan", "stream_upsert", "get_or_create_keys"}
+WRITES = {"partition_roundtrip", "partition_scan", "year_range_scan", "stream_upsert"}
 
 
 def _plan(df):

@@ -593,3 +593,49 @@ select location, date, round(t2m, 6) as temperature_2m_mean, round(prec, 6) as p
        date '2024-06-01' as extraction_date, 'nasapower' as source
 from c
 """
+
+
+def _planting_all_plants() -> str:
+    from furrow.sources.reference import PLANT_ROWS
+    parts = []
+    for name, cmin, cmax, amin, amax, _pmin, _pmax, _soils, cycle, _cmax in PLANT_ROWS:
+        qn = name.replace("'", "''")
+        parts.append(f"""
+select * from (
+  select *, row_number() over (partition by location order by success_probability_pct desc,
+                               weighted_successful_years desc, month, day) as rk from (
+    select location, '{qn}' as nom_du_plante, cast(month(d) as integer) as month, cast(day(d) as integer) as day,
+           count(*) as years_analyzed, round(sum(wt), 2) as weighted_years_analyzed,
+           round(sum(ok * wt), 2) as weighted_successful_years,
+           round(sum(ok * wt) / sum(wt) * 100, 1) as success_probability_pct,
+           round(sum(tot * wt) / sum(wt), 1) as expected_rainfall_mm
+    from (
+      select location, d, tot,
+             case when germ >= 5 and perf >= {cycle} * 0.4 and fat = 0 and tot <= 1500 then 1 else 0 end as ok,
+             case when 2001 - year(d) <= 5 then 1.0 else 1.0 / sqrt(2001 - year(d)) end as wt
+      from (
+        select location, d,
+               sum(p) over (partition by location order by d rows between current row and 6 following) as germ,
+               sum(p) over c as perf, sum(x) over c as fat, sum(rain) over c as tot
+        from (
+          select location, d, case when a >= {cmin} and a <= {cmax} then 1 else 0 end as p,
+                 case when mn < {amin} or mx > {amax} then 1 else 0 end as x, coalesce(rain, 0) as rain
+          from r)
+        window c as (partition by location order by d rows between current row and {cycle} following))
+      where d <= date '2001-11-04' - {cycle})
+    group by location, month(d), day(d) having count(*) >= 5))
+where rk <= 30""")
+    body = "\nunion all\n".join(parts)
+    return f"""
+with r as (select l_returnflag as location, cast(l_shipdate as date) as d, avg(t) as a, min(t) as mn, max(t) as mx,
+                  sum(rain) as rain
+           from (select l_returnflag, l_shipdate, 10.123456 + l_discount * 150 + l_tax * 100 as t,
+                        l_quantity / 1000 as rain from lineitem)
+           group by 1, 2)
+select location, nom_du_plante, month, day, years_analyzed, weighted_years_analyzed, weighted_successful_years,
+       success_probability_pct, expected_rainfall_mm
+from ({body})
+"""
+
+
+ORACLE["planting_all_plants"] = _planting_all_plants()

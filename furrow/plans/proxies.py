@@ -51,6 +51,29 @@ def planting_window(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "expected_rainfall_mm")
 
 
+# The lineitem reading of the all-plants planting query.
+ALL_PLANTS_REF_DATE = "2001-11-04"
+TEMP_OFFSET = 10.123456
+
+
+def planting_all_plants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planting windows for every (location, plant) pair in one plan: lineitem
+    as three stations (return flag), a daily temperature-like measure, the
+    nine reference crops with their own thresholds and cycle lengths."""
+    from furrow.sources.reference import PLANT_ROWS, plants
+    li = table(spark, sf_dir, "lineitem")
+    hourly = li.select(F.col("l_returnflag").alias("location"), "l_shipdate",
+                       (F.lit(TEMP_OFFSET) + F.col("l_discount") * 150 + F.col("l_tax") * 100).alias("t"),
+                       (F.col("l_quantity") / 1000).alias("rain"))
+    daily = planting.daily_rollup(hourly, "l_shipdate", "t", "rain", ["location"], daytime_hours=None)
+    # every station asks for every crop: a fan-out over the fixed crop list, no join
+    requests = daily.select("location").distinct().select(
+        "location", F.explode(F.array(*[F.lit(r[0]) for r in PLANT_ROWS])).alias("nom_du_plante"))
+    out = planting.planting_windows(daily, plants(spark), requests, ["location"], ref_date=ALL_PLANTS_REF_DATE)
+    return out.select("location", "nom_du_plante", "month", "day", "years_analyzed", "weighted_years_analyzed",
+                      "weighted_successful_years", "success_probability_pct", "expected_rainfall_mm")
+
+
 # --------------------------------------------------------------------------- rollup / reshape
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
@@ -705,6 +728,7 @@ def normalize_point_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "planting_window": planting_window,
+    "planting_all_plants": planting_all_plants,
     "hourly_rollup": hourly_rollup,
     "pivot_long_wide": pivot_long_wide,
     "dedup_first": dedup_first,

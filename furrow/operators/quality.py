@@ -110,3 +110,16 @@ def year_batches(df: DataFrame, date_col: str, keys: Sequence[str] = ()) -> Data
     d = F.to_date(date_col)
     return (df.select(*keys, d.alias("d")).groupBy(*keys, F.year("d").alias("year"))
             .agg(F.min("d").alias("first_day"), F.max("d").alias("last_day")))
+
+
+def plant_requirement_report(plants: DataFrame, daily_max_mm: float = 100.0) -> DataFrame:
+    """Flag plant rows whose optimal precipitation looks like a seasonal
+    figure rather than a daily one (e.g. 350-550 mm against 1-5 mm elsewhere),
+    and rows whose temperature bands are inverted.  Data is kept as given."""
+    return plants.select(
+        "nom_du_plante",
+        (F.col("precipitation_max_opt") > daily_max_mm).alias("seasonal_precipitation"),
+        (F.col("temp_min_opt") > F.col("temp_max_opt")).alias("inverted_optimum"),
+        ((F.col("temp_min_abs") > F.col("temp_min_opt")) | (F.col("temp_max_abs") < F.col("temp_max_opt")))
+        .alias("optimum_outside_limits"),
+        (F.col("crop_cycle_min") > F.col("crop_cycle_max")).alias("inverted_cycle"))

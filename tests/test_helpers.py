@@ -71,3 +71,34 @@ def test_quality_reports(spark):
         quality.validate_forecast(fc, ["date", "c"], ["a"])
     ok = quality.validate_forecast(fc.where("a is not null"), ["date"], ["a", "b"]).first()
     assert ok.nonnull_a == 1 and ok.all_null_rows == 0
+
+
+def test_replace_and_drop_tables(spark, tmp_dir):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS furrow_t LOCATION '{tmp_dir}/db'")
+    df = spark.createDataFrame([(1, "a")], "id int, name string")
+    partitioned.replace_table(df, "furrow_t.src")
+    partitioned.replace_table(df.union(df), "furrow_t.src")
+    assert spark.table("furrow_t.src").count() == 2
+    with pytest.raises(PermissionError):
+        partitioned.drop_all_tables(spark, "furrow_t")
+    assert partitioned.drop_all_tables(spark, "furrow_t", confirm=True) == ["src"]
+    assert spark.catalog.listTables("furrow_t") == []
+    spark.sql("DROP DATABASE furrow_t")
+
+
+def test_pack_metrics_upsert(spark):
+    from furrow.sinks import upsert
+    cur = spark.createDataFrame([(1, dt.date(2024, 1, 1), dt.date(2024, 1, 1), '{"t":1.0}')],
+                                "loc int, date date, extraction_date date, metrics string")
+    inc = spark.createDataFrame([(1, dt.date(2024, 1, 1), dt.date(2024, 1, 2), 2.0, None),
+                                 (2, dt.date(2024, 1, 1), dt.date(2024, 1, 2), None, 3.0)],
+                                "loc int, date date, extraction_date date, t double, p double")
+    out = {r.loc: r.metrics for r in upsert.pack_metrics_upsert(cur, inc, ["loc", "date"], ["t", "p"]).collect()}
+    assert out == {1: '{"t":2.0}', 2: '{"p":3.0}'}
+
+
+def test_plant_requirement_report(spark):
+    from furrow.sources.reference import plants
+    rep = {r.nom_du_plante: r for r in quality.plant_requirement_report(plants(spark)).collect()}
+    assert rep["Oignon"].seasonal_precipitation and not rep["Tomate"].seasonal_precipitation
+    assert not any(r.inverted_optimum or r.inverted_cycle or r.optimum_outside_limits for r in rep.values())

@@ -88,3 +88,16 @@ def test_single_tool_query(spark):
     daily = planting.daily_rollup(hourly, "date_mesure", "temperature_2m_mean", "precipitation_sum", ["city_name"])
     r = daily.first()
     assert abs(r.daytime_temp_avg - (20.0 + 1.2)) < 1e-9 and abs(r.daily_rain - 2.4) < 1e-9
+
+
+def test_batch_form_matches_windows(spark):
+    hourly = spark.createDataFrame(
+        [(loc, dt.datetime(y, 5, d, h), 20.0 + (d % 5) + h / 100, 0.2)
+         for loc in ("a", "b") for y in range(2015, 2022) for d in range(1, 29) for h in (0, 12)],
+        "city_name string, date_mesure timestamp_ntz, temperature_2m_mean double, precipitation_sum double")
+    req = spark.createDataFrame([("a", "Tomate"), ("b", "pastèque")], "city_name string, nom_du_plante string")
+    got = planting.all_planting_windows(hourly, plants(spark), req, ref_date="2021-12-31")
+    daily = planting.daily_rollup(hourly, "date_mesure", "temperature_2m_mean", "precipitation_sum", ["city_name"])
+    want = planting.planting_windows(daily, plants(spark), req, ["city_name"], ref_date="2021-12-31")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() > 0

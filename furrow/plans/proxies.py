@@ -476,8 +476,8 @@ def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARAM_SQL = """
 SELECT n.n_name AS n_name, COUNT(*) AS n, MIN(c.c_acctbal) AS min_bal, MAX(c.c_acctbal) AS max_bal,
        ROUND(AVG(c.c_acctbal), 6) AS avg_bal, ROUND(SUM(c.c_acctbal), 2) AS sum_bal
-FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN region r ON n.n_regionkey = r.r_regionkey
+FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey
+JOIN {region} r ON n.n_regionkey = r.r_regionkey
 WHERE r.r_name ILIKE :region AND c.c_acctbal > :min_bal
 GROUP BY n.n_name
 """

@@ -133,12 +133,11 @@ def read_catalog_xml(spark: SparkSession, path: str, row_tag: str = "dcat:Datase
 
 
 def param_sql(spark: SparkSession, query: str, args: Mapping[str, object] | None = None,
-              views: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Parameterised SQL over temp views (op 1.14): values are bound, never
-    pasted into the text."""
-    for name, df in (views or {}).items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query, args=dict(args or {}))
+              frames: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Parameterised SQL (op 1.14): values are bound as ``:name`` parameters,
+    never pasted into the text; DataFrames are bound to ``{name}`` placeholders
+    (no session-wide temp views are created)."""
+    return spark.sql(query, args=dict(args or {}), **dict(frames or {}))
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: Mapping[str, str] | None = None,

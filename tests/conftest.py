@@ -14,7 +14,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", 8, app_name="furrow-tests")
+    s = build_session("local[4]", 8, app_name="furrow-tests",
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="furrow-test-wh-")})
     # tests only: the cluster names a shared checkpoint folder, here none is set
     if not s.conf.get("spark.checkpoint.dir", None):
         d = tempfile.mkdtemp(prefix="furrow-test-ckpt-")

@@ -445,7 +445,7 @@ from events
 """
 
 ORACLE["distinct_sorted"] = """
-select user_id, count(*) as n_types, list_sort(list(event_type)) as types
+select user_id, count(*) as n_types, array_to_string(list_sort(list(event_type)), ',') as types
 from (select distinct user_id, event_type from events) group by 1
 """
 

@@ -618,7 +618,8 @@ def distinct_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one shuffle: the distinct set per user is built by a partial aggregate
     # (bounded by the number of event types), not by distinct + regroup
     per_user = _events(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("types"))
-    return per_user.select("user_id", F.size("types").cast("bigint").alias("n_types"), "types")
+    return per_user.select("user_id", F.size("types").cast("bigint").alias("n_types"),
+                           F.array_join("types", ",").alias("types"))
 
 
 # --------------------------------------------------------------------------- agronomy

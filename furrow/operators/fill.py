@@ -122,10 +122,10 @@ def _finish(nb: DataFrame, columns: Sequence[str], exprs: dict[str, Column]) ->
 
 
 def interpolate_linear(df: DataFrame, keys: Sequence[str], order: Sequence, values: Sequence[str],
-                       chunk=None) -> DataFrame:
+                       chunk=None, checkpoint_input: bool = False) -> DataFrame:
     """Linear interpolation by row position; leading and trailing gaps take the
     nearest value; an all-null series stays null (op 6.3)."""
-    nb = neighbors(df, keys, order, values, chunk)
+    nb = neighbors(df, keys, order, values, chunk, checkpoint_input=checkpoint_input)
     exprs = {}
     for v in values:
         n = _names(v)
@@ -138,15 +138,17 @@ def interpolate_linear(df: DataFrame, keys: Sequence[str], order: Sequence, valu
     return _finish(nb, df.columns, exprs)
 
 
-def ffill(df: DataFrame, keys: Sequence[str], order: Sequence, values: Sequence[str], chunk=None) -> DataFrame:
+def ffill(df: DataFrame, keys: Sequence[str], order: Sequence, values: Sequence[str], chunk=None,
+          checkpoint_input: bool = False) -> DataFrame:
     """Forward fill only; leading nulls stay null (op 6.5)."""
-    nb = neighbors(df, keys, order, values, chunk)
+    nb = neighbors(df, keys, order, values, chunk, checkpoint_input=checkpoint_input)
     return _finish(nb, df.columns, {v: F.col(_names(v)["prev"]) for v in values})
 
 
-def ffill_bfill(df: DataFrame, keys: Sequence[str], order: Sequence, values: Sequence[str], chunk=None) -> DataFrame:
+def ffill_bfill(df: DataFrame, keys: Sequence[str], order: Sequence, values: Sequence[str], chunk=None,
+                checkpoint_input: bool = False) -> DataFrame:
     """Forward fill, then backward fill the leading gap (op 6.4)."""
-    nb = neighbors(df, keys, order, values, chunk)
+    nb = neighbors(df, keys, order, values, chunk, checkpoint_input=checkpoint_input)
     return _finish(nb, df.columns, {v: F.coalesce(F.col(_names(v)["prev"]), F.col(_names(v)["next"]))
                                     for v in values})
 

@@ -4,8 +4,9 @@ Dense, consecutive ids without a single-partition window: new keys are
 range-partitioned and sorted, each partition counts its rows, the
 per-partition counts give each partition its offset, and a row's
 id is ``base + offset(partition) + position in partition``.  The numbered
-frame is checkpointed first so the range bounds (found by sampling) cannot
-change between the counting job and later reads.  The per-partition counts
+frame is written once below the shared checkpoint folder first, so the range
+bounds (found by sampling) cannot change between the counting job and later
+reads.  The per-partition counts
 (one small number per partition) are the only values read back to the driver.
 """
 
@@ -16,20 +17,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.session import checkpoint_root
+from furrow.session import cut_lineage
 
 
 def dense_index(df: DataFrame, order: Sequence[str], id_col: str = "id", start: int = 1,
                 num_partitions: int | None = None) -> DataFrame:
     """Consecutive ids ``start, start+1, ...`` in ``order`` (ties broken by all columns)."""
     spark = df.sparkSession
-    checkpoint_root(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = list(order) + [c for c in df.columns if c not in order]
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__mid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
+    # the ids are stored as columns, so the written copy keeps them exact
+    ranged = cut_lineage(ranged, "dense-index")
     # monotonically_increasing_id = (partition index << 33) + row index in partition
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
     # one count per partition (metadata-sized): offsets are applied from a literal map

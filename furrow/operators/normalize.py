@@ -34,7 +34,7 @@ def _series_keys(df: DataFrame, keys: Sequence[str], date_col: str):
 
 
 def _bounds_then_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str], date_col: str,
-                      lo: float, hi: float, how: str) -> DataFrame:
+                      lo: float, hi: float, how: str, checkpoint_input: bool = False) -> DataFrame:
     if not cols:
         return df
     out = df.select(*[C.null_outside(c, lo, hi).alias(c) if c in cols else F.col(c) for c in df.columns])
@@ -43,9 +43,9 @@ def _bounds_then_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str], d
         # the reference follows interpolation with ffill + bfill; interpolation
         # already fills both edges with the nearest value and an all-null series
         # stays null either way, so that second pass is the identity and is skipped
-        filled = fill.interpolate_linear(base, skeys, [date_col], cols, chunk)
+        filled = fill.interpolate_linear(base, skeys, [date_col], cols, chunk, checkpoint_input=checkpoint_input)
     else:
-        filled = fill.ffill(base, skeys, [date_col], cols, chunk)
+        filled = fill.ffill(base, skeys, [date_col], cols, chunk, checkpoint_input=checkpoint_input)
     return filled.drop("__year")
 
 
@@ -79,13 +79,17 @@ def openmeteo_hourly(df: DataFrame, as_of, keys: Sequence[str] = ("location",),
 
 
 def nasapower_daily(long: DataFrame, as_of, keys: Sequence[str] = ("location",),
-                    order_col: str | None = None) -> DataFrame:
+                    order_col: str | None = None, checkpoint_pivot: bool = False) -> DataFrame:
     """dedup -> pivot -> rename -> sentinel -> coerce -> temperature
     bounds/interpolate/fill -> precipitation -> cap all-sky -> clip humidity
     -> floor wind and radiation -> metadata.
 
     ``long`` is ``(keys, date, parameter, value)``; ``order_col`` says which
-    duplicate is "first" (default: the smallest value row).
+    duplicate is "first" (default: the smallest value row).  With
+    ``checkpoint_pivot`` the pivoted frame is written once below the shared
+    checkpoint folder and both branches of the segmented fill read it instead
+    of repeating the dedup and pivot shuffles (measured slower at small scale,
+    so off by default; worth it when those shuffles dominate).
     """
     keys = [k for k in keys if k in long.columns]
     dedup = first_by_key(long, [*keys, "date", "parameter"], [order_col or "value"])
@@ -94,7 +98,8 @@ def nasapower_daily(long: DataFrame, as_of, keys: Sequence[str] = ("location",),
     metrics = list(POINT_SERIES_NAMES.values())
     out = wide.select(*[C.coerce_numeric(C.sentinel_to_null(c)).alias(c) if c in metrics else F.col(c)
                         for c in wide.columns])
-    out = _bounds_then_fill(out, ["temperature_2m_mean"], keys, "date", *C.TEMPERATURE_BOUNDS, "interpolate")
+    out = _bounds_then_fill(out, ["temperature_2m_mean"], keys, "date", *C.TEMPERATURE_BOUNDS, "interpolate",
+                            checkpoint_input=checkpoint_pivot)
     out = out.withColumns({
         "precipitation_sum": C.precipitation_rule("precipitation_sum"),
         ALL_SKY: C.cap_by(ALL_SKY, CLEAR_SKY),

@@ -10,8 +10,8 @@ The target is a partitioned Parquet table whose partition columns are a
 function of the key (e.g. ``year(date)`` for a ``(location, date)`` key, or a
 hash bucket of the key), so a key never spans partitions.  A batch reads back
 only the partitions it touches (semi-join on the touched partition values,
-pruned at the scan), merges them with the new rows, checkpoints the merged
-rows into the shared checkpoint folder (the write below no longer depends on
+pruned at the scan), merges them with the new rows, writes the merged rows
+once below the shared checkpoint folder (the final write no longer depends on
 the files it replaces), then replaces just those partitions with dynamic
 partition overwrite.  Replaying a batch after a failure gives the same table
 (the merge is idempotent).  Stream progress lives in the checkpoint location
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.session import bounded_broadcast, checkpoint_root, scratch_path
+from furrow.session import bounded_broadcast, cut_lineage, scratch_path
 from furrow.sinks.upsert import upsert
 
 
@@ -48,8 +48,7 @@ def upsert_partitions(incoming: DataFrame, path: str, keys: Sequence[str], order
         merged = upsert(current.select(*incoming.columns), incoming, keys, order)
     else:
         merged = upsert(incoming.limit(0), incoming, keys, order)
-    checkpoint_root(spark)
-    merged = merged.checkpoint(eager=True)
+    merged = cut_lineage(merged, "merge")
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*part_cols).parquet(path))
 

@@ -40,25 +40,38 @@ def spread_daily_on_hourly(hourly: DataFrame, daily: DataFrame, keys: Sequence[s
 
 def source_priority_merge(frames: Sequence[tuple[str, DataFrame]], keys: Sequence[str] = (),
                           date_col: str = "date", how: str = "full_outer",
-                          extraction_col: str = "extraction_date") -> DataFrame:
+                          extraction_col: str = "extraction_date", mode: str = "drop") -> DataFrame:
     """Merge per-source frames; a metric already supplied by a higher-priority
     source (earlier in ``frames``) is dropped from later ones (op 3.18).
 
     Metric name sets are schema metadata (op 8.3 is a set intersection of
     column names).  Rows are outer-joined on ``keys + date``; the merged
     ``extraction_date`` is the row-wise latest per-source date (op 5.9).
+    ``mode="coalesce"`` keeps the priority but fills a metric that the
+    higher-priority source lacks on a date from the next source.
     """
     keys = list(keys)
-    seen: set[str] = set()
+    seen: list[str] = []
     merged = None
     ext_cols = []
-    for source, df in frames:
-        metrics = [c for c in metric_columns(df, (*METADATA, *keys, date_col)) if c not in seen]
-        seen |= set(metrics)
+    fills: dict[str, list[str]] = {}
+    for i, (source, df) in enumerate(frames):
+        all_metrics = metric_columns(df, (*METADATA, *keys, date_col))
+        metrics = [c for c in all_metrics if c not in seen]
+        seen += metrics
         ext = f"{source}_{extraction_col}"
         ext_cols.append(ext)
-        part = df.select(*keys, date_col, *metrics, F.col(extraction_col).alias(ext))
+        extra = []
+        if mode == "coalesce":
+            # overlapping metrics kept under a source-suffixed name, used to fill gaps
+            for c in all_metrics:
+                if c not in metrics:
+                    fills.setdefault(c, []).append(f"__{i}_{c}")
+                    extra.append(F.col(c).alias(f"__{i}_{c}"))
+        part = df.select(*keys, date_col, *metrics, *extra, F.col(extraction_col).alias(ext))
         merged = part if merged is None else merged.join(part, [*keys, date_col], how)
-    return merged.select(*keys, date_col, *[c for c in merged.columns if c not in (*keys, date_col, *ext_cols)],
+    out_metrics = [F.coalesce(F.col(c), *[F.col(x) for x in fills[c]]).alias(c) if c in fills else F.col(c)
+                   for c in seen]
+    return merged.select(*keys, date_col, *out_metrics,
                          F.greatest(*[F.col(c) for c in ext_cols]).alias(extraction_col)
                          if len(ext_cols) > 1 else F.col(ext_cols[0]).alias(extraction_col))

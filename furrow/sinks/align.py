@@ -39,6 +39,9 @@ def prepare_wide_append(df: DataFrame, city: str, latitude: float, longitude: fl
                         metric_types: dict[str, T.DataType] | None = None) -> DataFrame:
     """Rename the date column, add constant city/lat/lon, add absent metrics
     as nulls, drop the zone, project to ``columns`` (op 2.7)."""
+    if isinstance(df.schema[date_col].dataType, T.TimestampType):
+        # zone-aware instant -> UTC wall clock without zone (session zone is UTC)
+        df = df.withColumn(date_col, F.col(date_col).cast("timestamp_ntz"))
     base = (df.withColumnRenamed(date_col, target_date)
             .withColumn("city_name", F.lit(city))
             .withColumn("latitude", F.lit(float(latitude)))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def with_date_parts(df: DataFrame, date_col: str, parts: Sequence[str] = ("year", "month", "day")) -> DataFrame:
-    fns = {"year": F.year, "month": F.month, "day": F.dayofmonth}
+    fns = {"year": F.year, "month": F.month, "day": F.dayofmonth,
+           "yyyymm": lambda c: F.year(c) * 100 + F.month(c)}
     out = df
     for p in parts:
         out = out.withColumn(p, fns[p](F.col(date_col)).cast("int"))
@@ -20,7 +21,8 @@ def write_partitioned(df: DataFrame, path: str, date_col: str,
                       parts: Sequence[str] = ("year", "month", "day"),
                       sort_cols: Sequence[str] = (), mode: str = "overwrite",
                       dynamic: bool = True, num_tasks: int | None = None) -> None:
-    """One folder per ``year/month/day`` (op 2.1) or ``year`` (op 2.2).
+    """One folder per ``year/month/day`` (op 2.1), ``year`` (op 2.2, daily
+    facts) or ``yyyymm`` (op 2.8, hourly facts).
 
     Rows are range-partitioned on ``(date, sort_cols)``: each write task owns
     a contiguous span of days (few files per folder, tasks in parallel), and

@@ -104,3 +104,27 @@ def test_upsert_partitions_rewrites_touched_only(spark, tmp_dir):
         assert got == [(1, "2023-05-01", 1.0), (1, "2024-05-01", 9.0), (2, "2024-05-02", 3.0)]
     after = {f: os.path.getmtime(f) for f in glob.glob(path + "/year=2023/*.parquet")}
     assert before == after  # untouched partition kept its files
+
+
+def test_yyyymm_partitions_and_zone_strip(spark, tmp_dir):
+    hourly = spark.createDataFrame([(dt.datetime(2024, 1, 31, 23), 1.0), (dt.datetime(2024, 2, 1, 1), 2.0)],
+                                   "date timestamp, surface_pressure double")
+    partitioned.write_partitioned(hourly, tmp_dir + "/h", "date", ("yyyymm",))
+    assert sorted(r.yyyymm for r in spark.read.parquet(tmp_dir + "/h").collect()) == [202401, 202402]
+    out = align.prepare_wide_append(hourly, "Sousse", 35.8, 10.6,
+                                    columns=["date_mesure", "city_name", "surface_pressure"])
+    assert out.schema["date_mesure"].dataType.simpleString() == "timestamp_ntz"
+    assert str(out.orderBy("date_mesure").first().date_mesure) == "2024-01-31 23:00:00"
+
+
+def test_source_priority_coalesce_mode(spark):
+    from furrow.operators.merge import source_priority_merge
+    a = spark.createDataFrame([(dt.date(2024, 1, 1), 1.0, dt.date(2024, 1, 1)),
+                               (dt.date(2024, 1, 2), None, dt.date(2024, 1, 1))], "date date, t double, extraction_date date")
+    b = spark.createDataFrame([(dt.date(2024, 1, 2), 5.0, 9.0, dt.date(2024, 1, 3))],
+                              "date date, t double, rh double, extraction_date date")
+    drop = {r.date.day: (r.t, r.rh) for r in source_priority_merge([("a", a), ("b", b)]).collect()}
+    fillc = {r.date.day: (r.t, r.rh, str(r.extraction_date)) for r in
+             source_priority_merge([("a", a), ("b", b)], mode="coalesce").collect()}
+    assert drop == {1: (1.0, None), 2: (None, 9.0)}
+    assert fillc == {1: (1.0, None, "2024-01-01"), 2: (5.0, 9.0, "2024-01-03")}

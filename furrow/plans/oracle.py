@@ -639,3 +639,24 @@ from ({body})
 
 
 ORACLE["planting_all_plants"] = _planting_all_plants()
+
+ORACLE["normalize_forecast"] = f"""
+with d as (select user_id as location, cast(ts as date) as date, (max(value) + min(value)) % 100 as wc,
+                  max(value) / 5 - 20 as tx0, min(value) / 5 - 20 as tn0, sum(value) / 10 - 20 as p,
+                  max(value) / 2 as w
+           from events group by 1, 2),
+b as (select location, date, year(date) as yr, round_even(wc, 0) as r, p, w,
+             case when tx0 between -50 and 60 then tx0 end as tx,
+             case when tn0 between -50 and 60 then tn0 end as tn from d),
+{_fill_ctes("b", "location, yr", "date", ["tx", "tn"], "q")},
+c as (select unnest([0, 1, 2, 3, 45, 48, 51, 53, 55, 56, 57, 61, 63, 65, 66, 67, 71, 73, 75, 77, 80, 81, 82, 85,
+                     86, 95, 96, 99]) as code),
+s as (select q.location, q.date, cast(arg_min(c.code, abs(c.code - q.r) * 1000 + c.code) as double) as weather_code
+      from q, c group by q.location, q.date)
+select q.location, q.date, s.weather_code,
+       round({_interp("tx")}, 6) as temperature_2m_max, round({_interp("tn")}, 6) as temperature_2m_min,
+       round(case when p < 0 or p > 500 then 0.0 else p end, 6) as precipitation_sum,
+       round(case when w < 0 then 0.0 when w > 150 then 150.0 else w end, 6) as wind_speed_10m_max,
+       date '2024-06-01' as extraction_date, 'openmeteo' as source
+from q join s on q.location = s.location and q.date = s.date
+"""

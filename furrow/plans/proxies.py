@@ -702,6 +702,24 @@ def normalize_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "extraction_date", "source")
 
 
+def normalize_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecast normaliser: temperature bounds and interpolation, precipitation,
+    wind clip [0, 150], weather-code snap, on a daily forecast per user."""
+    from furrow.operators.normalize import openmeteo_forecast
+    v = F.col("value")
+    fc = _events(spark, sf_dir).groupBy(F.col("user_id").alias("location"), F.to_date("ts").alias("date")).agg(
+        ((F.max(v) + F.min(v)) % 100).alias("weather_code"),
+        (F.max(v) / 5 - 20).alias("temperature_2m_max"),
+        (F.min(v) / 5 - 20).alias("temperature_2m_min"),
+        (F.sum(v) / 10 - 20).alias("precipitation_sum"),
+        (F.max(v) / 2).alias("wind_speed_10m_max"))
+    out = openmeteo_forecast(fc, AS_OF, ["location"])
+    return out.select("location", "date", "weather_code",
+                      *[F.round(c, 6).alias(c) for c in ("temperature_2m_max", "temperature_2m_min",
+                                                         "precipitation_sum", "wind_speed_10m_max")],
+                      "extraction_date", "source")
+
+
 # Event types read as point-series parameter codes in this proxy.
 EVENT_CODES = {"click": "T2M", "error": "PRECTOTCORR", "purchase": "RH2M", "signup": "WS2M",
                "view": "ALLSKY_SFC_SW_DWN"}
@@ -787,4 +805,5 @@ REGISTRY = {
     "normalize_daily": normalize_daily,
     "normalize_hourly": normalize_hourly,
     "normalize_point_series": normalize_point_series,
+    "normalize_forecast": normalize_forecast,
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -79,9 +78,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def local_dir_exists(path: str) -> bool:
-    return os.path.isdir(path.replace("file:", ""))
-
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Round-robin repartition before CPU-heavy row-local work, only when the

@@ -4,7 +4,6 @@ import datetime as dt
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from furrow.functions import jsonx
 from furrow.operators import quality, search

@@ -3,7 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from furrow.plans.catalog import html_table_rows
 from furrow.sources import files, payloads

@@ -83,7 +83,9 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Round-robin repartition before CPU-heavy row-local work, only when the
     input has fewer partitions than the cluster has cores (a few large files
     or row groups).  A scan of many files is left as it is: no shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session): leave the plan alone
         return df
-    return df.repartition(target)
+    return df if have >= cores else df.repartition(cores * per_core)

@@ -128,3 +128,14 @@ def test_source_priority_coalesce_mode(spark):
              source_priority_merge([("a", a), ("b", b)], mode="coalesce").collect()}
     assert drop == {1: (1.0, None), 2: (None, 9.0)}
     assert fillc == {1: (1.0, None, "2024-01-01"), 2: (5.0, 9.0, "2024-01-03")}
+
+
+def test_hot_day_is_split_over_tasks(spark, tmp_dir):
+    import glob
+    hot = [(dt.date(2024, 1, 1), i, float(i)) for i in range(4000)]
+    cold = [(dt.date(2024, 1, d), i, 1.0) for d in range(2, 6) for i in range(10)]
+    df = spark.createDataFrame(hot + cold, "date date, id int, v double")
+    partitioned.write_partitioned(df, tmp_dir + "/p", "date", sort_cols=["id"], num_tasks=8)
+    hot_files = glob.glob(tmp_dir + "/p/year=2024/month=1/day=1/*.parquet")
+    assert len(hot_files) > 1  # the hot day was written by several tasks
+    assert spark.read.parquet(tmp_dir + "/p").count() == 4040

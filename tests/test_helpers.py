@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from furrow.functions import jsonx
 from furrow.operators import quality, search
@@ -101,3 +102,22 @@ def test_plant_requirement_report(spark):
     rep = {r.nom_du_plante: r for r in quality.plant_requirement_report(plants(spark)).collect()}
     assert rep["Oignon"].seasonal_precipitation and not rep["Tomate"].seasonal_precipitation
     assert not any(r.inverted_optimum or r.inverted_cycle or r.optimum_outside_limits for r in rep.values())
+
+
+def test_partition_reader_absent_and_strict(spark, tmp_dir):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("date", T.DateType()), T.StructField("t", T.DoubleType())])
+    empty = files.read_partition(spark, tmp_dir + "/none", schema=schema, year=2024)
+    assert empty.count() == 0 and empty.columns == ["date", "t"]
+    with pytest.raises(files.MissingPartition):
+        files.read_partition(spark, tmp_dir + "/none", schema=schema, strict=True, year=2024)
+    df = spark.createDataFrame([(dt.date(2023, 5, 1), 1.0), (dt.date(2024, 5, 1), 2.0)], schema)
+    partitioned.write_partitioned(df, tmp_dir + "/y", "date", ("year",))
+    assert files.read_partition(spark, tmp_dir + "/y", strict=True, year=2024).count() == 1
+    with pytest.raises(files.MissingPartition):
+        files.read_partition(spark, tmp_dir + "/y", strict=True, year=2022)
+    years = files.read_years(spark, tmp_dir + "/y", [2023, 2024], ts_col="date")
+    assert years.count() == 2
+    stamped = files.stamp_source(df.withColumn("extraction_date", F.lit(None).cast("date")), "openmeteo",
+                                 "2024-06-01").first()
+    assert stamped.source == "openmeteo" and str(stamped.extraction_date) == "2024-06-01"

@@ -16,14 +16,16 @@ def metric_columns(df: DataFrame, exclude: Sequence[str] = METADATA) -> list[str
 
 def spread_daily_on_hourly(hourly: DataFrame, daily: DataFrame, keys: Sequence[str] = (),
                            ts_col: str = "date", day_col: str = "date",
-                           extraction_col: str = "extraction_date") -> DataFrame:
+                           extraction_col: str = "extraction_date", salt_buckets: int = 0) -> DataFrame:
     """Daily metrics repeated on every hourly row of the same day (op 4.1).
 
     Left equi-join on ``keys + day``; ``extraction_date`` becomes the row-wise
     latest of both sides (``greatest`` skips nulls, op 5.9).  The daily side
     is one row per key-day, so no row multiplies when it is deduplicated
     first; the join strategy is left to the optimizer (AQE turns it into a
-    broadcast at run time when the daily side proves small).
+    broadcast at run time when the daily side proves small, and splits skewed
+    partitions).  ``salt_buckets`` salts the join explicitly for a hot
+    location-day when neither applies.
     """
     keys = list(keys)
     h_metrics = metric_columns(hourly, (*METADATA, *keys, ts_col))
@@ -33,7 +35,11 @@ def spread_daily_on_hourly(hourly: DataFrame, daily: DataFrame, keys: Sequence[s
                       F.to_date(ts_col).alias("__day"))
     d = daily.select(*keys, F.to_date(day_col).alias("__day"), *d_metrics,
                      F.col(extraction_col).alias("__d_ext"))
-    out = h.join(d, [*keys, "__day"], "left")
+    if salt_buckets:
+        from furrow.operators.skew import salted_join
+        out = salted_join(h, d, [*keys, "__day"], "left", salt_buckets)
+    else:
+        out = h.join(d, [*keys, "__day"], "left")
     return out.select(*keys, ts_col, *h_metrics, *d_metrics,
                       F.greatest("__h_ext", "__d_ext").alias(extraction_col))
 

@@ -43,6 +43,19 @@ def write_partitioned(df: DataFrame, path: str, date_col: str,
      .partitionBy(*parts).parquet(path))
 
 
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int,
+                   parts: Sequence[str] = (), sort: bool = True) -> None:
+    """Catalog table bucketed (and sorted) by ``keys``: later joins and
+    aggregations on the same keys and bucket count read co-located data and
+    skip the shuffle."""
+    w = df.write.mode("overwrite").bucketBy(buckets, *keys)
+    if sort:
+        w = w.sortBy(*keys)
+    if parts:
+        w = w.partitionBy(*parts)
+    w.saveAsTable(table)
+
+
 def append(df: DataFrame, path: str, parts: Sequence[str] = ()) -> None:
     """Plain append (op 2.11)."""
     w = df.write.mode("append")

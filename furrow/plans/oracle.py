@@ -660,3 +660,11 @@ select q.location, q.date, s.weather_code,
        date '2024-06-01' as extraction_date, 'openmeteo' as source
 from q join s on q.location = s.location and q.date = s.date
 """
+
+ORACLE["point_series_wide"] = "select user_id, cast(ts as date) as date, " + ", ".join(
+    f"round(sum(value) filter (where event_type = '{t}'), 6) as {t}"
+    for t in ("click", "error", "purchase", "signup", "view")) + " from events group by 1, 2"
+
+ORACLE["export_roundtrip"] = """
+select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, true as json_same from orders
+"""

@@ -110,17 +110,29 @@ def _daily_sums(spark, sf_dir):
     return ev.groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
 
 
-def map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 1.5: payload ``parameter -> {yyyyMMdd: value}`` per user, exploded back to rows."""
+def _point_payloads(spark, sf_dir):
+    """One point-series payload per user: ``type -> {yyyyMMdd: daily sum}``
+    (bounded: event types x calendar days)."""
     sums = _daily_sums(spark, sf_dir)
     inner = sums.groupBy("user_id", "event_type").agg(
         F.map_from_entries(F.collect_list(F.struct(F.date_format("day", "yyyyMMdd"), F.col("v")))).alias("series"))
-    payload = inner.groupBy("user_id").agg(
+    return inner.groupBy("user_id").agg(
         F.map_from_entries(F.collect_list(F.struct("event_type", "series"))).alias("parameter"))
+
+
+def map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 1.5: payload ``parameter -> {yyyyMMdd: value}`` per user, exploded back to rows."""
+    payload = _point_payloads(spark, sf_dir)
     long = payloads.point_series_to_long(payload, "parameter", ["user_id"])
     return long.select("user_id", "date", "parameter", F.round("value", 6).alias("value"))
 
 
+def point_series_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 1.8: the same payloads straight to a date-indexed wide frame, sorted."""
+    wide = payloads.point_series_to_wide(_point_payloads(spark, sf_dir), EVENT_TYPES, "parameter", ["user_id"])
+    return wide.select("user_id", "date", *[F.round(c, 6).alias(c) for c in EVENT_TYPES])
+
+
 def arrays_zip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 1.6: parallel-array payloads (one per user and id block) to rows."""
     ev = _events(spark, sf_dir)
@@ -437,6 +449,29 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
 
 
+def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 2.12/1.9: orders exported as CSV (header) and JSON lines below the
+    shared folder, read back with an explicit schema (no inference pass);
+    ``json_same`` says the JSON copy holds the same row."""
+    from furrow.sources.files import read_csv
+    schema = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                              "o_orderdate")
+    path = scratch_path(spark, "export")
+    partitioned.export(o, path + "/csv", "csv")
+    partitioned.export(o, path + "/json", "json")
+    a = read_csv(spark, path + "/csv", schema)
+    b = spark.read.schema(schema).json(path + "/json").select(
+        *[F.col(c).alias("j_" + c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                             "o_orderdate")])
+    j = a.join(b, a.o_orderkey == b.j_o_orderkey, "left")
+    same = ((F.col("o_custkey") == F.col("j_o_custkey")) & (F.col("o_orderstatus") == F.col("j_o_orderstatus"))
+            & (F.col("o_totalprice") == F.col("j_o_totalprice")) & (F.col("o_orderdate") == F.col("j_o_orderdate")))
+    return j.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                    F.coalesce(same, F.lit(False)).alias("json_same"))
+
+
 def get_or_create_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 12.1/12.2/4.5: nation ids kept, event types and regions numbered after them."""
     existing = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
@@ -752,6 +787,7 @@ REGISTRY = {
     "pivot_long_wide": pivot_long_wide,
     "dedup_first": dedup_first,
     "map_explode": map_explode,
+    "point_series_wide": point_series_wide,
     "arrays_zip_rows": arrays_zip_rows,
     "sequence_rows": sequence_rows,
     "sentinel_null": sentinel_null,
@@ -781,6 +817,7 @@ REGISTRY = {
     "upsert_versioned": upsert_versioned,
     "upsert_partial": upsert_partial,
     "stream_upsert": stream_upsert,
+    "export_roundtrip": export_roundtrip,
     "get_or_create_keys": get_or_create_keys,
     "price_unpivot": price_unpivot,
     "star_join": star_join,

@@ -668,3 +668,7 @@ ORACLE["point_series_wide"] = "select user_id, cast(ts as date) as date, " + ",
 ORACLE["export_roundtrip"] = """
 select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, true as json_same from orders
 """
+
+ORACLE["csv_preamble"] = """
+select o_orderkey, o_totalprice, cast(o_orderdate as date) as o_orderdate from orders
+"""

@@ -472,6 +472,28 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce(same, F.lit(False)).alias("json_same"))
 
 
+def csv_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 1.10: station-style CSV exports (two metadata lines, then a header
+    with unit suffixes) built from orders, one file per scan partition, read
+    back by dropping the preamble, renaming headers and casting the date."""
+    from furrow.sources.files import read_csv_skip_preamble
+    cols = ["o_orderkey", "o_totalprice", "o_orderdate"]
+    o = table(spark, sf_dir, "orders").select(*cols).withColumn("pid", F.spark_partition_id())
+    data = o.select("pid", F.lit(3).alias("ord"),
+                    F.concat_ws(",", *[F.col(c).cast("string") for c in cols]).alias("line"))
+    head = ["latitude,longitude,elevation", "35.8256,10.6411,12.0", "time_key,price (TND),time"]
+    pre = data.select("pid").distinct().select(
+        "pid", F.posexplode(F.array(*[F.lit(x) for x in head])).alias("ord", "line"))
+    path = scratch_path(spark, "csv-export")
+    (pre.unionByName(data).repartition("pid").sortWithinPartitions("pid", "ord")
+     .select("pid", "line").write.partitionBy("pid").text(path))
+    back = read_csv_skip_preamble(spark, path + "/pid=*", "time_key bigint, price double, time string",
+                                  skip_lines=2, renames={"time_key": "o_orderkey", "price": "o_totalprice",
+                                                         "time": "o_orderdate"},
+                                  date_cols=["o_orderdate"])
+    return back.select("o_orderkey", "o_totalprice", "o_orderdate")
+
+
 def get_or_create_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 12.1/12.2/4.5: nation ids kept, event types and regions numbered after them."""
     existing = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
@@ -818,6 +840,7 @@ REGISTRY = {
     "upsert_partial": upsert_partial,
     "stream_upsert": stream_upsert,
     "export_roundtrip": export_roundtrip,
+    "csv_preamble": csv_preamble,
     "get_or_create_keys": get_or_create_keys,
     "price_unpivot": price_unpivot,
     "star_join": star_join,

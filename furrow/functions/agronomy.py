@@ -53,14 +53,17 @@ def saturation_vapour_pressure(t) -> Column:
 
 def et0_penman_monteith(rs, rh_mean, t_mean, t_min, t_max, wind2m, altitude, doy, year, lat,
                         altitude_coef: float = 2e-5, cap_ratio: bool = True,
-                        rs_unit: str = "mj") -> Column:
-    """Daily reference evapotranspiration (mm/day)."""
+                        rs_unit: str = "mj", ra=None) -> Column:
+    """Daily reference evapotranspiration (mm/day).  ``ra`` may pass an
+    already computed extraterrestrial radiation column (compute it once in an
+    earlier projection when it is also an output)."""
     rs = as_col(rs) * (KWH_TO_MJ if rs_unit == "kwh" else 1.0)
     rh, tm, tn, tx = as_col(rh_mean), as_col(t_mean), as_col(t_min), as_col(t_max)
     u2, z = as_col(wind2m), as_col(altitude)
     es = (saturation_vapour_pressure(tx) + saturation_vapour_pressure(tn)) / 2
     ea = es * rh / 100
-    rso = (0.75 + F.lit(altitude_coef) * z) * extraterrestrial_radiation(doy, year, lat)
+    ra_col = as_col(ra) if ra is not None else extraterrestrial_radiation(doy, year, lat)
+    rso = (0.75 + F.lit(altitude_coef) * z) * ra_col
     ratio = rs / rso
     if cap_ratio:
         ratio = F.when(ratio > 1.0, F.lit(1.0)).otherwise(ratio)

@@ -692,10 +692,10 @@ def _et0_inputs(li):
 def et0(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 9.14-9.16: FAO-56 Penman-Monteith ET0 on scaled lineitem inputs."""
     x = _et0_inputs(_lineitem(spark, sf_dir))
+    x = x.withColumn("ra", AG.extraterrestrial_radiation("doy", "yr", F.lit(36.0)))
     tm = F.col("tmean")
-    e = AG.et0_penman_monteith("rs", "rh", tm, tm - 5, tm + 6, "u2", "alt", "doy", "yr", F.lit(36.0))
-    ra = AG.extraterrestrial_radiation("doy", "yr", F.lit(36.0))
-    return x.select("l_orderkey", "l_linenumber", F.round(e, 5).alias("et0"), F.round(ra, 5).alias("ra"))
+    e = AG.et0_penman_monteith("rs", "rh", tm, tm - 5, tm + 6, "u2", "alt", "doy", "yr", F.lit(36.0), ra="ra")
+    return x.select("l_orderkey", "l_linenumber", F.round(e, 5).alias("et0"), F.round("ra", 5).alias("ra"))
 
 
 def _pixels(li):

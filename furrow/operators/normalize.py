@@ -1,8 +1,8 @@
 """Source normalisers: cleaning rules in the reference order.
 
 Every pipeline is one lazy plan: row-local rules are a single projection
-(whole-stage codegen), fills are the segmented scan of
-``furrow.operators.fill`` per (location, year) series.
+(whole-stage codegen), fills are windows of ``furrow.operators.fill`` per
+(location, year) series, which the calendar bounds.
 """
 
 from __future__ import annotations
@@ -28,13 +28,16 @@ def _present(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 
 def _series_keys(df: DataFrame, keys: Sequence[str], date_col: str):
-    """Fill series per (keys, year) as the yearly files are; chunks by month."""
+    """Fill series per (keys, year), as the yearly files are.  The calendar
+    bounds such a series (366 daily or 8,784 hourly rows per location-year), so
+    one window per series is bounded whatever the data volume: no chunking,
+    no summary branch, one shuffle."""
     with_year = df.withColumn("__year", F.year(date_col))
-    return with_year, [*keys, "__year"], F.month(date_col)
+    return with_year, [*keys, "__year"], None
 
 
 def _bounds_then_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str], date_col: str,
-                      lo: float, hi: float, how: str, checkpoint_input: bool = False) -> DataFrame:
+                      lo: float, hi: float, how: str) -> DataFrame:
     if not cols:
         return df
     out = df.select(*[C.null_outside(c, lo, hi).alias(c) if c in cols else F.col(c) for c in df.columns])
@@ -43,9 +46,9 @@ def _bounds_then_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str], d
         # the reference follows interpolation with ffill + bfill; interpolation
         # already fills both edges with the nearest value and an all-null series
         # stays null either way, so that second pass is the identity and is skipped
-        filled = fill.interpolate_linear(base, skeys, [date_col], cols, chunk, checkpoint_input=checkpoint_input)
+        filled = fill.interpolate_linear(base, skeys, [date_col], cols, chunk)
     else:
-        filled = fill.ffill(base, skeys, [date_col], cols, chunk, checkpoint_input=checkpoint_input)
+        filled = fill.ffill(base, skeys, [date_col], cols, chunk)
     return filled.drop("__year")
 
 
@@ -79,17 +82,13 @@ def openmeteo_hourly(df: DataFrame, as_of, keys: Sequence[str] = ("location",),
 
 
 def nasapower_daily(long: DataFrame, as_of, keys: Sequence[str] = ("location",),
-                    order_col: str | None = None, checkpoint_pivot: bool = False) -> DataFrame:
+                    order_col: str | None = None) -> DataFrame:
     """dedup -> pivot -> rename -> sentinel -> coerce -> temperature
     bounds/interpolate/fill -> precipitation -> cap all-sky -> clip humidity
     -> floor wind and radiation -> metadata.
 
     ``long`` is ``(keys, date, parameter, value)``; ``order_col`` says which
-    duplicate is "first" (default: the smallest value row).  With
-    ``checkpoint_pivot`` the pivoted frame is written once below the shared
-    checkpoint folder and both branches of the segmented fill read it instead
-    of repeating the dedup and pivot shuffles (measured slower at small scale,
-    so off by default; worth it when those shuffles dominate).
+    duplicate is "first" (default: the smallest value row).
     """
     keys = [k for k in keys if k in long.columns]
     dedup = first_by_key(long, [*keys, "date", "parameter"], [order_col or "value"])
@@ -98,8 +97,7 @@ def nasapower_daily(long: DataFrame, as_of, keys: Sequence[str] = ("location",),
     metrics = list(POINT_SERIES_NAMES.values())
     out = wide.select(*[C.coerce_numeric(C.sentinel_to_null(c)).alias(c) if c in metrics else F.col(c)
                         for c in wide.columns])
-    out = _bounds_then_fill(out, ["temperature_2m_mean"], keys, "date", *C.TEMPERATURE_BOUNDS, "interpolate",
-                            checkpoint_input=checkpoint_pivot)
+    out = _bounds_then_fill(out, ["temperature_2m_mean"], keys, "date", *C.TEMPERATURE_BOUNDS, "interpolate")
     out = out.withColumns({
         "precipitation_sum": C.precipitation_rule("precipitation_sum"),
         ALL_SKY: C.cap_by(ALL_SKY, CLEAR_SKY),

@@ -672,3 +672,27 @@ select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, true as
 ORACLE["csv_preamble"] = """
 select o_orderkey, o_totalprice, cast(o_orderdate as date) as o_orderdate from orders
 """
+
+ORACLE["catalog_prefix"] = """
+select doc_id, upper(lang) || '-' || source as id, lang from documents
+where starts_with(upper(lang) || '-' || source, 'EN-src1')
+"""
+
+ORACLE["context_block"] = """
+with f as (
+  select c_custkey,
+         case when c_mktsegment <> 'BUILDING' then c_mktsegment end as g,
+         case when c_acctbal > 0 then round(c_acctbal, 0) end as fs,
+         case when c_acctbal > 5000 then 'ha' else '' end as fu,
+         case when c_acctbal > -500 then n_name end as st
+  from customer left join nation on c_nationkey = n_nationkey)
+select c_custkey,
+       case when coalesce(g, '') <> '' or fs is not null or coalesce(fu, '') <> '' or coalesce(st, '') <> ''
+            then 'FARM CONTEXT:' || chr(10) || '- governorate: ' || (case when coalesce(g, '') <> '' then g else 'unknown' end)
+                 || chr(10) || '- farm_size: ' || coalesce(cast(fs as varchar), 'null')
+                 || chr(10) || '- farm_size_unit: ' || (case when coalesce(fu, '') <> '' then fu else 'unknown' end)
+                 || chr(10) || '- soil_type: ' || (case when coalesce(st, '') <> '' then st else 'unknown' end)
+                 || chr(10) || 'Use this structured context as authoritative when routing and answering.'
+       end as context
+from f
+"""

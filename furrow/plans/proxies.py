@@ -610,6 +610,27 @@ def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_src.unionByName(by_lang).unionByName(summary)
 
 
+def catalog_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 3.25: catalogue records whose id starts with a prefix (documents as records)."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.upper("lang"), F.lit("-"), F.col("source")).alias("id"), "lang")
+    return search.filter_prefix(docs, "id", "EN-src1")
+
+
+def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 9.31: farm context block from optional fields (customers as farms)."""
+    c = table(spark, sf_dir, "customer")
+    n = bounded_broadcast(table(spark, sf_dir, "nation"), 10_000)
+    farms = c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
+        "c_custkey",
+        F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("governorate"),
+        F.when(F.col("c_acctbal") > 0, F.round("c_acctbal", 0)).alias("farm_size"),
+        F.when(F.col("c_acctbal") > 5000, F.lit("ha")).otherwise(F.lit("")).alias("farm_size_unit"),
+        F.when(F.col("c_acctbal") > -500, F.col("n_name")).alias("soil_type"))
+    return farms.select("c_custkey", TX.context_block("governorate", "farm_size", "farm_size_unit",
+                                                      "soil_type").alias("context"))
+
+
 def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 9.22-9.30 over whole documents."""
     from furrow.operators.textstats import text_profile
@@ -852,6 +873,8 @@ REGISTRY = {
     "keyword_counts": keyword_counts,
     "catalog_stats": catalog_stats,
     "text_flags": text_flags,
+    "catalog_prefix": catalog_prefix,
+    "context_block": context_block,
     "json_pack": json_pack,
     "json_extract": json_extract,
     "date_parts": date_parts,

@@ -631,6 +631,40 @@ def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                       "soil_type").alias("context"))
 
 
+def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 1.13/6.6: coefficient-style HTML tables built from ``part`` (one page
+    per block of 50 part keys, a bold "a. Size .." category row per size
+    bucket, a variant row under each "red" part), parsed back to rows with
+    the category and crop carried forward."""
+    letters = F.array(*[F.lit(chr(ord("a") + i)) for i in range(16)])
+    p = table(spark, sf_dir, "part").select(
+        F.floor(F.col("p_partkey") / 50).alias("page_id"), F.floor(F.col("p_size") / 10).alias("cat"),
+        "p_partkey", "p_name", "p_size", "p_retailprice")
+
+    def cells(*xs):
+        return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in xs], F.lit("</tr>"))
+
+    crop = p.select("page_id", "cat", F.col("p_partkey").cast("double").alias("ord"),
+                    cells(F.col("p_name"), F.lit(""), F.col("p_size").cast("string"),
+                          F.col("p_retailprice").cast("string")).alias("tr"))
+    variant = p.where(F.col("p_name").startswith("red")).select(
+        "page_id", "cat", (F.col("p_partkey") + 0.5).alias("ord"),
+        cells(F.lit(""), F.concat(F.lit("- variant "), F.col("p_partkey").cast("string")),
+              (F.col("p_size") + 1).cast("string"), F.col("p_retailprice").cast("string")).alias("tr"))
+    category = p.select("page_id", "cat").distinct().select(
+        "page_id", "cat", F.lit(-1.0).alias("ord"),
+        cells(F.concat(F.lit("<b>"), F.element_at(letters, (F.col("cat") + 1).cast("int")), F.lit(". Size "),
+                       (F.col("cat") * 10).cast("string"), F.lit("</b>")), F.lit(""), F.lit(""), F.lit("")).alias("tr"))
+    # at most 50 parts (+ variants, + categories) per page: a bounded collect
+    pages = (crop.unionByName(variant).unionByName(category).groupBy("page_id")
+             .agg(F.array_sort(F.collect_list(F.struct("cat", "ord", "tr"))).alias("r"))
+             .select("page_id", F.concat(F.lit("<html><body><table>"),
+                                         F.array_join(F.transform("r", lambda x: x["tr"]), ""),
+                                         F.lit("</table></body></html>")).alias("html")))
+    rows = catalog.html_table_rows(pages, "page_id", "html", n_cells=4)
+    return rows.select("page_id", "category", "crop", "variant", "value_1", "value_2")
+
+
 def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 9.22-9.30 over whole documents."""
     from furrow.operators.textstats import text_profile
@@ -874,6 +908,7 @@ REGISTRY = {
     "catalog_stats": catalog_stats,
     "text_flags": text_flags,
     "catalog_prefix": catalog_prefix,
+    "html_tables": html_tables,
     "context_block": context_block,
     "json_pack": json_pack,
     "json_extract": json_extract,

@@ -708,3 +708,11 @@ select page_id, 'Size ' || cast(cat * 10 as varchar), p_name, 'variant ' || cast
        cast(p_size + 1 as varchar), cast(p_retailprice as varchar)
 from p where starts_with(p_name, 'red')
 """
+
+ORACLE["catalog_xml"] = """
+select case when lang <> 'es' then 'D' || cast(doc_id as varchar) else 'Unknown' end as id,
+       trim(regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9 ]', '', 'g')) as title,
+       source as creator, '' as description, lang || ',' || source as subjects,
+       case when lang <> 'de' then 'http://data.example/' || cast(doc_id as varchar) end as download_url
+from documents
+"""

@@ -665,6 +665,36 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "category", "crop", "variant", "value_1", "value_2")
 
 
+def catalog_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 1.12: documents written as a dataset catalogue (XML text, one file per
+    block of 100 ids, no id for Spanish records, no download link for German
+    ones) and read back with the XML reader."""
+    from furrow.sources.files import read_catalog_xml
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source",
+        F.trim(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z0-9 ]", "")).alias("title"))
+    attr = F.when(F.col("lang") != "es", F.concat(F.lit(' xml:id="D'), F.col("doc_id").cast("string"), F.lit('"')))
+    dist = F.when(F.col("lang") != "de", F.concat(
+        F.lit("<dcat:distribution><dcat:Distribution><dcat:downloadURL>http://data.example/"),
+        F.col("doc_id").cast("string"), F.lit("</dcat:downloadURL></dcat:Distribution></dcat:distribution>")))
+    rec = d.select(F.floor(F.col("doc_id") / 100).alias("block"), "doc_id", F.concat(
+        F.lit("<dcat:Dataset"), F.coalesce(attr, F.lit("")), F.lit("><dc:title>"), F.col("title"),
+        F.lit("</dc:title><dc:creator>"), F.col("source"), F.lit("</dc:creator><dc:subject>"), F.col("lang"),
+        F.lit("</dc:subject><dc:subject>"), F.col("source"), F.lit("</dc:subject>"),
+        F.coalesce(dist, F.lit("")), F.lit("</dcat:Dataset>")).alias("xml"))
+    root = ('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dcat="http://www.w3.org/ns/dcat#" '
+            'xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:dct="http://purl.org/dc/terms/">')
+    # at most 100 records per block: a bounded collect
+    files = (rec.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "xml"))).alias("r"))
+             .select("block", F.concat(F.lit(root), F.array_join(F.transform("r", lambda x: x["xml"]), "\n"),
+                                       F.lit("</rdf:RDF>")).alias("value")))
+    path = scratch_path(spark, "catalog-xml")
+    files.write.partitionBy("block").text(path)
+    cat = read_catalog_xml(spark, path + "/block=*")
+    return cat.select("id", "title", "creator", "description", F.array_join("subjects", ",").alias("subjects"),
+                      "download_url")
+
+
 def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 9.22-9.30 over whole documents."""
     from furrow.operators.textstats import text_profile
@@ -908,6 +938,7 @@ REGISTRY = {
     "catalog_stats": catalog_stats,
     "text_flags": text_flags,
     "catalog_prefix": catalog_prefix,
+    "catalog_xml": catalog_xml,
     "html_tables": html_tables,
     "context_block": context_block,
     "json_pack": json_pack,

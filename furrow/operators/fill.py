@@ -15,7 +15,9 @@ a segmented scan so that no series has to fit in one task:
    partitioning it already has from step 1.
 
 Without ``chunk`` the window runs per key directly (fine when a key's series
-is bounded, e.g. one location-year of daily rows).
+is bounded, e.g. one location-year of daily rows).  ``chunk="range"`` picks
+chunks from the data: range partitions of (keys, order), so even a key that
+holds a third of all rows is cut into bounded pieces.
 
 The summary branch reads only keys, chunk, order and value columns.  When
 the input is a table scan, Spark reuses the step-1 shuffle for it or runs a
@@ -53,10 +55,19 @@ def neighbors(df: DataFrame, keys: Sequence[str], order: Sequence, values: Seque
         base = df.withColumn(pos_col, F.row_number().over(w).cast("long"))
         return base.select("*", *_local_cols(w, values, pos_col, strict))
 
-    chunk_c = chunk if isinstance(chunk, Column) else F.col(chunk)
     ck = "__chunk"
-    if checkpoint_input:
-        df = cut_lineage(df)
+    if isinstance(chunk, str) and chunk == "range":
+        # data-adaptive chunks: range partitions of (keys, order) split even one
+        # hot key into bounded pieces, and their index grows with the order
+        # inside a key.  Written once so both branches see the same chunk ids.
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *[_as_order(o) for o in order])
+        df = cut_lineage(ranged.withColumn("__range", F.spark_partition_id()), "fill-ranges")
+        chunk_c = F.col("__range")
+    else:
+        chunk_c = chunk if isinstance(chunk, Column) else F.col(chunk)
+        if checkpoint_input:
+            df = cut_lineage(df)
     wl = Window.partitionBy(*keys, ck).orderBy(*order)
     step1 = df.withColumn(ck, chunk_c).withColumn("__lpos", F.row_number().over(wl).cast("long"))
     local = step1.select("*", *_local_cols(wl, values, "__lpos", strict))
@@ -87,7 +98,7 @@ def neighbors(df: DataFrame, keys: Sequence[str], order: Sequence, values: Seque
         c = F.col(k).eqNullSafe(F.col(f"__s_{k}" if k != ck else "__s_chunk"))
         cond = c if cond is None else cond & c
     joined = local.join(summ, cond, "left")
-    out_cols = [c for c in df.columns]
+    out_cols = [c for c in df.columns if c != "__range"]
     sel = [*[F.col(c) for c in out_cols], (F.col("__off") + F.col("__lpos")).alias(pos_col)]
     for v in values:
         n = _names(v)
@@ -102,6 +113,10 @@ def neighbors(df: DataFrame, keys: Sequence[str], order: Sequence, values: Seque
     return joined.select(*sel)
 
 
+def _as_order(o) -> Column:
+    return o if isinstance(o, Column) else F.col(o)
+
+
 def _local_cols(w, values: Sequence[str], pos: str, strict: bool = False) -> list[Column]:
     back = w.rowsBetween(_UNB_P, -1 if strict else _CUR)
     fwd = w.rowsBetween(1 if strict else _CUR, _UNB_F)

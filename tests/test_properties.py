@@ -61,3 +61,18 @@ def test_latest_by_key(spark, rows):
         if k not in want or (v, s) > want[k][:2]:
             want[k] = (v, s, p)
     assert got == want
+
+
+def test_range_chunks_on_a_hot_key(spark):
+    import random
+    rnd = random.Random(11)
+    rows = [(0, i, None if rnd.random() < 0.4 else float(i % 17)) for i in range(3000)]
+    rows += [(k, i, None if rnd.random() < 0.4 else float(i)) for k in (1, 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    want = {(r.k, r.i): r.v for r in fill.interpolate_linear(df, ["k"], ["i"], ["v"]).collect()}
+    got = {(r.k, r.i): r.v for r in fill.interpolate_linear(df, ["k"], ["i"], ["v"], chunk="range").collect()}
+    assert got.keys() == want.keys()
+    assert all((got[x] is None and want[x] is None) or abs(got[x] - want[x]) < 1e-9 for x in want)
+    prev = {(r.k, r.i): r.p for r in fill.carry_forward_before(df, ["k"], ["i"], "v", "p", chunk="range").collect()}
+    base = {(r.k, r.i): r.p for r in fill.carry_forward_before(df, ["k"], ["i"], "v", "p").collect()}
+    assert prev == base

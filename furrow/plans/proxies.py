@@ -67,7 +67,9 @@ def planting_all_plants(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("l_quantity") / 1000).alias("rain"))
     daily = planting.daily_rollup(hourly, "l_shipdate", "t", "rain", ["location"], daytime_hours=None)
     # every station asks for every crop: a fan-out over the fixed crop list, no join
-    requests = daily.select("location").distinct().select(
+    # the station list from a one-column distinct of the raw table (not from the
+    # rollup, which would aggregate lineitem a second time)
+    requests = li.select(F.col("l_returnflag").alias("location")).distinct().select(
         "location", F.explode(F.array(*[F.lit(r[0]) for r in PLANT_ROWS])).alias("nom_du_plante"))
     out = planting.planting_windows(daily, plants(spark), requests, ["location"], ref_date=ALL_PLANTS_REF_DATE)
     return out.select("location", "nom_du_plante", "month", "day", "years_analyzed", "weighted_years_analyzed",

@@ -447,7 +447,8 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
                            T.StructField("o_totalprice", T.DoubleType())])
     target = scratch_path(spark, "orders-latest")
     run(spark, landing + "/*", schema, target, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["bucket"],
-        clean=lambda b: b.withColumn("bucket", key_bucket(["o_custkey"], 16)), max_files_per_trigger=2)
+        clean=lambda b: b.withColumn("bucket", key_bucket(["o_custkey"], 16)), max_files_per_trigger=2,
+        touched_bound=16)
     return spark.read.parquet(target).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
 
 

@@ -23,4 +23,4 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(E.oracle_sql()) == set(E.queries())  # every registered query has oracle SQL

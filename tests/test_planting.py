@@ -101,3 +101,14 @@ def test_batch_form_matches_windows(spark):
     want = planting.planting_windows(daily, plants(spark), req, ["city_name"], ref_date="2021-12-31")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() > 0
+
+
+def test_history_bound_reaches_the_scan(spark, tmp_dir):
+    rows = [("Sousse", dt.datetime(1990 + y, 3, 1, 12), 20.0, 0.1) for y in range(36)]
+    spark.createDataFrame(rows, "city_name string, date_mesure timestamp_ntz, temperature_2m_mean double, "
+                                "precipitation_sum double").write.parquet(tmp_dir + "/hourly")
+    hourly = spark.read.parquet(tmp_dir + "/hourly")
+    out = planting.optimal_planting_window(hourly, plants(spark), "sousse", "tomate")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date_mesure,1996-01-31T00:00)" in plan  # 30 years before 2026-01-31
+    assert "ReadSchema: struct<city_name:string,date_mesure:timestamp_ntz,temperature_2m_mean:double," in plan

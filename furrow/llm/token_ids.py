@@ -176,7 +176,7 @@ class Encoder:
         code = coded.indices.to_numpy()
         odd = np.flatnonzero(at == _ALONE)
         odd = np.unique(np.searchsorted(ends, np.flatnonzero(np.isin(code, odd)), side="right")) if len(odd) else odd
-        at = at[code]
+        at = np.maximum(at, 0)[code]
         lens, starts = self.len[at], self.start[at]
         # a text's first word has no space before it; the texts marked odd are
         # encoded on their own: both point behind the cached ids

@@ -71,7 +71,7 @@ _NAMES = ["chunk", "uid", "doc_id", "n_bytes", "sha", "names", "name", "block"]
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names for sorted blocks: one integer per run of equal blocks.  Equal
-    blocks are in one range partition, whose number leads the name."""
+    blocks are in one partition, whose number leads the name."""
     from pyspark import TaskContext
 
     name, last = (TaskContext.get().partitionId() << 40) - 1, None
@@ -98,7 +98,7 @@ def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     cut = staged(src.mapInArrow(_cut(block_bytes, to_arrow_type(kind)), _SPLIT.format(kind.simpleString())), "blocks")
     rows = cut.where("block IS NULL").select("chunk", "uid", "doc_id", "n_bytes", "sha", "names")
     named = cut.where("block IS NOT NULL").select("chunk", "name", "block") \
-        .repartitionByRange("block").sortWithinPartitions("block") \
+        .repartition("block").sortWithinPartitions("block") \
         .mapInArrow(_number, "chunk long, local int, name long")
     named = staged(named, "block-names")
     seq = rows.select("chunk", "uid", F.size("names").alias("n"), F.posexplode("names").alias("idx", "local")) \
@@ -112,7 +112,7 @@ def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             F.coalesce(F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))), F.lit(-1).cast("long")).alias("b"))
         pairs = pairs.select("uid", F.shiftright(F.col("n") + 1, 1).alias("n"), "idx", "a", "b")
         pairs = staged(pairs, f"pairs-{level}")
-        names = staged(pairs.select("a", "b").distinct().repartitionByRange("a", "b").sortWithinPartitions("a", "b")
+        names = staged(pairs.select("a", "b").distinct().sortWithinPartitions("a", "b")
                        .select("a", "b", F.monotonically_increasing_id().alias("name")), f"pair-names-{level}")
         seq = staged(pairs.join(names, ["a", "b"]).select("uid", "n", "idx", "name"), f"names-{level}")
         done.append(seq.where("n = 1").select("uid", F.lit(level).alias("level"), "name"))

@@ -254,16 +254,22 @@ def rank_table(encoded: DataFrame) -> DataFrame:
     return encoded.select("n_tokens", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit values."""
+def code_slots(counts: np.ndarray) -> np.ndarray:
+    """Where the codes of documents stand: each starts on a control byte."""
+    four = -(-counts // 4) * 4
+    return ranges(np.cumsum(four) - four, counts)
+
+
+def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """(control bytes, data bytes) of unsigned 32-bit values, ``counts`` of them per document."""
     v = np.ascontiguousarray(ranks, dtype="<u4")
     code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    four = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    four[:len(v)] = code
-    control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    four = np.zeros(int((-(-counts // 4)).sum()) * 4, np.uint8)
+    four[code_slots(counts)] = code
+    four = four.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     width = int(code.max()) + 1 if len(code) else 1
-    data = v.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width) <= code[:, None]] if len(v) else np.zeros(0, np.uint8)
-    return control.tobytes(), data.tobytes()
+    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width) <= code[:, None]].tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, keep: np.ndarray) -> np.ndarray:
@@ -279,41 +285,28 @@ def unpack(control: np.ndarray, data: np.ndarray, keep: np.ndarray) -> np.ndarra
     return out
 
 
-def _pack_docs(rank_of):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = rank_of.value
-        for whole in batches:
-            for b in sub_batches(whole, "ids", 8 << 20):
-                n = b.column("n_tokens").to_pylist()
-                both = [pack(rank[_values(d.as_buffer(), k)]) for d, k in zip(b.column("ids"), n)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("n_tokens"),
-                                                  pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.binary())],
-                                                 names=["doc_id", "n_tokens", "control", "data"])
-    return run
-
-
 def _filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
 
 
-def _write_shard(folder: str):
+def _write_shard(folder: str, rank_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ctx = TaskContext.get()
-        out, docs, tokens, name = None, 0, 0, f"{ctx.partitionId():08d}-{uuid.uuid4().hex}.fvb"
+        rank, shard = rank_of.value, TaskContext.get().partitionId()
+        out, docs, tokens, name = None, 0, 0, f"{shard:08d}-{uuid.uuid4().hex}.fvb"
         try:
             for whole in batches:
-                for b in sub_batches(whole, "data", BLOCK_TOKENS):
+                for b in sub_batches(whole, "ids", 2 * BLOCK_TOKENS):
                     if out is None:
                         fs, path = _filesystem(folder)
                         fs.create_dir(path, recursive=True)
-                        out = fs.open_output_stream(f"{path}/{name}")
+                        out = fs.open_output_stream(f"{path}/{name}", compression=None)
                         out.write(MAGIC)
-                    ids, n = b.column("doc_id"), b.column("n_tokens").to_numpy()
-                    control, data = (b"".join(b.column(c).to_pylist()) for c in ("control", "data"))
+                    ids, n = b.column("doc_id").cast(pa.int64()), b.column("n_tokens").to_numpy()
+                    control, data = pack(np.concatenate([rank[_values(x.as_buffer(), k)] for x, k in zip(b.column("ids"), n.tolist())]), n)
                     out.write(struct.pack(_HEAD, len(n), len(control), len(data)))
                     out.write(ids.fill_null(0).to_numpy().astype("<i8").tobytes())
                     out.write(ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())
@@ -325,9 +318,8 @@ def _write_shard(folder: str):
             if out is not None:
                 out.close()
         if docs:
-            yield pa.RecordBatch.from_arrays([pa.array([ctx.partitionId()], pa.int64()), pa.array([f"{folder}/{name}"]),
-                                              pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())],
-                                             names=["shard", "path", "documents", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([docs], pa.int64()),
+                                              pa.array([tokens], pa.int64())], names=["shard", "path", "documents", "tokens"])
     return run
 
 
@@ -340,9 +332,8 @@ def write_ids(encoded: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     order = _order(ranks)
     rank_of = np.zeros(int(order.max()) + 1 if len(order) else 1, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    packed = encoded.mapInArrow(_pack_docs(spark.sparkContext.broadcast(rank_of)), "doc_id long, n_tokens long, control binary, data binary")
-    packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id") \
-        .mapInArrow(_write_shard(f"{folder}/shards"), "shard long, path string, documents long, tokens long") \
+    encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id") \
+        .mapInArrow(_write_shard(f"{folder}/shards", spark.sparkContext.broadcast(rank_of)), "shard long, path string, documents long, tokens long") \
         .write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest"), ranks
 
@@ -363,7 +354,7 @@ def read_blocks(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np
         count = np.frombuffer(stream.read(8 * n), "<u8").astype(np.int64)
         control, data = np.frombuffer(stream.read(c), np.uint8), np.frombuffer(stream.read(d), np.uint8)
         keep = np.zeros(4 * c, bool)
-        keep[ranges(4 * (np.cumsum(-(-count // 4)) - -(-count // 4)), count)] = True
+        keep[code_slots(count)] = True
         yield ids, null.astype(bool), count, unpack(control, data, keep)
 
 

@@ -73,9 +73,11 @@ def test_pack_lengths():
     import numpy as np
 
     v = np.array([0, 1, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1], np.uint32)
-    control, data = token_ids.pack(v)
+    counts = np.array([1, 5, 0, 3])
+    control, data = token_ids.pack(v, counts)
     keep = np.zeros(4 * len(control), bool)
-    keep[:len(v)] = True
+    keep[token_ids.code_slots(counts)] = True
+    assert len(control) == 4
     assert (token_ids.unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), keep) == v).all()
     assert len(data) == 3 + 2 * 2 + 2 * 3 + 2 * 4
 

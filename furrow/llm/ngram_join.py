@@ -9,10 +9,11 @@ is exact on these sets.
    on one representative per class.
 2. Candidates, without loss.  Of each set the smallest hashes are kept, a share
    of 1 - t plus ``1 / EXTRA``: two sets that link then share at least
-   ceil(n / EXTRA) of them, n being the smaller size.  Corpus counts of these
-   n-grams give one global order, rare first.  A set whose kept n-grams are
-   mostly its own cannot link and drops out; the others are posted under the
-   shortest prefix in that order which must meet every partner's prefix.
+   ceil(n / EXTRA) of them, n being the smaller size.  A set of which fewer are
+   held by any other set cannot link and drops out.  The rest is judged again by
+   whole sets, of which a link asks for t.  Corpus counts of the n-grams then give
+   one global order, rare first, and a set is posted under the shortest prefix in
+   that order which must meet every partner's prefix.
 3. Blocks.  Posting lists connect candidates to groups; a group that is too large
    for a task is cut into blocks.
 4. Prefix trees.  In a block the full sets are written in one order, frequent
@@ -141,8 +142,9 @@ def _full(size: int):
             for b in sub_batches(whole, "text", 8 << 20):
                 sets = gram_sets(b.column("text").to_pylist(), size)
                 good = [i for i, d in enumerate(b.column("digest").to_pylist()) if len(sets[i]) and _digest(sets[i]) == d]
-                yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(good, pa.int64())), pa.array([len(sets[i]) for i in good], pa.int64()),
-                                                  _binary([sets[i] for i in good])], names=["uid", "n", "grams"])
+                uid = b.column("uid").take(pa.array(good, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(uid.to_pylist()[:1] * len(good), pa.int64()), uid, pa.array([len(sets[i]) for i in good], pa.int64()),
+                                                  _binary([sets[i] for i in good])], names=["chunk", "uid", "n", "grams"])
     return run
 
 
@@ -150,28 +152,25 @@ def _column(t: pa.Table, name: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
 
 
-def _pack(rows: pa.Table, reps: pa.Table) -> pa.Table:
-    """The representatives of a chunk as one row."""
-    rows = rows.filter(pa.array(np.isin(rows.column("uid").to_numpy(), reps.column("uid").to_numpy())))
-    grams = _column(rows, "grams", np.uint64)
-    return pa.table({"chunk": pa.array(rows.column("chunk").to_pylist()[:1], pa.int64()),
-                     "uids": pa.array([rows.column("uid").to_numpy().tobytes()][:len(rows)], pa.binary()),
-                     "sizes": pa.array([rows.column("n").to_numpy().tobytes()][:len(rows)], pa.binary()),
-                     "lens": pa.array([np.array([len(g) for g in grams], np.int64).tobytes()][:len(rows)], pa.binary()),
-                     "grams": pa.array([b"".join(g.tobytes() for g in grams)][:len(rows)], pa.binary())})
+def _only(rows: pa.Table, reps: pa.Table) -> pa.Table:
+    """The representatives of a chunk."""
+    return rows.filter(pa.array(np.isin(rows.column("uid").to_numpy(), reps.column("uid").to_numpy())))
 
 
 def _ask(buckets: int):
     """Each distinct n-gram of a chunk and how many of its sets hold it, by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, raw in zip(b.column("chunk").to_pylist(), b.column("grams").to_pylist()):
-                gram, count = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
+            chunks = b.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)] if len(chunks) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                grams = np.frombuffer(b"".join(b.column("grams").slice(lo, hi - lo).to_pylist()), np.uint64)
+                gram, count = np.unique(grams, return_counts=True)
                 home = ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascending, as the grams are
                 cut = np.searchsorted(home, np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(full, pa.int64()), pa.array([chunk] * len(full), pa.int64()), _binary([gram[cut[k]:cut[k + 1]] for k in full]),
+                    pa.array(full, pa.int64()), pa.array([int(chunks[lo])] * len(full), pa.int64()), _binary([gram[cut[k]:cut[k + 1]] for k in full]),
                     _binary([count[cut[k]:cut[k + 1]].astype(np.uint32) for k in full])], names=["bucket", "chunk", "grams", "counts"])
     return run
 
@@ -187,28 +186,42 @@ def _answer(asked: pa.Table) -> pa.Table:
                      "counts": _binary([total[a:b][h] for a, b, h in zip(cut, cut[1:], held)])})
 
 
-def _post(threshold: int, packed: pa.Table, answers: pa.Table) -> pa.Table:
-    """Per set with possible partners: the n-grams it is posted under."""
-    schema = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
-    if not len(packed) or not len(answers):
+def _post(least_of, rows: pa.Table, answers: pa.Table) -> pa.Table:
+    """The sets of a chunk that share as many n-grams with others as a link
+    asks for, each with the n-grams it is posted under: the rarest, as many as
+    are needed to meet any partner's."""
+    schema = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("grams", pa.binary())])
+    if not len(rows) or not len(answers):
         return schema.empty_table()
     known, count = np.concatenate(_column(answers, "grams", np.uint64)), np.concatenate(_column(answers, "counts", np.int64))
     if not len(known):
         return schema.empty_table()
     order = np.argsort(known)
     known, count = known[order], count[order]
-    uids, sizes, lens = (_column(packed, c, np.int64)[0] for c in ("uids", "sizes", "lens"))
-    gram = _column(packed, "grams", np.uint64)[0]
-    at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-    df = np.where(known[at] == gram, count[at], 1)
-    out, cut = [], np.cumsum([0, *lens])
-    for k, (a, b) in enumerate(zip(cut, cut[1:])):
-        shared = np.flatnonzero(df[a:b] > 1)
-        least = kept(int(sizes[k]), threshold)[1]
+    keys, stay = [], []
+    for k, (n, gram) in enumerate(zip(rows.column("n").to_pylist(), _column(rows, "grams", np.uint64))):
+        at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+        df = np.where(known[at] == gram, count[at], 1)
+        shared, least = np.flatnonzero(df > 1), least_of(n)
         if len(shared) >= least:
-            rare = shared[np.lexsort((gram[a:b][shared], df[a:b][shared]))][:len(shared) - least + 1]
-            out.append((int(uids[k]), int(sizes[k]), gram[a:b][rare].view(np.int64)))
-    return pa.table([pa.array([r[i] for r in out], schema.types[i]) for i in range(3)], schema=schema)
+            rare = shared[np.lexsort((gram[shared], df[shared]))][:len(shared) - least + 1]
+            keys.append(gram[rare].view(np.int64))
+            stay.append(k)
+    rows = rows.take(pa.array(stay, pa.int64()))
+    return pa.table([rows.column("uid"), rows.column("n"), pa.array(keys, pa.list_(pa.int64())), rows.column("grams")], schema=schema)
+
+
+def _posted(sets: DataFrame, least_of, grams: bool) -> DataFrame:
+    """``sets`` (chunk, uid, n, grams; a chunk's rows stand together) reduced to
+    those that may have a partner: uid, n, and if asked for keys and grams."""
+    total = sets.agg(F.sum(F.length("grams"))).first()[0] or 0
+    buckets = max(1, -(-(total // 8) // BUCKET_GRAMS))
+    answers = sets.select("chunk", "grams").mapInArrow(_ask(buckets), "bucket long, chunk long, grams binary, counts binary") \
+        .groupBy("bucket").applyInArrow(_answer, "chunk long, grams binary, counts binary")
+    cols, post = ("uid", "n", "keys", "grams") if grams else ("uid",), partial(_post, least_of)
+    kinds = {"uid": "long", "n": "long", "keys": "array<long>", "grams": "binary"}
+    return staged(sets.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+                  .applyInArrow(lambda r, a: post(r, a).select(list(cols)), ", ".join(f"{c} {kinds[c]}" for c in cols)), "posted")
 
 
 class PrefixTree:
@@ -329,46 +342,41 @@ def similar_sets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     rows = staged(sketch.drop("grams"), "rows")
     classes = staged(rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")), "classes")
 
+    # first by a share of each set, then by whole sets of what is left
     chunk = F.shiftright("uid", CHUNK_BITS).alias("chunk")
-    packed = staged(sketch.where("n > 0").select(chunk, "uid", "n", "grams").groupBy("chunk").cogroup(classes.select(chunk, "uid").groupBy("chunk"))
-                    .applyInArrow(_pack, "chunk long, uids binary, sizes binary, lens binary, grams binary"), "packed")
+    reps = staged(sketch.where("n > 0").select(chunk, "uid", "n", "grams").groupBy("chunk").cogroup(classes.select(chunk, "uid").groupBy("chunk"))
+                  .applyInArrow(_only, "chunk long, uid long, n long, grams binary"), "representatives")
     release(sketch)
-    total = packed.agg(F.sum(F.length("grams"))).first()[0] or 0
-    buckets = max(1, -(-(total // 8) // BUCKET_GRAMS))
-    answers = packed.select("chunk", "grams").mapInArrow(_ask(buckets), "bucket long, chunk long, grams binary, counts binary") \
-        .groupBy("bucket").applyInArrow(_answer, "chunk long, grams binary, counts binary")
-    post = partial(_post, threshold)
-    posts = staged(packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda p, a: post(p, a), "uid long, n long, keys array<long>"), "posts")
-    release(packed)
+    maybe = _posted(reps, lambda n: kept(n, threshold)[1], grams=False)
+    release(reps)
+    # read again by the id of their document
+    wanted = staged(maybe.join(classes.select("uid", "digest"), "uid").join(rows.select("uid", F.col("doc_id").alias("id")), "uid"), "wanted")
+    text = docs.select(plain(id_col)[0].alias("id"), text_bytes(f"`{text_col}`").alias("text"))
+    full = text.join(wanted, text["id"].eqNullSafe(wanted["id"])).select("uid", "digest", "text")
+    sets = staged(full.mapInArrow(_full(size), "chunk long, uid long, n long, grams binary"), "sets")
+    posts = _posted(sets, lambda n: least_overlap(n, threshold), grams=True)
+    release(sets)
 
     posting = posts.select("uid", F.explode("keys").alias("key"))
     heads = staged(posting.groupBy("key").agg(F.min("uid").alias("head"), F.max("uid").alias("last")).where("head <> last").select("key", "head"), "heads")
     stars = posting.join(heads, "key").where("uid <> head").select(F.col("uid").alias("u"), F.col("head").alias("v")).distinct()
     groups = components(stars)
-
-    # full sets of the candidates, read again by the id of their document
-    wanted = staged(groups.join(classes.withColumnRenamed("uid", "node"), "node").join(rows.select(F.col("uid").alias("node"), "doc_id"), "node")
-                    .select(F.col("node").alias("uid"), F.col("label").alias("grp"), "digest", F.col("doc_id").alias("id")), "wanted")
-    text = docs.select(plain(id_col)[0].alias("id"), text_bytes(f"`{text_col}`").alias("text"))
-    full = text.join(wanted, text["id"].eqNullSafe(wanted["id"])).select("uid", "digest", "text")
-    sets = full.mapInArrow(_full(size), "uid long, n long, grams binary").dropDuplicates(["uid"])
-    sets = staged(sets.join(wanted.select("uid", "grp"), "uid").withColumn("label", F.col("uid")), "sets")
+    sets = posts.join(groups.toDF("uid", "grp"), "uid").select("uid", "n", "grams", "grp", F.col("uid").alias("label"))
 
     cut = _blocks(sets, "grp")
     links = staged(_linked(cut, ["grp", "block"], threshold), "links")
     large = staged(cut.where("blocks > 1").select("uid", "grp").distinct(), "large")
     if large.isEmpty():
         return rows, classes, links
-    sets = staged(sets.join(large.select("uid"), "uid", "left_semi"), "large-sets")
+    sets = staged(sets.join(large.select("uid"), "uid", "left_semi"), "large-sets").drop("grp")
     for _ in range(3):  # bridges between the blocks of a group
         now = _labelled(large, links)
-        reps = sets.drop("label").join(now.where("uid = label"), "uid")
+        reps = sets.drop("label").join(now.where("uid = label"), "uid").join(large, "uid")
         more = staged(_linked(_blocks(reps, "grp"), ["grp", "block"], threshold), "links")
         if more.isEmpty():
             break
         links = staged(links.unionByName(more), "links")
-    now = _labelled(large, links)
-    member = posting.join(now, "uid")
+    member = posting.join(_labelled(large, links), "uid")
     open_ = staged(member.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("m"))
                    .where("a <> b").select("key", F.ceil(F.col("m") / (BLOCK_SETS // 2)).cast("long").alias("parts")), "open")
     if open_.isEmpty():

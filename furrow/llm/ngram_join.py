@@ -42,6 +42,7 @@ are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -135,12 +136,19 @@ def _sketch(size: int, threshold: int):
     return run
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the shuffle."""
+    for whole in batches:
+        for b in sub_batches(whole, "text", 8 << 20):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([zlib.compress(t, 1) for t in b.column("text").to_pylist()], pa.binary())], names=["id", "text"])
+
+
 def _full(size: int):
     """Full sets of the wanted rows; of rows with the same id only the one with the wanted set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in sub_batches(whole, "text", 8 << 20):
-                sets = gram_sets(b.column("text").to_pylist(), size)
+            for b in sub_batches(whole, "text", 4 << 20):
+                sets = gram_sets([zlib.decompress(t) for t in b.column("text").to_pylist()], size)
                 good = [i for i, d in enumerate(b.column("digest").to_pylist()) if len(sets[i]) and _digest(sets[i]) == d]
                 uid = b.column("uid").take(pa.array(good, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(uid.to_pylist()[:1] * len(good), pa.int64()), uid, pa.array([len(sets[i]) for i in good], pa.int64()),
@@ -351,7 +359,7 @@ def similar_sets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     release(reps)
     # read again by the id of their document
     wanted = staged(maybe.join(classes.select("uid", "digest"), "uid").join(rows.select("uid", F.col("doc_id").alias("id")), "uid"), "wanted")
-    text = docs.select(plain(id_col)[0].alias("id"), text_bytes(f"`{text_col}`").alias("text"))
+    text = docs.select(plain(id_col)[0].alias("id"), text_bytes(f"`{text_col}`").alias("text")).mapInArrow(_squeeze, f"id {kind}, text binary")
     full = text.join(wanted, text["id"].eqNullSafe(wanted["id"])).select("uid", "digest", "text")
     sets = staged(full.mapInArrow(_full(size), "chunk long, uid long, n long, grams binary"), "sets")
     posts = _posted(sets, lambda n: least_overlap(n, threshold), grams=True)

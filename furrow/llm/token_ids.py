@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from furrow.llm.common import plain, ranges, staged, sub_batches
 from furrow.session import scratch_path
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 BLOCK_TOKENS = 1 << 20
 MAGIC = b"FVB1"
 _HEAD = "<IQQ"
@@ -213,7 +213,7 @@ def _encode(path: str, eos: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path, special_as_text)
         for whole in batches:
-            for b in sub_batches(whole, "text", 12 << 20):
+            for b in sub_batches(whole, "text", 6 << 20):
                 ids, lens = enc.encode(b.column("text"))
                 ends = np.cumsum(lens)
                 ids = np.insert(ids, ends, eos)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from furrow.llm.common import WORD_TABLE, plain, staged, sub_batches, text_bytes
 
 BITS = 20
-MAX_TRAIN_ROWS = 8_000
+MAX_TRAIN_ROWS = 6_000
 MAX_TRAIN_BYTES = 1 << 20
 THRESHOLD = 0.7
 STEMS = (4, 5)
@@ -95,17 +95,18 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, p = _features(b.column("text").to_pylist())
             doc, p, v = _counted(doc, p)
             place.append(p.astype(np.int32))
-            value.append(v.astype(np.float32))
+            value.append(v.astype(np.float16))
             size.append(np.bincount(doc, minlength=b.num_rows))
             label += b.column("toxic").to_pylist()
     if not label:
         return
-    place, value, size = np.concatenate(place), np.concatenate(value), np.concatenate(size)
-    often = np.bincount(place, minlength=1 << BITS) > 2  # a place of one or two rows teaches nothing
-    keep = often[place]
-    row = np.repeat(np.arange(len(size)), size)[keep]
-    place, value = place[keep], value[keep].astype(np.float64)
-    cut = np.searchsorted(row, np.arange(len(size) + 1))
+    size = np.concatenate(size)
+    place = np.concatenate(place)
+    keep = (np.bincount(place, minlength=1 << BITS) > 2)[place]  # a place of one or two rows teaches nothing
+    place = place[keep]
+    value = np.concatenate(value)[keep]
+    cut = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])[np.concatenate([[0], np.cumsum(size)])]
+    del keep
     z, n, w = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
     for _ in range(EPOCHS):

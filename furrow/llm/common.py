@@ -72,7 +72,7 @@ def plain(*names: str):
     return [F.col(f"`{n}`") for n in names]
 
 
-def sub_batches(batch: pa.RecordBatch, column: str, max_bytes: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def sub_batches(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a record batch whose ``column`` holds about ``max_bytes`` at
     most (one row at least), so that what a task derives from it stays bounded."""
     arr = batch.column(batch.schema.get_field_index(column))

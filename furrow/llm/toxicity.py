@@ -91,7 +91,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """FTRL-proximal over all rows of the (bounded) input, in their order."""
     place, value, size, label = [], [], [], []
     for whole in batches:
-        for b in sub_batches(whole, "text", 4 << 20):
+        for b in sub_batches(whole, "text", 2 << 20):
             doc, p = _features(b.column("text").to_pylist())
             doc, p, v = _counted(doc, p)
             place.append(p.astype(np.int32))
@@ -144,7 +144,7 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, known = model.value
         for whole in batches:
-            for b in sub_batches(whole, "text", 8 << 20):
+            for b in sub_batches(whole, "text", 2 << 20):
                 score = np.zeros(b.num_rows)
                 if known:
                     doc, place = _features(b.column("text").to_pylist())

@@ -42,7 +42,8 @@ def sentinel_to_null(c, sentinel: float = SENTINEL) -> Column:
 def coerce_numeric(c) -> Column:
     """Text or number to DOUBLE; unparsable text and NaN become null (op 3.4)."""
     c = as_col(c)
-    return nan_to_null(F.trim(c.cast("string")).try_cast("double"))
+    text = F.trim(c.cast("string"))
+    return nan_to_null(F.when(~text.rlike("[dDfF]$") | F.lower(text).rlike("inf$"), text.try_cast("double")))
 
 
 def null_outside(c, lo: float, hi: float) -> Column:

@@ -24,7 +24,7 @@ def metric_map(cols: Sequence[str]) -> Column:
 def json_field(c, key: str, cast: str | None = "double") -> Column:
     """``metrics->>'key'`` (JSON text field access)."""
     v = F.get_json_object(as_col(c), f"$.{key}")
-    return v.cast(cast) if cast else v
+    return v.try_cast(cast) if cast else v
 
 
 def row_json(df_cols: Sequence[str]) -> Column:

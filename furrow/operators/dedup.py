@@ -42,7 +42,7 @@ def any_match_dedup(df: DataFrame, id_col: str, conds: dict[str, Column]) -> tup
     """Rows matching any named condition, once per id, plus per-condition hit counts (op 5.12)."""
     hit = F.array(*[F.when(c, F.lit(name)) for name, c in conds.items()])
     tagged = df.withColumn("__hits", F.filter(hit, lambda x: x.isNotNull()))
-    rows = tagged.where(F.size("__hits") > 0).drop("__hits")
+    rows = tagged.where(F.size("__hits") > 0).drop("__hits").dropDuplicates([id_col])
     counts = (tagged.select(F.explode("__hits").alias("keyword"))
               .groupBy("keyword").agg(F.count(F.lit(1)).alias("n")))
     return rows, counts

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from furrow.session import cut_lineage
 
-_UNB_P, _UNB_F, _CUR = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
+_UNB_P, _CUR = Window.unboundedPreceding, Window.currentRow
 
 
 def _names(v: str) -> dict[str, str]:
@@ -53,7 +53,8 @@ def neighbors(df: DataFrame, keys: Sequence[str], order: Sequence, values: Seque
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         base = df.withColumn(pos_col, F.row_number().over(w).cast("long"))
-        return base.select("*", *_local_cols(w, values, pos_col, strict))
+        back = Window.partitionBy(*keys).orderBy(F.col(pos_col).desc())
+        return base.select("*", *_local_cols(w, back, values, pos_col, strict))
 
     ck = "__chunk"
     if isinstance(chunk, str) and chunk == "range":
@@ -70,7 +71,8 @@ def neighbors(df: DataFrame, keys: Sequence[str], order: Sequence, values: Seque
             df = cut_lineage(df)
     wl = Window.partitionBy(*keys, ck).orderBy(*order)
     step1 = df.withColumn(ck, chunk_c).withColumn("__lpos", F.row_number().over(wl).cast("long"))
-    local = step1.select("*", *_local_cols(wl, values, "__lpos", strict))
+    back = Window.partitionBy(*keys, ck).orderBy(F.col("__lpos").desc())
+    local = step1.select("*", *_local_cols(wl, back, values, "__lpos", strict))
 
     # per-chunk summary: one row per (keys, chunk)
     aggs = [F.count(F.lit(1)).alias("__n")]
@@ -78,7 +80,7 @@ def neighbors(df: DataFrame, keys: Sequence[str], order: Sequence, values: Seque
         nn = F.when(F.col(v).isNotNull(), F.struct(F.col("__lpos").alias("p"), F.col(v).alias("v")))
         aggs += [F.max(nn).alias(f"__last_{v}"), F.min(nn).alias(f"__first_{v}")]
     summ = local.groupBy(*keys, ck).agg(*aggs)
-    ws = Window.partitionBy(*keys).orderBy(ck)
+    ws, wr = Window.partitionBy(*keys).orderBy(ck), Window.partitionBy(*keys).orderBy(F.col(ck).desc())
     summ = summ.withColumn("__off", F.coalesce(F.sum("__n").over(ws.rowsBetween(_UNB_P, -1)), F.lit(0)))
     carried = []
     for v in values:
@@ -87,7 +89,7 @@ def neighbors(df: DataFrame, keys: Sequence[str], order: Sequence, values: Seque
         gfirst = F.when(F.col(f"__first_{v}").isNotNull(),
                         F.struct((F.col("__off") + F.col(f"__first_{v}.p")).alias("p"), F.col(f"__first_{v}.v").alias("v")))
         carried += [F.last(glast, ignorenulls=True).over(ws.rowsBetween(_UNB_P, -1)).alias(f"__cin_{v}"),
-                    F.first(gfirst, ignorenulls=True).over(ws.rowsBetween(1, _UNB_F)).alias(f"__cout_{v}")]
+                    F.last(gfirst, ignorenulls=True).over(wr.rowsBetween(_UNB_P, -1)).alias(f"__cout_{v}")]
     summ = summ.select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.col(ck).alias("__s_chunk"),
                        "__off", *carried)
 
@@ -117,17 +119,20 @@ def _as_order(o) -> Column:
     return o if isinstance(o, Column) else F.col(o)
 
 
-def _local_cols(w, values: Sequence[str], pos: str, strict: bool = False) -> list[Column]:
+def _local_cols(w, reverse, values: Sequence[str], pos: str, strict: bool = False) -> list[Column]:
+    """"Next" is the last value in the reversed order: a growing frame, which
+    Spark evaluates in one pass, where a frame that shrinks is evaluated anew
+    for every row."""
     back = w.rowsBetween(_UNB_P, -1 if strict else _CUR)
-    fwd = w.rowsBetween(1 if strict else _CUR, _UNB_F)
+    fwd = reverse.rowsBetween(_UNB_P, -1 if strict else _CUR)
     cols = []
     for v in values:
         n = _names(v)
         at = F.when(F.col(v).isNotNull(), F.col(pos))
         cols += [F.last(v, ignorenulls=True).over(back).alias(n["prev"]),
                  F.last(at, ignorenulls=True).over(back).alias(n["prev_pos"]),
-                 F.first(v, ignorenulls=True).over(fwd).alias(n["next"]),
-                 F.first(at, ignorenulls=True).over(fwd).alias(n["next_pos"])]
+                 F.last(v, ignorenulls=True).over(fwd).alias(n["next"]),
+                 F.last(at, ignorenulls=True).over(fwd).alias(n["next_pos"])]
     return cols
 
 

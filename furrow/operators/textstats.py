@@ -12,14 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import text as TX
-from furrow.session import spread
 
 
 def text_profile(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_words, n_sentences, n_digit_tokens, unit_hits, caution_hits,
     dense, too_long and the normalised text ``norm``."""
     keep = list(keep if keep is not None else df.columns)
-    s1 = spread(df).select(*keep, TX.collapse_ws(text_col).alias("norm"))
+    s1 = df.select(*keep, TX.collapse_ws(text_col).alias("norm"))
     s2 = s1.select("*", F.lower("norm").alias("__low"))
     s3 = s2.select(
         *keep, "norm",

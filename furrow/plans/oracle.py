@@ -692,7 +692,6 @@ select c_custkey,
                  || chr(10) || '- farm_size: ' || coalesce(cast(fs as varchar), 'null')
                  || chr(10) || '- farm_size_unit: ' || (case when coalesce(fu, '') <> '' then fu else 'unknown' end)
                  || chr(10) || '- soil_type: ' || (case when coalesce(st, '') <> '' then st else 'unknown' end)
-                 || chr(10) || 'Use this structured context as authoritative when routing and answering.'
        end as context
 from f
 """

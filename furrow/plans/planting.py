@@ -127,7 +127,7 @@ def planting_windows(daily: DataFrame, plants: DataFrame, requests: DataFrame,
                      F.when((F.col("daily_temp_min") < F.col("temp_min_abs"))
                             | (F.col("daily_temp_max") > F.col("temp_max_abs")), 1)
                       .otherwise(0).alias("x"),
-                     F.round(F.coalesce(F.col("daily_rain"), F.lit(0.0)) * _MICRO)
+                     F.round(F.coalesce(F.nanvl(F.col("daily_rain"), F.lit(None).cast("double")), F.lit(0.0)) * _MICRO)
                       .cast("bigint").alias("r")))
 
     keys = [*loc_cols, "nom_du_plante"]

@@ -19,7 +19,7 @@ from furrow.functions import jsonx as J
 from furrow.functions import text as TX
 from furrow.operators import dedup, fill, keys, merge, quality, reshape, search
 from furrow.plans import catalog, conversations, planting
-from furrow.session import bounded_broadcast, scratch_path
+from furrow.session import scratch_path
 from furrow.sinks import align, partitioned, upsert
 from furrow.sources import payloads
 from furrow.sources.files import param_sql as _param_sql
@@ -447,8 +447,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
                            T.StructField("o_totalprice", T.DoubleType())])
     target = scratch_path(spark, "orders-latest")
     run(spark, landing + "/*", schema, target, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["bucket"],
-        clean=lambda b: b.withColumn("bucket", key_bucket(["o_custkey"], 16)), max_files_per_trigger=2,
-        touched_bound=16)
+        clean=lambda b: b.withColumn("bucket", key_bucket(["o_custkey"], 16)), max_files_per_trigger=2)
     return spark.read.parquet(target).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
 
 
@@ -524,10 +523,10 @@ def price_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 4.3: fact to dimension joins (dimensions broadcast after a size check)."""
+    """Op 4.3: fact to dimension joins (Spark's own size check decides what is broadcast)."""
     c = table(spark, sf_dir, "customer")
-    n = bounded_broadcast(table(spark, sf_dir, "nation"), 10_000)
-    r = bounded_broadcast(table(spark, sf_dir, "region"), 10_000)
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
     j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return j.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("n_customers"),
                                              F.round(F.sum("c_acctbal"), 2).alias("acctbal"))
@@ -623,7 +622,7 @@ def catalog_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 9.31: farm context block from optional fields (customers as farms)."""
     c = table(spark, sf_dir, "customer")
-    n = bounded_broadcast(table(spark, sf_dir, "nation"), 10_000)
+    n = table(spark, sf_dir, "nation")
     farms = c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
         "c_custkey",
         F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("governorate"),

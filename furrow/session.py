@@ -1,12 +1,10 @@
-"""Session helpers: a tuned builder, the shared scratch folder, bounded broadcast."""
+"""Session helpers: a tuned builder, the shared scratch folder, lineage cuts."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,18 +38,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment (a shared file system). Only
-    when it is unset (local tests) a private folder is created and registered.
-    """
+    The deployment sets it; every executor must see it.  Without it a folder of
+    one machine would be used on a cluster, so an unset value is an error."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
         jdir = sc._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
-        root = tempfile.mkdtemp(prefix="furrow-ckpt-")
-        sc.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     return root
 
 
@@ -69,23 +64,3 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after proving its size bound; otherwise leave the
-    join strategy to the optimizer (and AQE's runtime size check)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Round-robin repartition before CPU-heavy row-local work, only when the
-    input has fewer partitions than the cluster has cores (a few large files
-    or row groups).  A scan of many files is left as it is: no shuffle."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a remote session): leave the plan alone
-        return df
-    return df if have >= cores else df.repartition(cores * per_core)

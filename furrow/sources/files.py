@@ -89,7 +89,7 @@ def read_csv_skip_preamble(spark: SparkSession, path: str, schema: T.StructType
     ddl = schema if isinstance(schema, str) else schema.simpleString()[len("struct<"):-1].replace(":", " ")
     lines = spark.read.text(path, wholetext=True).select(
         F.split(F.regexp_replace("value", "\r\n", "\n"), "\n").alias("lines"))
-    body = lines.select(F.explode(F.slice("lines", skip_lines + 2, 1 << 30)).alias("line")).where(F.trim("line") != "")
+    body = lines.select(F.explode(F.slice("lines", F.lit(skip_lines + 2), F.size("lines"))).alias("line")).where(F.trim("line") != "")
     parsed = body.select(F.from_csv("line", ddl).alias("r")).select("r.*")
     if renames:
         parsed = parsed.withColumnsRenamed(dict(renames))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.session import bounded_broadcast, cut_lineage, scratch_path
+from furrow.session import cut_lineage, scratch_path
 from furrow.sinks.upsert import upsert
 
 
@@ -37,19 +37,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def upsert_partitions(incoming: DataFrame, path: str, keys: Sequence[str], order: Sequence[str],
-                      part_cols: Sequence[str], max_touched: int = 1_000_000,
-                      touched_bound: int | None = None) -> None:
+                      part_cols: Sequence[str]) -> None:
     """Merge ``incoming`` into the partitioned table at ``path``, rewriting
-    only the partitions it touches.  The touched partition values are
-    broadcast after a size check, or directly when ``touched_bound`` states a
-    bound known by construction (e.g. the bucket count of a key bucket)."""
+    only the partitions it touches (a semi join on the partition values)."""
     spark = incoming.sparkSession
     part_cols = list(part_cols)
     if _exists(spark, path):
         touched = incoming.select(*part_cols).distinct()
-        small = (F.broadcast(touched) if touched_bound is not None and touched_bound <= max_touched
-                 else bounded_broadcast(touched, max_touched))
-        current = spark.read.parquet(path).join(small, part_cols, "left_semi")
+        current = spark.read.parquet(path).join(touched, part_cols, "left_semi")
         merged = upsert(current.select(*incoming.columns), incoming, keys, order)
     else:
         merged = upsert(incoming.limit(0), incoming, keys, order)
@@ -62,7 +57,7 @@ def stream_upsert(spark: SparkSession, source_path: str, source_schema: T.Struct
                   keys: Sequence[str], order: Sequence[str], part_cols: Sequence[str],
                   clean: Callable[[DataFrame], DataFrame] = lambda d: d,
                   checkpoint: str | None = None, max_files_per_trigger: int | None = None,
-                  fmt: str = "parquet", touched_bound: int | None = None) -> None:
+                  fmt: str = "parquet") -> None:
     """Run the incremental load until every available file is processed.
 
     ``clean`` must add the ``part_cols`` (derived from the key)."""
@@ -72,7 +67,7 @@ def stream_upsert(spark: SparkSession, source_path: str, source_schema: T.Struct
     stream = reader.load(source_path)
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        upsert_partitions(clean(batch), target_path, keys, order, part_cols, touched_bound=touched_bound)
+        upsert_partitions(clean(batch), target_path, keys, order, part_cols)
 
     q = (stream.writeStream.foreachBatch(merge_batch)
          .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt"))

@@ -1,33 +1,28 @@
-"""Session helpers: size-checked broadcast, adaptive spreading, lineage cuts."""
+"""Session helpers: the shared folder, lineage cuts."""
 
-from furrow.session import bounded_broadcast, checkpoint_root, cut_lineage, spread
+import pytest
 
+from furrow.session import checkpoint_root, cut_lineage
 
-def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
 
+def test_unset_checkpoint_folder_is_an_error():
+    class Conf:
+        def get(self, key, default=None):
+            return default
 
-def test_bounded_broadcast(spark):
-    big = spark.range(0, 5000)
-    small = spark.range(0, 10)
-    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        j1 = big.join(bounded_broadcast(small, 100), "id")
-        assert "BroadcastHashJoin" in _plan(j1)
-        j2 = big.join(bounded_broadcast(spark.range(0, 1000), 100), "id")  # over the bound: no hint
-        assert "BroadcastHashJoin" not in _plan(j2)
-        assert j1.count() == 10 and j2.count() == 1000
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    class Session:
+        conf = Conf()
 
+        class sparkContext:
+            getConf = Conf
 
-def test_spread_only_when_under_parallel(spark):
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(0, 100, numPartitions=1)
-    assert spread(one).rdd.getNumPartitions() >= cores
-    many = spark.range(0, 100, numPartitions=cores * 2)
-    assert spread(many) is many
+            class _jsc:
+                class sc:
+                    class getCheckpointDir:
+                        isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(Session())
 
 
 def test_cut_lineage_writes_below_checkpoint_root(spark):

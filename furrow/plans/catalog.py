@@ -30,14 +30,14 @@ def catalog_summary(df: DataFrame, country_col: str = "country", creator_col: st
 
 
 def country_of(id_col: str = "id") -> F.Column:
-    """Country prefix of a catalogue id (text before the first '.' or '-')."""
-    return F.regexp_extract(F.col(id_col), r"^([A-Za-z]{2})", 1)
+    """Country of a catalogue id: its first two characters, ``Unknown`` if it has fewer."""
+    return F.when(F.length(id_col) >= 2, F.substring(id_col, 1, 2)).otherwise(F.lit("Unknown"))
 
 
 # ---------------------------------------------------------------- HTML tables (op 1.13)
 _ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
 _CELL = r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"
-_CATEGORY = r"^[a-p]\.\s+"
+_CATEGORY = r"(?i)^[a-p]\.\s+"
 
 
 def html_table_rows(pages: DataFrame, id_col: str, html_col: str, n_cells: int = 7) -> DataFrame:
@@ -54,15 +54,16 @@ def html_table_rows(pages: DataFrame, id_col: str, html_col: str, n_cells: int =
     cells = rows.select(id_col, "row_no", F.regexp_extract_all("tr", F.lit(_CELL), 1).alias("raw"))
     clean = cells.select(id_col, "row_no", "raw", F.transform("raw", lambda c: collapse_ws(
         F.regexp_replace(F.regexp_replace(c, r"(?is)<sup[^>]*>.*?</sup>", ""), r"<[^>]+>", " "))).alias("cells"))
-    first = F.col("cells")[0]
-    is_cat = F.col("raw")[0].rlike(r"(?is)<(b|strong)[^>]*>") & first.rlike(_CATEGORY)
-    is_var = (F.coalesce(first, F.lit("")) == "") & F.coalesce(F.col("cells")[1], F.lit("")).startswith("-")
-    values = [F.col("cells")[i + 2].alias(f"value_{i + 1}") for i in range(n_cells - 2)]
+    first = F.get("cells", F.lit(0))
+    second = F.coalesce(F.get("cells", F.lit(1)), F.lit(""))
+    is_cat = F.get("raw", F.lit(0)).rlike(r"(?is)<(b|strong)[^>]*>") & first.rlike(_CATEGORY)
+    is_var = (F.coalesce(first, F.lit("")) == "") & second.startswith("-")
+    values = [F.get("cells", F.lit(i + 2)).alias(f"value_{i + 1}") for i in range(n_cells - 2)]
     typed = clean.select(
         id_col, "row_no",
         F.when(is_cat, strip_list_prefix(first)).alias("__cat"),
         F.when(~is_cat & ~is_var & (first != ""), first).alias("__crop"),
-        F.when(is_var, strip_list_prefix(F.col("cells")[1])).alias("variant"),
+        F.when(is_var, strip_list_prefix(second)).alias("variant"),
         *values)
     with_cat = carry_forward_before(typed.withColumn("__cat_i", F.col("__cat")), [id_col], ["row_no"],
                                     "__cat_i", "__cat_prev")

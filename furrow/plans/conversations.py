@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from furrow.functions.text import after_marker, is_retry, strip_ws
 from furrow.operators.fill import carry_forward_before
 
-# History depth shown to the assistant.
+# History depth shown to the assistant, and its first line.
 HISTORY_TURNS = 6
+HISTORY_HEADER = "Conversation history from this same session:"
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list, k: int, buckets: int = 64,
@@ -30,25 +31,43 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list, k: int, buckets
     return cand.withColumn("__r", F.row_number().over(w2)).where(F.col("__r") <= k).drop("__r")
 
 
-def last_turns(turns: DataFrame, k: int = HISTORY_TURNS) -> DataFrame:
-    """Last ``k`` visible turns of each conversation rendered in order.
+def last_turns(turns: DataFrame, k: int = HISTORY_TURNS, skip_current: bool = True, chunk_turns: int = 256) -> DataFrame:
+    """Last ``k`` visible turns of each conversation rendered in order (op 6.7).
 
-    A turn row is visible when its stripped text is non-empty; user text is
-    the body after the ``USER MESSAGE:`` marker.  Output: conv_id, n_turns,
-    history (``Turn i role: text`` lines, oldest first).
+    A user row opens an invocation, and the assistant rows up to the next user
+    row belong to it (those before the first user row are one of their own).
+    An invocation is one turn of at most one user and one assistant text; the
+    last non-blank text of each wins.  User text is the body after the
+    ``USER MESSAGE:`` marker.  A turn without text is not visible.  The
+    invocation that the last user row opened is the current one and left out
+    (``skip_current``).  Output: conv_id, n_turns, history (a header line, then
+    ``Turn i role: text`` lines, oldest first); conversations without a visible
+    turn have no row.
     """
-    vis = (turns.where(F.col("role").isin("user", "assistant"))
-           .select("conv_id", "turn", "role",
-                   F.when(F.col("role") == "user", after_marker("text")).otherwise(strip_ws("text")).alias("body"))
-           .where(F.col("body") != ""))
-    top = top_k_per_group(vis, ["conv_id"], [F.col("turn").desc()], k,
-                          bucket_of=F.pmod(F.xxhash64("turn"), F.lit(64)))
-    # at most k rows per conversation remain: a bounded collect
-    agg = top.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "body"))).alias("t"))
-    lines = F.transform("t", lambda x, i: F.concat(F.lit("Turn "), (i + 1).cast("string"), F.lit(" "),
-                                                   x["role"], F.lit(": "), x["body"]))
-    return agg.select("conv_id", F.size("t").alias("n_turns"), F.array_join(lines, "\n").alias("history"))
+    user = F.col("role") == "user"
+    rows = turns.where(F.col("role").isin("user", "assistant")).select(
+        "conv_id", "turn", "role", F.when(user, F.lit(0)).otherwise(F.lit(1)).alias("__side"),
+        F.when(user, after_marker("text")).otherwise(strip_ws("text")).alias("body"), F.when(user, F.col("turn")).alias("__open"))
+    rows = carry_forward_before(rows, ["conv_id"], ["turn", "__side"], "__open", "__prev", chunk=F.floor(F.col("turn") / chunk_turns))
+    rows = rows.withColumn("inv", F.coalesce("__open", "__prev", F.lit(-1).cast(turns.schema["turn"].dataType)))
+
+    def last_text(role: str):
+        return F.max(F.when((F.col("role") == role) & (F.col("body") != ""), F.struct("turn", "body")))
+
+    paired = rows.groupBy("conv_id", "inv").agg(last_text("user")["body"].alias("user"), last_text("assistant")["body"].alias("assistant"))
+    if skip_current:
+        current = rows.groupBy("conv_id").agg(F.max("__open").alias("__current")).withColumnRenamed("conv_id", "__conv")
+        paired = paired.join(current, F.col("conv_id").eqNullSafe(F.col("__conv"))).where("__current IS NULL OR inv <> __current").drop("__conv", "__current")
+    visible = paired.where(F.col("user").isNotNull() | F.col("assistant").isNotNull())
+    top = top_k_per_group(visible, ["conv_id"], [F.col("inv").desc()], k, bucket_of=F.pmod(F.xxhash64("inv"), F.lit(64)))
+    # at most k turns per conversation remain: a bounded collect
+    agg = top.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("inv", "user", "assistant"))).alias("t"))
+
+    def line(i, role: str, text):
+        return F.concat(F.lit("Turn "), (i + 1).cast("string"), F.lit(f" {role}: "), text)
+
+    lines = F.transform("t", lambda x, i: F.concat_ws("\n", line(i, "user", x["user"]), line(i, "assistant", x["assistant"])))
+    return agg.select("conv_id", F.size("t").alias("n_turns"), F.concat_ws("\n", F.lit(HISTORY_HEADER), lines).alias("history"))
 
 
 def previous_requests(turns: DataFrame, chunk_turns: int = 256) -> DataFrame:

@@ -261,13 +261,14 @@ from events
 
 ORACLE["upsert_latest"] = """
 with cur as (select o_orderkey, o_totalprice as price, date '2024-01-01' as extraction_date, 0 as seq from orders),
-inc as (select o_orderkey, o_totalprice + 100.0 as price, date '2024-01-02' as extraction_date, 1 as seq
+inc as (select o_orderkey, o_totalprice + 100.0 as price,
+               case o_orderkey % 3 when 0 then date '2023-12-01' when 1 then date '2024-01-02' else date '2024-01-03' end as extraction_date, 1 as seq
         from orders where o_orderstatus = 'F'
         union all
         select o_orderkey + 10000000, o_totalprice, date '2024-01-02', 1 from orders where o_orderstatus = 'O'),
 u as (select * from cur union all select * from inc)
 select o_orderkey, price, extraction_date from (
-  select *, row_number() over (partition by o_orderkey order by extraction_date desc, seq desc) as rn from u)
+  select *, row_number() over (partition by o_orderkey order by seq desc) as rn from u)
 where rn = 1
 """
 
@@ -295,7 +296,8 @@ select coalesce(c.o_custkey, i.o_custkey) as o_custkey,
        case when i.o_custkey is not null then i.n_orders else c.n_orders end as n_orders,
        case when c.o_custkey is not null then c.first_day else i.first_day end as first_day,
        case when i.o_custkey is not null then i.last_day else c.last_day end as last_day,
-       case when c.o_custkey is not null then c.name else i.name end as name
+       case when c.o_custkey is not null then c.name else i.name end as name,
+       'new-' || cast(i.o_custkey as varchar) as label
 from cur c full outer join inc i on c.o_custkey = i.o_custkey
 """
 
@@ -403,12 +405,12 @@ c as (select *, cast(len(w) as integer) as n_words,
 d as (select *, n_digit_tokens >= 3 or unit_hits >= 2 or caution_hits >= 3 as dense, {_strip('text')} as s from c)
 select doc_id, n_words, n_sentences, n_digit_tokens, unit_hits, caution_hits, dense,
        n <> '' and not dense and (n_sentences > 3 or n_words > 90) as too_long,
-       cast(length(case when length(text) > 4000 then substr(text, 1, 4000) || '... [truncated]' else text end) as integer) as truncated_len,
-       cast(length(n) as integer) as collapsed_len,
+       md5(case when length(text) > 4000 then substr(text, 1, 4000) || '... [truncated]' else text end) as truncated_md5,
+       md5(n) as collapsed_md5,
        case when starts_with(upper(s), 'FINAL:') then 'final' when starts_with(upper(s), 'CONTINUE:') then 'continue'
             else 'none' end as kind,
-       cast(length({_after('text', '|')}) as integer) as after_bar_len,
-       substr(regexp_replace(n, '^(?:[a-p]\\.|-)\\s+', ''), 1, 40) as head
+       md5({_after('text', '|')}) as after_bar_md5,
+       md5(regexp_replace(n, '^(?:[a-pA-P]\\.|-)\\s+', '')) as unprefixed_md5
 from d
 """
 
@@ -489,14 +491,20 @@ select l_returnflag, round(avg(ndvi), 6) as mean_ndvi, round(avg(lst), 4) as mea
 
 ORACLE["last_turns"] = f"""
 with v as (select conv_id, turn, role,
-                  case when role = 'user' then {_after('text', 'USER MESSAGE:')} else {_strip('text')} end as body
+                  case when role = 'user' then {_after('text', 'USER MESSAGE:')} else {_strip('text')} end as body,
+                  coalesce(max(case when role = 'user' then turn end) over (partition by conv_id order by turn), -1) as inv,
+                  max(case when role = 'user' then turn end) over (partition by conv_id) as cur
            from conversations where role in ('user', 'assistant')),
-v2 as (select * from v where body <> ''),
-t as (select *, row_number() over (partition by conv_id order by turn desc) as rn from v2),
-t2 as (select *, row_number() over (partition by conv_id order by turn) as rk from t where rn <= 6)
+g as (select conv_id, inv,
+             (max({{'t': turn, 'b': body}}) filter (where role = 'user' and body <> '')).b as u,
+             (max({{'t': turn, 'b': body}}) filter (where role = 'assistant' and body <> '')).b as a
+      from v where cur is null or inv <> cur group by conv_id, inv),
+t as (select *, row_number() over (partition by conv_id order by inv desc) as rn from g where u is not null or a is not null),
+r as (select *, cast(row_number() over (partition by conv_id order by inv) as varchar) as i from t where rn <= 6)
 select conv_id, cast(count(*) as integer) as n_turns,
-       string_agg('Turn ' || cast(rk as varchar) || ' ' || role || ': ' || body, chr(10) order by turn) as history
-from t2 group by conv_id
+       'Conversation history from this same session:' || chr(10)
+       || string_agg(concat_ws(chr(10), 'Turn ' || i || ' user: ' || u, 'Turn ' || i || ' assistant: ' || a), chr(10) order by inv) as history
+from r group by conv_id
 """
 
 _RETRY = ["retry", "try again", "again", "reessaye", "reessaie", "réessaye", "réessaie"]
@@ -708,10 +716,10 @@ select page_id, 'Size ' || cast(cat * 10 as varchar), p_name, 'variant ' || cast
 from p where starts_with(p_name, 'red')
 """
 
-ORACLE["catalog_xml"] = """
+ORACLE["catalog_xml"] = f"""
 select case when lang <> 'es' then 'D' || cast(doc_id as varchar) else 'Unknown' end as id,
-       trim(regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9 ]', '', 'g')) as title,
-       source as creator, '' as description, lang || ',' || source as subjects,
+       'Document ' || cast(doc_id as varchar) as title,
+       source as creator, {_collapse(r"regexp_replace(text, '[\x00-\x1F\x{FFFE}\x{FFFF}]', ' ', 'g')")} as description, lang || ',' || source as subjects,
        case when lang <> 'de' then 'http://data.example/' || cast(doc_id as varchar) end as download_url
 from documents
 """

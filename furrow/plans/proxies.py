@@ -396,9 +396,13 @@ def _order_facts(spark, sf_dir):
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ops 2.3/2.4/5.4: keyed upsert, latest extraction wins."""
+    """Ops 2.3/2.4/5.4: keyed upsert; incoming rows win, also with an older date
+    or none (a null date becomes the load's)."""
     current, incoming = _order_facts(spark, sf_dir)
-    return upsert.upsert(current, incoming, ["o_orderkey"]).select("o_orderkey", "price", "extraction_date")
+    third = F.col("o_orderkey") % 3
+    incoming = incoming.withColumn("extraction_date", F.when(F.col("o_orderkey") >= 10_000_000, F.col("extraction_date"))
+                                   .when(third == 0, F.lit("2023-12-01").cast("date")).when(third == 1, F.col("extraction_date")))
+    return upsert.upsert(current, incoming, ["o_orderkey"], as_of="2024-01-03").select("o_orderkey", "price", "extraction_date")
 
 
 def upsert_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +423,8 @@ def upsert_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upsert_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 2.6: existing customers keep name and first day; only order count
-    and last day are updated; new customers are inserted whole."""
+    and last day are updated; new customers are inserted whole.  The incoming
+    side holds each customer twice (the later load counts) and a new column."""
     o = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d"))
     current = o.where(F.col("d") < "1998-01-01").groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"), F.min("d").alias("first_day"), F.max("d").alias("last_day"))
@@ -427,8 +432,10 @@ def upsert_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming = o.where(F.col("d") >= "1997-01-01").groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"), F.min("d").alias("first_day"), F.max("d").alias("last_day"))
     incoming = incoming.withColumn("name", F.concat(F.lit("new-"), F.col("o_custkey").cast("string")))
-    out = upsert.partial_upsert(current, incoming, ["o_custkey"], ["n_orders", "last_day"])
-    return out.select("o_custkey", "n_orders", "first_day", "last_day", "name")
+    incoming = incoming.withColumns({"label": F.col("name"), "load": F.lit(2)})
+    early = incoming.withColumns({"n_orders": F.col("n_orders") + 1000, "label": F.lit("early"), "load": F.lit(1)})
+    out = upsert.partial_upsert(current, incoming.unionByName(early), ["o_custkey"], ["n_orders", "last_day"], order=["load"])
+    return out.select("o_custkey", "n_orders", "first_day", "last_day", "name", "label")
 
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -668,30 +675,33 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 1.12: documents written as a dataset catalogue (XML text, one file per
-    block of 100 ids, no id for Spanish records, no download link for German
-    ones) and read back with the XML reader."""
+    """Op 1.12: documents written as a dataset catalogue (XML records with the
+    whole text as description, no id for Spanish records, no download link for
+    German ones) and read back with the XML reader.  Characters that XML cannot
+    hold count as white space, and runs of white space as one space."""
     from furrow.sources.files import read_catalog_xml
     d = table(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source",
-        F.trim(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z0-9 ]", "")).alias("title"))
+        TX.collapse_ws(F.regexp_replace("text", "[\\x00-\\x1F\\x{FFFE}\\x{FFFF}]", " ")).alias("description"))
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        d = d.withColumn("description", F.replace("description", F.lit(raw), F.lit(name)))
     attr = F.when(F.col("lang") != "es", F.concat(F.lit(' xml:id="D'), F.col("doc_id").cast("string"), F.lit('"')))
     dist = F.when(F.col("lang") != "de", F.concat(
         F.lit("<dcat:distribution><dcat:Distribution><dcat:downloadURL>http://data.example/"),
         F.col("doc_id").cast("string"), F.lit("</dcat:downloadURL></dcat:Distribution></dcat:distribution>")))
-    rec = d.select(F.floor(F.col("doc_id") / 100).alias("block"), "doc_id", F.concat(
-        F.lit("<dcat:Dataset"), F.coalesce(attr, F.lit("")), F.lit("><dc:title>"), F.col("title"),
-        F.lit("</dc:title><dc:creator>"), F.col("source"), F.lit("</dc:creator><dc:subject>"), F.col("lang"),
+    rec = d.select(F.floor(F.col("doc_id") / 2000).alias("block"), F.lit(1).alias("part"), F.concat(
+        F.lit("<dcat:Dataset"), F.coalesce(attr, F.lit("")), F.lit("><dc:title>Document "), F.col("doc_id").cast("string"),
+        F.lit("</dc:title><dc:description>"), F.coalesce("description", F.lit("")), F.lit("</dc:description><dc:creator>"), F.col("source"), F.lit("</dc:creator><dc:subject>"), F.col("lang"),
         F.lit("</dc:subject><dc:subject>"), F.col("source"), F.lit("</dc:subject>"),
-        F.coalesce(dist, F.lit("")), F.lit("</dcat:Dataset>")).alias("xml"))
+        F.coalesce(dist, F.lit("")), F.lit("</dcat:Dataset>")).alias("value"))
+    # a file per block: its records, one a line, between the root's two ends
     root = ('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dcat="http://www.w3.org/ns/dcat#" '
             'xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:dct="http://purl.org/dc/terms/">')
-    # at most 100 records per block: a bounded collect
-    files = (rec.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "xml"))).alias("r"))
-             .select("block", F.concat(F.lit(root), F.array_join(F.transform("r", lambda x: x["xml"]), "\n"),
-                                       F.lit("</rdf:RDF>")).alias("value")))
+    ends = F.inline(F.array(F.struct(F.lit(0).alias("part"), F.lit(root).alias("value")),
+                            F.struct(F.lit(2).alias("part"), F.lit("</rdf:RDF>").alias("value"))))
+    lines = rec.unionByName(rec.select("block").distinct().select("block", ends))
     path = scratch_path(spark, "catalog-xml")
-    files.write.partitionBy("block").text(path)
+    lines.repartition("block").sortWithinPartitions("block", "part").select("block", "value").write.partitionBy("block").text(path)
     cat = read_catalog_xml(spark, path + "/block=*")
     return cat.select("id", "title", "creator", "description", F.array_join("subjects", ",").alias("subjects"),
                       "download_url")
@@ -705,11 +715,11 @@ def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return prof.select(
         "doc_id", "n_words", "n_sentences", "n_digit_tokens", "unit_hits", "caution_hits", "dense", "too_long",
-        F.length(TX.truncate(t)).alias("truncated_len"),
-        F.length("norm").alias("collapsed_len"),
+        F.md5(TX.truncate(t).cast("binary")).alias("truncated_md5"),
+        F.md5(F.col("norm").cast("binary")).alias("collapsed_md5"),
         F.coalesce(TX.control_kind(t), F.lit("none")).alias("kind"),
-        F.length(TX.after_marker(t, "|")).alias("after_bar_len"),
-        F.substring(TX.strip_list_prefix("norm"), 1, 40).alias("head"))
+        F.md5(TX.after_marker(t, "|").cast("binary")).alias("after_bar_md5"),
+        F.md5(TX.strip_list_prefix("norm").cast("binary")).alias("unprefixed_md5"))
 
 
 # --------------------------------------------------------------------------- json / dates / math

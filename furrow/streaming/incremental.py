@@ -45,9 +45,9 @@ def upsert_partitions(incoming: DataFrame, path: str, keys: Sequence[str], order
     if _exists(spark, path):
         touched = incoming.select(*part_cols).distinct()
         current = spark.read.parquet(path).join(touched, part_cols, "left_semi")
-        merged = upsert(current.select(*incoming.columns), incoming, keys, order)
+        merged = upsert(current.select(*incoming.columns), incoming, keys, order, newest_wins=True)
     else:
-        merged = upsert(incoming.limit(0), incoming, keys, order)
+        merged = upsert(incoming.limit(0), incoming, keys, order, newest_wins=True)
     merged = cut_lineage(merged, "merge")
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*part_cols).parquet(path))

@@ -40,6 +40,22 @@ def test_same_extraction_incoming_wins(spark):
     assert upsert.upsert(cur, inc, ["k"]).first().v == 7.0
 
 
+def test_upsert_incoming_wins(spark):
+    schema = "k string, v double, extraction_date date"
+    cur = spark.createDataFrame([("a", 1.0, dt.date(2024, 5, 1)), ("b", 1.0, dt.date(2024, 5, 1)), ("c", 1.0, None)], schema)
+    inc = spark.createDataFrame([("a", 2.0, dt.date(2023, 1, 1)), ("b", 2.0, None)], schema)
+    got = {r.k: (r.v, r.extraction_date) for r in upsert.upsert(cur, inc, ["k"], as_of=dt.date(2024, 6, 1)).collect()}
+    assert got == {"a": (2.0, dt.date(2023, 1, 1)), "b": (2.0, dt.date(2024, 6, 1)), "c": (1.0, None)}
+    assert {r.k: r.v for r in upsert.upsert(cur, inc, ["k"], newest_wins=True).collect()} == {"a": 1.0, "b": 1.0, "c": 1.0}
+
+
+def test_partial_upsert_new_column_and_repeats(spark):
+    cur = spark.createDataFrame([("a", 1)], "k string, v int")
+    inc = spark.createDataFrame([("a", 2, 7), ("b", 3, 8), ("b", 4, 9)], "k string, v int, extra int").coalesce(1)
+    got = sorted(tuple(r) for r in upsert.partial_upsert(cur, inc, ["k"], ["v"]).select("k", "v", "extra").collect())
+    assert got == [("a", 2, 7), ("b", 4, 9)]
+
+
 def test_partial_upsert(spark):
     cur = spark.createDataFrame([("Tomate", 1.0, 60, 90)], "nom string, t double, cmin int, cmax int")
     inc = spark.createDataFrame([("Tomate", 9.0, 70, 95), ("Vigne", 2.0, 150, 210)],

@@ -360,7 +360,8 @@ def similar_sets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     # read again by the id of their document
     wanted = staged(maybe.join(classes.select("uid", "digest"), "uid").join(rows.select("uid", F.col("doc_id").alias("id")), "uid"), "wanted")
     text = docs.select(plain(id_col)[0].alias("id"), text_bytes(f"`{text_col}`").alias("text")).mapInArrow(_squeeze, f"id {kind}, text binary")
-    full = text.join(wanted, text["id"].eqNullSafe(wanted["id"])).select("uid", "digest", "text")
+    # one plan at every size: a broadcast of the wanted ids would hold for small tables only
+    full = text.join(wanted.hint("merge"), text["id"].eqNullSafe(wanted["id"])).select("uid", "digest", "text")
     sets = staged(full.mapInArrow(_full(size), "chunk long, uid long, n long, grams binary"), "sets")
     posts = _posted(sets, lambda n: least_overlap(n, threshold), grams=True)
     release(sets)

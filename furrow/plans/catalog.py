@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions.text import collapse_ws, strip_list_prefix
+from furrow.functions.text import collapse_ws, decode_entities
 from furrow.operators.fill import carry_forward_before
 
 TOP_COUNTRIES = 20
@@ -35,46 +35,83 @@ def country_of(id_col: str = "id") -> F.Column:
 
 
 # ---------------------------------------------------------------- HTML tables (op 1.13)
-_ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
-_CELL = r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"
+_TABLE = r"(?is)<table\b[^>]*>(.*?)(?:</table\s*>|\z)"
+_ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
+_CELL = r"(?is)<td\b[^>]*>.*?</td\s*>"
+_SUP = r"(?is)<sup\b[^>]*>.*?</sup\s*>"
+_BOLD = r"(?i)<b(?:\s[^>]*)?>"
+_COLSPAN = r"""(?is)^<td\b[^>]*?\bcolspan\s*=\s*["']?([^"'\s>]+)"""
 _CATEGORY = r"(?i)^[a-p]\.\s+"
+KC_VALUES = ("kc_ini", "kc_mid", "kc_end", "max_height_m")
 
 
-def html_table_rows(pages: DataFrame, id_col: str, html_col: str, n_cells: int = 7) -> DataFrame:
-    """Rows of the HTML tables of each page, one output row per ``<tr>``.
+def _cell_text(cell: F.Column) -> F.Column:
+    text = decode_entities(F.regexp_replace(F.regexp_replace(cell, _SUP, ""), r"(?s)<[^>]+>", ""))
+    return collapse_ws(F.translate(text, "\u00a0", " "))
 
-    ``<sup>`` footnotes are removed before text extraction; a row whose first
-    cell is bold and starts with ``a.``..``p.`` opens a category; a row with an
-    empty first cell and ``-`` in the second is a variant of the last crop.
-    Category and crop are carried forward over row order per page
-    (segmented scan); rows without any value are dropped.
-    Output: page id, row_no, category, crop, variant, value_1..value_n.
+
+def html_table_rows(pages: DataFrame, id_col: str, html_col: str, value_cols: Sequence[str] = KC_VALUES) -> DataFrame:
+    """Records of the first HTML table of each page.
+
+    The first row is the header and skipped.  ``<sup>`` footnotes are removed
+    and character references decoded before cells are read.
+
+    * Category: bold text in the first or second cell and a first cell that
+      starts with ``a.`` .. ``p.`` (either case; a single cell must span columns).  It ends the
+      current crop, and is a record itself, with its name as crop, if one of
+      its values holds a digit.
+    * Variant: empty first cell, ``-`` opens the second.  A record of the
+      current crop of its category; without one it is left out.
+    * Crop: any other row of two cells or more that has a name in the first or
+      else the second cell.  A record if it has a value.
+
+    Values start at the third cell, or at the second if the first has
+    ``colspan="2"``; ``value_cols`` names them and missing or empty ones are null.
+    Category and crop are carried forward over row order per page.
+    Output: page id, row_no, category, crop, variant, the values, and
+    ``further`` (the cells behind them, if any).
     """
-    rows = pages.select(id_col, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(_ROW), 1)).alias("row_no", "tr"))
-    cells = rows.select(id_col, "row_no", F.regexp_extract_all("tr", F.lit(_CELL), 1).alias("raw"))
-    clean = cells.select(id_col, "row_no", "raw", F.transform("raw", lambda c: collapse_ws(
-        F.regexp_replace(F.regexp_replace(c, r"(?is)<sup[^>]*>.*?</sup>", ""), r"<[^>]+>", " "))).alias("cells"))
-    first = F.get("cells", F.lit(0))
-    second = F.coalesce(F.get("cells", F.lit(1)), F.lit(""))
-    is_cat = F.get("raw", F.lit(0)).rlike(r"(?is)<(b|strong)[^>]*>") & first.rlike(_CATEGORY)
-    is_var = (F.coalesce(first, F.lit("")) == "") & second.startswith("-")
-    values = [F.get("cells", F.lit(i + 2)).alias(f"value_{i + 1}") for i in range(n_cells - 2)]
-    typed = clean.select(
-        id_col, "row_no",
-        F.when(is_cat, strip_list_prefix(first)).alias("__cat"),
-        F.when(~is_cat & ~is_var & (first != ""), first).alias("__crop"),
-        F.when(is_var, strip_list_prefix(second)).alias("variant"),
-        *values)
-    with_cat = carry_forward_before(typed.withColumn("__cat_i", F.col("__cat")), [id_col], ["row_no"],
-                                    "__cat_i", "__cat_prev")
-    with_crop = carry_forward_before(with_cat, [id_col], ["row_no"], "__crop", "__crop_prev")
-    vals = [f"value_{i + 1}" for i in range(n_cells - 2)]
-    has_value = F.lit(False)
-    for v in vals:
-        has_value = has_value | (F.coalesce(F.col(v), F.lit("")) != "")
-    return (with_crop.where(F.col("__cat").isNull() & has_value)
-            .select(id_col, "row_no", F.col("__cat_prev").alias("category"),
-                    F.coalesce(F.col("__crop"), F.col("__crop_prev")).alias("crop"), "variant", *vals))
+    table_html = F.regexp_extract(F.col(html_col), _TABLE, 1)
+    rows = pages.select(id_col, F.posexplode(F.regexp_extract_all(table_html, F.lit(_ROW), 1)).alias("row_no", "tr")).where("row_no > 0")
+    cells = rows.select(id_col, "row_no", F.regexp_extract_all("tr", F.lit(_CELL), 0).alias("raw")) \
+        .select(id_col, "row_no", "raw", F.transform("raw", _cell_text).alias("cells"), F.size("raw").alias("n"))
+
+    def raw(i: int) -> F.Column:
+        return F.coalesce(F.get("raw", F.lit(i)), F.lit(""))
+
+    def text(i: int) -> F.Column:
+        return F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
+
+    span = F.regexp_extract(raw(0), _COLSPAN, 1)
+    is_cat = text(0).rlike(_CATEGORY) & F.when(F.col("n") == 1, ~span.isin("", "1") & raw(0).rlike(_BOLD)) \
+        .otherwise(raw(0).rlike(_BOLD) | raw(1).rlike(_BOLD))
+    is_var = (F.col("n") > 1) & (text(0) == "") & text(1).startswith("-")
+    name = F.coalesce(F.nullif(text(0), F.lit("")), F.nullif(text(1), F.lit("")))
+    kind = F.when(is_cat, "category").when(is_var, "variant").when((F.col("n") > 1) & name.isNotNull(), "crop")
+    typed = cells.withColumn("kind", kind).where("kind IS NOT NULL")
+
+    first = F.when((F.col("kind") != "variant") & (span == "2"), 1).otherwise(2)
+    category = F.when(F.col("kind") == "category", F.regexp_replace(text(0), r"^[a-p]\.\s*", ""))
+
+    def value(i: int) -> F.Column:
+        v = F.nullif(F.get("cells", first + i), F.lit(""))
+        return F.when((F.col("kind") != "category") | v.rlike("[0-9]"), v)
+
+    further = F.slice("cells", first + len(value_cols) + 1, F.greatest(F.col("n") - first - len(value_cols), F.lit(0)))
+    typed = typed.select(
+        id_col, "row_no", "kind", category.alias("__cat"),
+        # a category ends the crop: an empty name is carried from there
+        F.when(F.col("kind") == "category", "").when(F.col("kind") == "crop", name).alias("__crop"),
+        F.when(F.col("kind") == "variant", F.regexp_replace(text(1), r"^-\s*", "")).alias("variant"),
+        *[value(i).alias(v) for i, v in enumerate(value_cols)], further.alias("further"))
+    with_cat = carry_forward_before(typed, [id_col], ["row_no"], "__cat", "__cat_prev")
+    carried = carry_forward_before(with_cat, [id_col], ["row_no"], "__crop", "__crop_prev")
+    crop = F.when(F.col("kind") == "category", F.col("__cat")).when(F.col("kind") == "crop", F.col("__crop")) \
+        .otherwise(F.nullif(F.col("__crop_prev"), F.lit("")))
+    has_value = F.coalesce(*[F.col(v) for v in value_cols]).isNotNull()
+    return (carried.withColumn("crop", crop)
+            .where(F.col("crop").isNotNull() & ((F.col("kind") == "variant") | has_value))
+            .select(id_col, "row_no", F.coalesce("__cat", "__cat_prev").alias("category"), "crop", "variant", *value_cols, "further"))
 
 
 def kc_values(kc: DataFrame, cols: Sequence[str] = ("kc_ini", "kc_mid", "kc_end")) -> DataFrame:

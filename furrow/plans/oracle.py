@@ -706,14 +706,19 @@ from f
 
 ORACLE["html_tables"] = """
 with p as (select cast(floor(p_partkey / 50) as bigint) as page_id, cast(floor(p_size / 10) as integer) as cat,
-                  p_partkey, p_name, p_size, p_retailprice from part)
-select page_id, 'Size ' || cast(cat * 10 as varchar) as category, p_name as crop, cast(null as varchar) as variant,
-       cast(p_size as varchar) as value_1, cast(p_retailprice as varchar) as value_2
+                  p_partkey, p_name, p_name || case when p_partkey % 5 = 0 then ' & Co.' else '' end as name,
+                  p_size, p_retailprice from part)
+select page_id, 'Size ' || cast(cat * 10 as varchar) as category, name as crop, cast(null as varchar) as variant,
+       cast(p_size as varchar) as value_1, case when p_partkey % 11 <> 0 then cast(p_retailprice as varchar) end as value_2
 from p
 union all
-select page_id, 'Size ' || cast(cat * 10 as varchar), p_name, 'variant ' || cast(p_partkey as varchar),
+select page_id, 'Size ' || cast(cat * 10 as varchar), name, 'variant ' || cast(p_partkey as varchar),
        cast(p_size + 1 as varchar), cast(p_retailprice as varchar)
 from p where starts_with(p_name, 'red')
+union all
+select distinct page_id, 'Size ' || cast(cat * 10 as varchar), 'Size ' || cast(cat * 10 as varchar), cast(null as varchar),
+       cast(cat * 10 as varchar), cast(null as varchar)
+from p where cat % 2 = 1
 """
 
 ORACLE["catalog_xml"] = f"""

@@ -641,36 +641,50 @@ def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ops 1.13/6.6: coefficient-style HTML tables built from ``part`` (one page
-    per block of 50 part keys, a bold "a. Size .." category row per size
-    bucket, a variant row under each "red" part), parsed back to rows with
-    the category and crop carried forward."""
+    """Ops 1.13/6.6: coefficient-style HTML tables built from ``part`` and read
+    back to rows.  One page per block of 50 part keys: a header; a bold "a. Size
+    .." row per size bucket, spanning the table or (odd buckets) with a value,
+    each followed by a variant without a crop; parts with the name in the
+    first, the spanning first or the second cell, some with character
+    references, some short of a cell; a variant under each "red" part."""
     letters = F.array(*[F.lit(chr(ord("a") + i)) for i in range(16)])
     p = table(spark, sf_dir, "part").select(
         F.floor(F.col("p_partkey") / 50).alias("page_id"), F.floor(F.col("p_size") / 10).alias("cat"),
-        "p_partkey", "p_name", "p_size", "p_retailprice")
-
-    def cells(*xs):
-        return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in xs], F.lit("</tr>"))
-
-    crop = p.select("page_id", "cat", F.col("p_partkey").cast("double").alias("ord"),
-                    cells(F.col("p_name"), F.lit(""), F.col("p_size").cast("string"),
-                          F.col("p_retailprice").cast("string")).alias("tr"))
-    variant = p.where(F.col("p_name").startswith("red")).select(
-        "page_id", "cat", (F.col("p_partkey") + 0.5).alias("ord"),
-        cells(F.lit(""), F.concat(F.lit("- variant "), F.col("p_partkey").cast("string")),
-              (F.col("p_size") + 1).cast("string"), F.col("p_retailprice").cast("string")).alias("tr"))
-    category = p.select("page_id", "cat").distinct().select(
-        "page_id", "cat", F.lit(-1.0).alias("ord"),
-        cells(F.concat(F.lit("<b>"), F.element_at(letters, (F.col("cat") + 1).cast("int")), F.lit(". Size "),
-                       (F.col("cat") * 10).cast("string"), F.lit("</b>")), F.lit(""), F.lit(""), F.lit("")).alias("tr"))
+        "p_partkey", "p_size", "p_retailprice",
+        F.concat("p_name", F.when(F.col("p_partkey") % 5 == 0, " &amp;&nbsp;Co&#46;").otherwise("")).alias("name"),
+        F.col("p_name").startswith("red").alias("red"))
+
+    def row(*cells):
+        return F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
+
+    def cell(x, attrs: str = ""):
+        return F.concat(F.lit(f"<td{attrs}>"), x, F.lit("</td>"))
+
+    blank, key = cell(F.lit("")), F.col("p_partkey")
+    title = F.when(key % 7 == 0, F.concat(blank, cell(F.col("name")))) \
+        .when(key % 2 == 1, cell(F.col("name"), ' colspan="2"')).otherwise(F.concat(cell(F.col("name")), blank))
+    crop = p.select("page_id", "cat", key.cast("double").alias("ord"),
+                    row(title, cell(F.col("p_size").cast("string")),
+                        F.when(key % 11 == 0, "").otherwise(cell(F.col("p_retailprice").cast("string")))).alias("tr"))
+    variant = p.where("red").select(
+        "page_id", "cat", (key + 0.5).alias("ord"),
+        row(blank, cell(F.concat(F.lit("- variant "), key.cast("string"))),
+            cell((F.col("p_size") + 1).cast("string")), cell(F.col("p_retailprice").cast("string"))).alias("tr"))
+    size = (F.col("cat") * 10).cast("string")
+    label = F.concat(F.lit("<b>"), F.element_at(letters, (F.col("cat") + 1).cast("int")), F.lit(". Size "), size, F.lit("</b>"))
+    buckets = p.select("page_id", "cat").distinct()
+    category = buckets.select("page_id", "cat", F.lit(-1.0).alias("ord"),
+                              F.when(F.col("cat") % 2 == 1, row(cell(label, " colspan='2'"), cell(size), cell(F.lit("-"))))
+                              .otherwise(row(cell(label, ' colspan="4"'))).alias("tr"))
+    orphan = buckets.select("page_id", "cat", F.lit(-0.5).alias("ord"),
+                            row(blank, cell(F.lit("- orphan")), cell(F.lit("1")), cell(F.lit("2"))).alias("tr"))
     # at most 50 parts (+ variants, + categories) per page: a bounded collect
-    pages = (crop.unionByName(variant).unionByName(category).groupBy("page_id")
+    header = "<html><body><table><tr><td>Crop</td><td></td><td>Kc ini</td><td>Kc mid</td></tr>"
+    pages = (crop.unionByName(variant).unionByName(category).unionByName(orphan).groupBy("page_id")
              .agg(F.array_sort(F.collect_list(F.struct("cat", "ord", "tr"))).alias("r"))
-             .select("page_id", F.concat(F.lit("<html><body><table>"),
-                                         F.array_join(F.transform("r", lambda x: x["tr"]), ""),
+             .select("page_id", F.concat(F.lit(header), F.array_join(F.transform("r", lambda x: x["tr"]), ""),
                                          F.lit("</table></body></html>")).alias("html")))
-    rows = catalog.html_table_rows(pages, "page_id", "html", n_cells=4)
+    rows = catalog.html_table_rows(pages, "page_id", "html", value_cols=("value_1", "value_2"))
     return rows.select("page_id", "category", "crop", "variant", "value_1", "value_2")
 
 

@@ -4,6 +4,7 @@ import json
 import os
 
 
+from furrow.functions.text import decode_entities
 from furrow.plans.catalog import html_table_rows
 from furrow.sources import files, payloads
 
@@ -71,21 +72,41 @@ def test_catalog_xml(spark, tmp_dir):
     assert rows[1].id == "Unknown" and rows[1].subjects == [] and rows[1].download_url is None
 
 
-HTML = """<table>
-<tr><th>Crop</th><th>x</th><th>Kc ini</th><th>Kc mid</th></tr>
-<tr><td><b>a. Small Vegetables</b></td><td></td><td></td><td></td></tr>
+HTML = """<p>Table 12</p><table class="kc">
+<tr><td>Crop</td><td>x</td><td>Kc ini</td><td>Kc mid</td></tr>
+<tr><td colspan="6"><b>a. Small&nbsp;Vegetables</b></td></tr>
+<tr><td></td><td>- too early</td><td>9</td><td>9</td></tr>
 <tr><td>Broccoli</td><td></td><td>0.7</td><td>1.05</td></tr>
 <tr><td></td><td>- Winter</td><td>0.6</td><td>1.0<sup>3</sup></td></tr>
-<tr><td><b>b. Legumes</b></td><td></td><td></td><td></td></tr>
+<tr><td></td><td>- bare</td></tr>
+<tr><TD colspan="2">Peas &amp; B&#233;ans</TD><td>0.5</td></tr>
+<tr><td></td><td>Beet</td><td>0.3</td><td>1.1</td><td>0.9</td><td>0.4</td><td>note</td></tr>
+<tr><td>No value</td><td></td><td> </td></tr>
+<tr><td></td><td>- of none</td><td>0.1</td></tr>
+<tr><td>alone</td></tr>
+<tr><td colspan="2"><b>b. Roots</b></td><td>0.4</td><td>see note</td></tr>
+<tr><td></td><td>- orphan</td><td>1</td></tr>
+<tr><td><b>C. Legumes</b></td><td></td><td></td><td></td></tr>
 <tr><td>Beans</td><td></td><td>0.4</td><td>1.15</td></tr>
-</table>"""
+</table><table><tr><td>h</td></tr><tr><td>Other</td><td></td><td>1</td></tr></table>"""
 
 
 def test_html_table_rows(spark):
-    pages = spark.createDataFrame([(1, HTML)], "page_id long, html string")
-    rows = html_table_rows(pages, "page_id", "html", n_cells=4).orderBy("row_no").collect()
-    got = [(r.category, r.crop, r.variant, r.value_1, r.value_2) for r in rows]
-    assert got == [(None, "Crop", None, "Kc ini", "Kc mid"),
-                   ("Small Vegetables", "Broccoli", None, "0.7", "1.05"),
-                   ("Small Vegetables", "Broccoli", "Winter", "0.6", "1.0"),
-                   ("Legumes", "Beans", None, "0.4", "1.15")]
+    pages = spark.createDataFrame([(1, HTML), (2, None), (3, "no table"), (4, "<table></table>")], "page_id long, html string")
+    rows = html_table_rows(pages, "page_id", "html").orderBy("page_id", "row_no").collect()
+    got = [(r.category, r.crop, r.variant, r.kc_ini, r.kc_mid, r.kc_end, r.max_height_m, list(r.further)) for r in rows]
+    small = "Small Vegetables"
+    assert got == [(small, "Broccoli", None, "0.7", "1.05", None, None, []),
+                   (small, "Broccoli", "Winter", "0.6", "1.0", None, None, []),
+                   (small, "Broccoli", "bare", None, None, None, None, []),
+                   (small, "Peas & B\u00e9ans", None, "0.5", None, None, None, []),
+                   (small, "Beet", None, "0.3", "1.1", "0.9", "0.4", ["note"]),
+                   (small, "No value", "of none", "0.1", None, None, None, []),
+                   ("Roots", "Roots", None, "0.4", None, None, None, []),
+                   ("C. Legumes", "Beans", None, "0.4", "1.15", None, None, [])]
+
+
+def test_decode_entities(spark):
+    texts = ["a &lt;b&gt; &#x41;&#66;", "&amp;lt; &amp;#65;", "&#0; &#55296; &#99999; &unknown; &#", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(decode_entities("t")).collect()]
+    assert got == ["a <b> AB", "&lt; &#65;", "&#0; &#55296; &#99999; &unknown; &#", "", None]

@@ -51,6 +51,7 @@ from furrow.llm.common import plain, ranges, staged, sub_batches
 from furrow.session import scratch_path
 
 CACHE_WORDS = 400_000
+LEARN_WORDS = 10_000
 BLOCK_TOKENS = 1 << 20
 MAGIC = b"FVB1"
 _HEAD = "<IQQ"
@@ -113,6 +114,11 @@ class Encoder:
             self.marks[mark] = self._unit(mark)
         return self.marks[mark]
 
+    def _learn_all(self, words: list[str]) -> None:
+        """``_learn`` in slices, so that its lists of Python numbers stay small."""
+        for i in range(0, len(words), LEARN_WORDS):
+            self._learn(words[i:i + LEARN_WORDS])
+
     def _learn(self, words: list[str]) -> None:
         """Add words (their space before them is implied) to the cache.  An
         empty word or one with white space at an end is marked: its text is
@@ -171,7 +177,7 @@ class Encoder:
         missing = np.flatnonzero(at == -1)
         if len(missing):
             new = [distinct[i] for i in missing]
-            self._learn(new)
+            self._learn_all(new)
             at[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         code = coded.indices.to_numpy()
         odd = np.flatnonzero(at == _ALONE)

@@ -22,8 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar texts, the smallest doc_id."""
-    return ngram_join.one_of_each(docs)
+    """One document of each component of similar texts, the smallest doc_id.
+    Similar are texts that share 0.8 or more of their five-word shingles; the
+    defaults of ``ngram_join`` are the contract of the query op7 alone."""
+    return ngram_join.one_of_each(docs, size=5, threshold=80)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_duplicates), ("benchmark_decontamination", drop_benchmark_passages),
           ("mixing", mix_sources), ("token_ids", write_tokens)]
 
-#: a learned score and tokenizer ids are beyond SQL; tests/llm holds run() against a plain version
+#: a learned score and tokenizer ids are beyond SQL; tests/llm/test_pipeline.py holds run() against a plain version
 ORACLE_SQL = None
 
 

@@ -2,9 +2,11 @@
 DataFrame functions only.
 
 Base patterns find e-mail addresses, IPv4 addresses, card numbers (Luhn) and
-phone numbers.  They are the seeds.  Every identifier-like token (a digit in
-it, ``MIN_LENGTH`` characters or more) is an instance; the word before it, with
-the mark between them, is its lexical pattern.  Pattern and instance form a
+phone numbers.  They are the seeds, each an instance as a whole, blanks
+included.  Every identifier-like token outside of them (a digit in it,
+``MIN_LENGTH`` characters or more) is an unseen instance.  The word before an
+instance (before the token that it starts in), with the mark between them, is
+its lexical pattern.  Pattern and instance form a
 bipartite graph that Spark scores in rounds: a pattern scores the mean score of
 its distinct instances (damped by ``DAMP``), an unseen instance one minus the
 product of (1 - score) over its patterns; seeds keep 1.  Tokens that follow a
@@ -43,7 +45,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CONTEXT = (r"(?:\G|(?<![A-Za-z0-9À-ÿ]))[A-Za-zÀ-ÿ]++[:=#]?\x20"
            r"(?=[A-Za-z@._%+()/-]*+[0-9])[A-Za-z0-9+(][A-Za-z0-9@._%+()/-]*+")
 TOKEN = r"\x20([^\x20]*)\z"
-SEED = (r"\A(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\+[0-9][().0-9-]*)[.,]?\z")
+#: the word and mark before a base span, which may start within a token
+LEAD = r"(?<![A-Za-z0-9À-ÿ])([A-Za-zÀ-ÿ]++[:=#]?)\x20(?:[A-Za-z0-9+(][A-Za-z0-9@._%+()/-]*+)?\z"
 
 
 def _digits(s: Column) -> Column:
@@ -66,26 +69,30 @@ def _small_parts(text: Column) -> Column:
 
 
 def base_spans(text: Column) -> dict[str, Column]:
-    return {"email": S.tagged(S.find(text, EMAIL), "email", 0),
-            "ip": S.tagged(S.find(text, IP), "ip", 1, lambda s: _small_parts(s["text"])),
-            "card": S.tagged(S.find(text, CARD), "card", 2, lambda s: _luhn(s["text"])),
-            "phone": S.tagged(S.find(text, PHONE), "phone", 3, lambda s: F.length(_digits(s["text"])).between(9, 15))}
+    """Base spans per kind, each with its text and what stands before it."""
+    kind = lambda pattern, name, keep=None: S.tagged(S.find(text, pattern, before=True), name, KINDS.index(name), keep, ("before",))
+    return {"email": kind(EMAIL, "email"),
+            "ip": kind(IP, "ip", lambda s: _small_parts(s["text"])),
+            "card": kind(CARD, "card", lambda s: _luhn(s["text"])),
+            "phone": kind(PHONE, "phone", lambda s: F.length(_digits(s["text"])).between(9, 15))}
 
 
 def findings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per row: uid, doc_id, base counts and spans, and ``near``: every
-    identifier-like token with its place, pattern, hash and whether it is a seed."""
+    """Per row: uid, doc_id, base counts and spans, and ``near``: every base
+    span that a word introduces (a seed) and every identifier-like token
+    outside of base spans, with its place, pattern and hash."""
     src = docs.select(F.monotonically_increasing_id().alias("uid"), plain(id_col)[0].alias("doc_id"), F.coalesce(plain(text_col)[0].cast("string"), F.lit("")).alias("text"))
     src = src.select("uid", "doc_id", *[c.alias(k) for k, c in base_spans(F.col("text")).items()], S.find(F.col("text"), CONTEXT).alias("near"))
     token = lambda s: F.regexp_extract(s["text"], TOKEN, 1)
     base = F.concat(*KINDS[:4])
     bare = lambda col: F.transform(col, lambda s: F.struct(*[s[c].alias(c) for c in ("k", "start", "end", "kind")]))
     inside = lambda s: F.exists(base, lambda b: (s["end"] - F.length(token(s)) < b["end"]) & (b["start"] < s["end"]))
-    near = F.transform(F.filter("near", lambda s: F.length(token(s)) >= MIN_LENGTH), lambda s: F.struct(
-        (s["end"] - F.length(token(s))).alias("start"), s["end"].alias("end"),
-        F.lower(F.regexp_replace(s["text"], r"\x20[^\x20]*\z", "")).alias("pattern"), F.md5(token(s).cast("binary")).alias("instance"),
-        (token(s).rlike(SEED) | inside(s)).alias("seed")))
-    return src.select("uid", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]], bare(base).alias("base"), near.alias("near"))
+    instance = lambda start, end, pattern, text, seed: F.struct(
+        start.alias("start"), end.alias("end"), F.lower(pattern).alias("pattern"), F.md5(text.cast("binary")).alias("instance"), F.lit(seed).alias("seed"))
+    seeds = F.filter(F.transform(base, lambda s: instance(s["start"], s["end"], F.regexp_extract(s["before"], LEAD, 1), s["text"], True)), lambda s: s["pattern"] != "")
+    unseen = F.transform(F.filter("near", lambda s: (F.length(token(s)) >= MIN_LENGTH) & ~inside(s)), lambda s: instance(
+        s["end"] - F.length(token(s)), s["end"], F.regexp_replace(s["text"], r"\x20[^\x20]*\z", ""), token(s), False))
+    return src.select("uid", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]], bare(base).alias("base"), F.concat(seeds, unseen).alias("near"))
 
 
 def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -8,26 +8,31 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
-def find(text: Column, pattern: str) -> Column:
+def find(text: Column, pattern: str, before: bool = False) -> Column:
     """Leftmost non-overlapping matches as struct(start, end, text), in code
     points, the end exclusive.  What stands between the matches gives their
-    places; it is cut only if there is a match."""
+    places; it is cut only if there is a match.  With ``before`` each match
+    brings the last match and what follows it up to its own start: all of them
+    together are at most twice the text."""
+    kind = SPAN.replace("text:string", "text:string,before:string") if before else SPAN
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pair = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("m"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), *([F.lit("").alias("last")] if before else []), F.array().cast(kind).alias("out"))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["b"])
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
+        last, more = ([x["m"].alias("last")], [F.concat(acc["last"], x["b"]).alias("before")]) if before else ([], [])
+        return F.struct(end.alias("at"), *last, F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), *more))).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pair, zero, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(F.size(found) > 0, F.aggregate(pair, zero, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
 
 
-def tagged(spans: Column, kind: str, order: int, keep=None) -> Column:
-    """Spans that pass ``keep``, with their kind and its place in the listing."""
+def tagged(spans: Column, kind: str, order: int, keep=None, more: tuple[str, ...] = ()) -> Column:
+    """Spans that pass ``keep``, with their kind, its place in the listing and
+    the fields of ``more``."""
     spans = spans if keep is None else F.filter(spans, keep)
-    return F.transform(spans, lambda s: F.struct(F.lit(order).alias("k"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["text"].alias("text")))
+    return F.transform(spans, lambda s: F.struct(F.lit(order).alias("k"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["text"].alias("text"), *[s[c].alias(c) for c in more]))
 
 
 def line(spans: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furrow.session import scratch_path
@@ -67,6 +67,110 @@ def text_bytes(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def scan(df: DataFrame, group: str, order: list[str], folder: str, sums: tuple[str, ...] = (), xors: tuple[str, ...] = (),
+         by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Running figures within groups of any size, in two phases.
+
+    ``group`` is a long or int column without nulls.  Rows are range-partitioned
+    and sorted by (group, order, row number), so that a group of any size is cut
+    over tasks.  Each task numbers its rows per group and runs the ``sums`` and
+    ``xors`` (long columns without nulls); the rows are written below ``folder``
+    with these local figures (columns piece, at, ordinal, run_*), the second
+    table returned brings what earlier tasks add: one row per task.  ``settle``
+    puts both together."""
+    spark = df.sparkSession
+    tie = fresh(df, "tie")
+    cols = df.columns
+    sorted_rows = df.withColumn(tie, F.monotonically_increasing_id())
+    keys = [F.col(f"`{c}`") for c in (group, *order, tie)]
+    runs = [f"run_{c}" for c in (*sums, *xors)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{c} long" for c in ("piece", "at", "ordinal", *runs)])
+    local = sorted_rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*plain(*cols)) \
+        .mapInArrow(_scan_task(cols, group, tuple(sums), tuple(xors)), schema)
+    write = local.write.option("compression", "zstd")
+    (write.partitionBy(*by) if by else write).parquet(f"{folder}/rows")
+    rows = spark.read.schema(local.schema).parquet(f"{folder}/rows")
+    g = F.col(f"`{group}`")
+    last = rows.groupBy("piece").agg(F.min(g).cast("long").alias("first"), F.max(F.struct(g.cast("long").alias("g"), "at", "ordinal", *runs)).alias("m"))
+    last = last.select("piece", "first", F.col("m.g").alias("last"), (F.col("m.at") + 1).alias("n"), F.col("m.ordinal").alias("groups"), *[F.col(f"m.{r}").alias(r) for r in runs])
+    # a question (where a task's first group stands) and an answer (what its last group holds) per task, by group
+    zero = [F.lit(0).cast("long").alias(c) for c in ("n", *runs)]
+    events = last.select(F.col("first").alias("g"), "piece", F.lit(0).alias("kind"), *zero).unionByName(
+        last.select(F.col("last").alias("g"), "piece", F.lit(1).alias("kind"), "n", *runs))
+    before = Window.partitionBy("g").orderBy("piece", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    total = [(F.bit_xor if r in {f"run_{c}" for c in xors} else F.sum)(r).over(before).alias(f"add_{r}") for r in runs]
+    held = events.select("piece", "kind", F.sum("n").over(before).alias("add_at"), *total).where("kind = 0").drop("kind")
+    in_order = Window.orderBy("piece")
+    new = last.select("piece", "first", (F.col("groups") + 1 - F.coalesce((F.col("first") == F.lag("last").over(in_order)).cast("int"), F.lit(0))).alias("new"),
+                      (F.coalesce((F.col("first") == F.lag("last").over(in_order)).cast("int"), F.lit(0))).alias("goes_on"))
+    ahead = new.select("piece", "first", (F.coalesce(F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("goes_on")).alias("add_ordinal"))
+    ahead.join(held, "piece").coalesce(1).write.parquet(f"{folder}/pieces")
+    return rows, spark.read.parquet(f"{folder}/pieces")
+
+
+def settle(rows: DataFrame, pieces: DataFrame, group: str, xors: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``scan`` with whole figures: at (place in the group, from 0),
+    ordinal (number of the group, from 0) and run_* (this row included).  The
+    table that is broadcast has one row of some 60 bytes per task."""
+    runs = [c for c in pieces.columns if c.startswith("add_run_")]
+    at_first = F.col(f"`{group}`").cast("long") == F.col("first")
+
+    def more(c: str):
+        add = F.when(at_first, F.coalesce(F.col(f"add_{c}"), F.lit(0))).otherwise(F.lit(0))
+        return F.col(c).bitwiseXOR(add) if c in {f"run_{x}" for x in xors} else F.col(c) + add
+
+    keep = [c for c in rows.columns if c not in {"piece", "at", "ordinal", *[r[4:] for r in runs]}]
+    return rows.join(F.broadcast(pieces), "piece").select(
+        *plain(*keep), more("at").alias("at"), (F.col("ordinal") + F.col("add_ordinal")).alias("ordinal"), *[more(r[4:]).alias(r[4:]) for r in runs])
+
+
+def running(df: DataFrame, group: str, order: list[str], sums: tuple[str, ...] = (), xors: tuple[str, ...] = (), name: str = "running") -> DataFrame:
+    """``scan`` and ``settle`` in a fresh folder."""
+    rows, pieces = scan(df, group, order, scratch_path(df.sparkSession, name), sums, xors)
+    return settle(rows, pieces, group, xors)
+
+
+def _scan_task(cols: list[str], group: str, sums: tuple[str, ...], xors: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        piece, now, ordinal, carry = TaskContext.get().partitionId(), None, -1, [0] * (1 + len(sums) + len(xors))
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            g = b.column(cols.index(group)).to_numpy(zero_copy_only=False)
+            new = np.ones(n, bool)
+            new[1:] = g[1:] != g[:-1]
+            new[0] = now is None or int(g[0]) != now
+            here = np.arange(n, dtype=np.int64)
+            begin = np.maximum.accumulate(np.where(new, here, 0))
+            goes_on = np.cumsum(new) == 0
+            out = [here - begin + np.where(goes_on, carry[0], 0)]
+            for k, c in enumerate((*sums, *xors), 1):
+                v = b.column(cols.index(c)).to_numpy(zero_copy_only=False).astype(np.int64)
+                if k <= len(sums):
+                    total = np.cumsum(v)
+                    out.append(total - (total - v)[begin] + np.where(goes_on, carry[k], 0))
+                else:
+                    total = np.bitwise_xor.accumulate(v)
+                    out.append(total ^ (total ^ v)[begin] ^ np.where(goes_on, carry[k], 0))
+            number = ordinal + np.cumsum(new)
+            now, ordinal, carry = int(g[-1]), int(number[-1]), [int(out[0][-1]) + 1, *[int(x[-1]) for x in out[1:]]]
+            extra = [np.full(n, piece, np.int64), out[0], number, *out[1:]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, extra)],
+                                             names=[*cols, "piece", "at", "ordinal", *[f"run_{c}" for c in (*sums, *xors)]])
+    return run
+
+
 def plain(*names: str):
     """Columns by exact name, whatever characters the names hold."""
     return [F.col(f"`{n}`") for n in names]

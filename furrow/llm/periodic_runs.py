@@ -21,7 +21,7 @@ of overlapping runs divide each other), so every run is found with its smallest
 period.
 
 Scale: a map over texts, nothing is shuffled.  A task holds the words of one
-slice of texts (4 MB, or one longer text) and its grammar, a few times as many
+slice of texts (1 MB, or one longer text) and its grammar, a few times as many
 numbers as words.
 
 Defined cases: null, empty and blank texts have no words and no runs, and collapse
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm.common import plain, ranges, sub_batches, text_bytes
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: bytes of a word: all but the space and those from the tab to the carriage return
 IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 
@@ -52,7 +52,7 @@ class Grammar:
 
     def __init__(self, seq: np.ndarray):
         self.sym, self.bound, self.up, self.pair = [], [], [], []
-        names, level = int(seq.max()) + 1 if len(seq) else 0, seq.astype(np.int64)
+        names, level = int(seq.max()) + 1 if len(seq) else 0, seq.astype(np.int32)  # a text holds less than 2**30 words
         while len(level) > 1:
             new = np.ones(len(level), bool)
             new[1:] = level[1:] != level[:-1]
@@ -72,7 +72,7 @@ class Grammar:
             up[joined], names = _name(level[at], level[at + 1], names)
             self._add(level, begin, True)
             level = up
-        self.sym.append(np.append(level, -1))
+        self.sym.append(np.append(level, np.int32(-1)))
 
     @staticmethod
     def _pairs(level: np.ndarray) -> np.ndarray:
@@ -89,12 +89,12 @@ class Grammar:
 
     def _add(self, level: np.ndarray, begin: np.ndarray, pair: bool) -> None:
         m = len(level)
-        mark = np.zeros(m + 1, np.int64)
+        mark = np.zeros(m + 1, np.int32)
         mark[begin] = 1
         mark[m] = 1
-        self.sym.append(np.append(level, -1))  # the end, also met as the place before the first
-        self.bound.append(np.append(begin, [m, m]))
-        self.up.append(np.cumsum(mark) - 1)
+        self.sym.append(np.append(level, np.int32(-1)))  # the end, also met as the place before the first
+        self.bound.append(np.append(begin, [m, m]).astype(np.int32))
+        self.up.append(np.cumsum(mark, dtype=np.int32) - np.int32(1))
         self.pair.append(pair)
 
     def _step(self, k: int, i: np.ndarray, j: np.ndarray, back: bool) -> np.ndarray:
@@ -139,8 +139,8 @@ class Grammar:
 
 def _name(a: np.ndarray, b: np.ndarray, names: int) -> tuple[np.ndarray, int]:
     """One new symbol per distinct (a, b), and the number of symbols after that."""
-    distinct, at = np.unique(a * (int(b.max()) + 1 if len(b) else 1) + b, return_inverse=True)
-    return names + at, names + len(distinct)
+    distinct, at = np.unique(a.astype(np.int64) * (int(b.max()) + 1 if len(b) else 1) + b, return_inverse=True)
+    return (names + at).astype(np.int32), names + len(distinct)
 
 
 def runs_of(seq: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -195,8 +195,8 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     begin[1:] &= ~inside[:-1] | text_start[1:-1]
     at = np.flatnonzero(begin)
     data = raw[inside]
-    place = np.cumsum(inside) - inside  # bytes of words before each byte
-    offsets = np.append(place[at], len(data)).astype(np.int32)
+    place = np.cumsum(inside, dtype=np.int32)  # bytes of words up to each byte
+    offsets = np.append(place[at] - 1, len(data)).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
     return words, np.diff(np.searchsorted(at, cut))
 

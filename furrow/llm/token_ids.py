@@ -20,8 +20,8 @@ vocabulary, the only thing that is broadcast.  Shards are range partitions, so
 their number follows the data.  A retried task writes under a new name and the
 manifest, committed by Spark, lists only the shards that count.
 
-Words between single spaces are encoded once per worker and looked up after
-that (``CACHE_WORDS`` bounds the memory): in byte-level BPE with the usual
+Words between single spaces are encoded once per worker, by stem, and looked up
+after that (``CACHE_WORDS`` stems and other units bound the memory): in byte-level BPE with the usual
 splitting pattern a space between two non-spaces always opens a new unit, so
 the ids of a text are those of its words in a row.  Any other tokenizer file
 gets whole texts.
@@ -39,7 +39,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice, repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -71,13 +71,14 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 #: letters, one mark, a line end, letters, one mark: each a unit of the splitting pattern
-_SIMPLE = re.compile(rf"({_LETTERS})([.,;:!?]?)(?:(\n)({_LETTERS})([.,;:!?]?))?")
+_SIMPLE = rf"^(?P<a>{_LETTERS})(?P<b>[.,;:!?]?)(?:(?P<c>\n)(?P<d>{_LETTERS})(?P<e>[.,;:!?]?))?$"
 _GAP = re.compile(r"(?<=\S) (?=\S)")
-_ALONE = -2
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with a bounded cache of words."""
+    """Ids of whole texts by the tokenizers library, with a bounded cache of
+    units: a stem with the space before it serves all words made of it, a mark
+    and a line end.  Units that were not met for longest leave the cache."""
 
     def __init__(self, path: str, special_as_text: bool = False):
         import os
@@ -96,8 +97,19 @@ class Encoder:
                         and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens") or ()))
         self.model = self.tok.model
         self.index: dict[str, int] = {}
-        self.marks: dict[str, list[int]] = {}
-        self.flat, self.start, self.len = np.zeros(1 << 16, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.len, self.met = np.zeros(1 << 16, np.int32), *(np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.units = self.used = self.clock = 0
+        if self.by_word:
+            self._spaces()
+
+    def _spaces(self) -> None:
+        """Which ids open with a space; stems in a row can be encoded at once if
+        no entry of the vocabulary of letters and spaces has one behind a letter."""
+        space, vocab = _BYTE_LETTERS[32], self.tok.get_vocab()
+        letters = set("".join(map(chr, [*range(65, 91), *range(97, 123)])) + "".join(_BYTE_LETTERS[b] for b in (195, *range(128, 192))))
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for v, i in vocab.items() if v.startswith(space)]] = True
+        self.in_a_row = not any(space in v.lstrip(space) and letters.issuperset(v.replace(space, "")) for v in vocab)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         out = []
@@ -109,92 +121,94 @@ class Encoder:
         """Ids of one unit of the splitting pattern: the model alone, no splitting."""
         return [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(_BYTE_LETTERS))]
 
-    def _mark(self, mark: str) -> list[int]:
-        if mark not in self.marks:
-            self.marks[mark] = self._unit(mark)
-        return self.marks[mark]
-
-    def _learn_all(self, words: list[str]) -> None:
-        """``_learn`` in slices, so that its lists of Python numbers stay small."""
-        for i in range(0, len(words), LEARN_WORDS):
-            self._learn(words[i:i + LEARN_WORDS])
-
-    def _learn(self, words: list[str]) -> None:
-        """Add words (their space before them is implied) to the cache.  An
-        empty word or one with white space at an end is marked: its text is
-        then cut with more care."""
-        got, other, known = [], [], {}
-        for w in words:
-            if m := _SIMPLE.fullmatch(w):
-                stem, mark, *more = m.groups()
-                if (ids := known.get(stem)) is None:
-                    k = self.index.get(stem, -1)
-                    ids = self.flat[self.start[k]:self.start[k] + self.len[k]].tolist() if k >= 0 else self._unit(" " + stem)
-                    known[stem] = ids
-                if mark:
-                    ids = ids + self._mark(mark)
-                if more[0]:
-                    ids = ids + self._mark(more[0]) + self._unit(more[1]) + (self._mark(more[2]) if more[2] else [])
-                got.append(ids)
-            else:
-                got.append(None)
-                other.append(w)
-        rest = iter(self._whole([" " + w for w in other]))
-        got = [next(rest) if g is None else g for g in got]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        new = np.fromiter(chain.from_iterable(got), np.int32, int(lens.sum()))
-        used, base = int(self.len.sum()), len(self.start)
-        if used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat[:used], np.zeros(len(new) + len(self.flat) // 2, np.int32)])
-        self.flat[used:used + len(new)] = new
-        self.start = np.concatenate([self.start, used + np.cumsum(lens) - lens])
-        self.len = np.concatenate([self.len, lens])
-        self.index.update(zip(words, range(base, base + len(words))))
-        for w in other:
-            if not w or w[0].isspace() or w[-1].isspace():
-                self.index[w] = _ALONE
+    def _stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, their number per stem) of stems with a space before each."""
+        if not self.in_a_row:
+            return _rows([self._unit(u) for u in stems])
+        ids = np.array([i for k in range(0, len(stems), 64) for i in self._unit("".join(stems[k:k + 64]))], np.int32)
+        return ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+
+    def _find(self, units: list[str], learn) -> np.ndarray:
+        """Places of distinct units in the cache; ``learn`` encodes new ones, in
+        slices, so that its lists of Python numbers stay small."""
+        at = np.fromiter(map(self.index.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(at < 0).tolist()
+        for k in range(0, len(missing), LEARN_WORDS):
+            new = [units[i] for i in missing[k:k + LEARN_WORDS]]
+            ids, lens = learn(new)
+            base, top = self.units, self.units + len(new)
+            self.flat = _room(self.flat, self.used + len(ids))
+            self.start, self.len, self.met = (_room(x, top) for x in (self.start, self.len, self.met))
+            self.flat[self.used:self.used + len(ids)] = ids
+            self.start[base:top], self.len[base:top] = self.used + np.cumsum(lens) - lens, lens
+            self.index.update(zip(new, range(base, top)))
+            at[missing[k:k + LEARN_WORDS]] = np.arange(base, top)
+            self.units, self.used = top, self.used + len(ids)
+        self.met[at] = self.clock
+        return at
 
     def _trim(self) -> None:
-        """Keep the words that were met first, the most frequent as a rule."""
-        keep = CACHE_WORDS * 2 // 3
-        self.index = dict(islice(self.index.items(), keep))
-        self.start, self.len = self.start[:keep], self.len[:keep]
+        """Keep the two thirds that were met last."""
+        keep = np.sort(np.argsort(-self.met[:self.units], kind="stable")[:CACHE_WORDS * 2 // 3])
+        names, lens = list(self.index), self.len[keep]
+        self.index = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.flat = self.flat[ranges(self.start[keep], lens)]
+        self.start, self.len, self.met = np.cumsum(lens) - lens, lens, self.met[keep]
+        self.units, self.used = len(keep), len(self.flat)
+
+    def _pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(places of up to five units per word, -1: none; whether its texts must
+        be cut with more care).  A word's space before it is implied; an empty
+        word or one with white space at an end is of the second kind."""
+        match = pc.extract_regex(distinct, _SIMPLE)
+        simple = match.is_valid().to_numpy(zero_copy_only=False)
+        at, odd = np.full((len(distinct), 5), -1, np.int64), np.zeros(len(distinct), bool)
+        match = match.filter(pa.array(simple))
+        for k, field in enumerate("abcde"):
+            coded = pc.fill_null(match.field(field), "").dictionary_encode()
+            units = coded.dictionary.to_pylist()
+            found = self._find([" " + u for u in units], self._stems) if k == 0 else np.full(len(units), -1, np.int64)
+            if k and (some := [i for i, u in enumerate(units) if u]):
+                found[some] = self._find([units[i] for i in some], lambda new: _rows([self._unit(u) for u in new]))
+            at[simple, k] = found[coded.indices.to_numpy()]
+        rest = np.flatnonzero(~simple)
+        words = distinct.take(pa.array(rest)).to_pylist()
+        odd[rest] = [not w or w[0].isspace() or w[-1].isspace() for w in words]
+        whole = np.flatnonzero(~odd[rest])
+        at[rest[whole], 0] = self._find([" " + words[i] for i in whole.tolist()], lambda new: _rows(self._whole(new)))
+        return at, odd
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, their number per text)."""
         if not self.by_word:
-            got = self._whole(texts.to_pylist())
-            return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
-        if len(self.index) > CACHE_WORDS:
+            return _rows(self._whole(texts.to_pylist()))
+        self.clock += 1
+        if self.units > CACHE_WORDS:
             self._trim()
         words = pc.split_pattern(texts, " ")
-        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = np.append(0, ends[:-1])[:len(ends)]
         coded = words.flatten().dictionary_encode()
-        ends = np.cumsum(counts)
-        begin = ends - counts
-        distinct = coded.dictionary.to_pylist()
-        at = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
-        missing = np.flatnonzero(at == -1)
-        if len(missing):
-            new = [distinct[i] for i in missing]
-            self._learn_all(new)
-            at[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         code = coded.indices.to_numpy()
-        odd = np.flatnonzero(at == _ALONE)
+        at, odd = self._pieces(coded.dictionary)
+        # the ids of every distinct word in a row, from those of its units
+        sizes = np.where(at >= 0, self.len[at], 0)
+        flat = self.flat[ranges(self.start[at].ravel(), sizes.ravel())]
+        size = sizes.sum(axis=1)
+        place = np.cumsum(size) - size
+        lens, starts = size[code], place[code]
+        odd = np.flatnonzero(odd)
         odd = np.unique(np.searchsorted(ends, np.flatnonzero(np.isin(code, odd)), side="right")) if len(odd) else odd
-        at = np.maximum(at, 0)[code]
-        lens, starts = self.len[at], self.start[at]
         # a text's first word has no space before it; the texts marked odd are
-        # encoded on their own: both point behind the cached ids
-        extra = self._whole([distinct[i] for i in code[begin]])
+        # encoded on their own: both point behind the ids of words
+        extra = self._whole(coded.dictionary.take(pa.array(code[begin])).to_pylist())
         for i in odd.tolist():
             extra[i] = self._careful(texts[i].as_py())
             lens[begin[i]:ends[i]] = 0
-        lens[begin] = np.fromiter(map(len, extra), np.int64, len(extra))
-        starts[begin] = len(self.flat) + np.cumsum(lens[begin]) - lens[begin]
-        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(extra), np.int32, int(lens[begin].sum()))])
+        more, lens[begin] = _rows(extra)
+        starts[begin] = len(flat) + np.cumsum(lens[begin]) - lens[begin]
         total = np.concatenate([[0], np.cumsum(lens)])
-        return flat[ranges(starts, lens)], total[ends] - total[begin]
+        return np.concatenate([flat, more])[ranges(starts, lens)], total[ends] - total[begin]
 
     def _careful(self, text: str) -> list[int]:
         """Cut only at a single space between two non-spaces."""
@@ -204,6 +218,17 @@ class Encoder:
         return [i for ids in self._whole([parts[0], *(" " + p for p in parts[1:])]) for i in ids]
 
 
+def _rows(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers in a row, their number per list)."""
+    lens = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(lens.sum())), lens
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` itself, or with room for ``n`` entries and half as many more."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(n + n // 2 - len(x), x.dtype)])
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 

@@ -1,4 +1,4 @@
-"""JSON packing and field access (ops 2.13, 9.19, 9.20), array helpers (9.21)."""
+"""JSON packing and field access (ops 2.13, 9.19, 9.20), metrics as VARIANT, array helpers (9.21)."""
 
 from __future__ import annotations
 
@@ -27,6 +27,28 @@ def json_field(c, key: str, cast: str | None = "double") -> Column:
     return v.try_cast(cast) if cast else v
 
 
+def metrics_variant(c) -> Column:
+    """Metrics JSON as VARIANT: parsed once, fields read without parsing again;
+    null for text that is no JSON."""
+    return F.try_parse_json(as_col(c))
+
+
+def pack_metrics_variant(cols: Sequence[str]) -> Column:
+    """Non-null metrics as a VARIANT object, each with its own type."""
+    return F.parse_json(pack_metrics(cols))
+
+
+def variant_field(c, key: str, cast: str = "double") -> Column:
+    """``metrics->>'key'`` of a VARIANT; null if absent, JSON null or of no such value."""
+    return F.try_variant_get(as_col(c), f"$.{key}", cast)
+
+
+def discovered_schema(c) -> Column:
+    """Aggregate: the fields and types that a column of VARIANT metrics holds;
+    fields of mixed types are ``VARIANT``."""
+    return F.schema_of_variant_agg(as_col(c))
+
+
 def row_json(df_cols: Sequence[str]) -> Column:
     """Whole row as JSON text (nulls dropped), for export of query rows."""
     return F.to_json(F.struct(*[F.col(c) for c in df_cols]))

@@ -2,19 +2,22 @@
 
 Every pipeline is one lazy plan: row-local rules are a single projection
 (whole-stage codegen), fills are windows of ``furrow.operators.fill`` per
-(location, year) series, which the calendar bounds.
+(location, year) series, which the calendar bounds.  With ``counts`` (an
+Observation) each reports what it is about to repair, counted while the rows pass
+on their way to the write.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from furrow.functions import cleaning as C
 from furrow.operators import fill
 from furrow.operators.dedup import first_by_key
+from furrow.operators.quality import observe, rule_counts
 from furrow.operators.reshape import POINT_SERIES_NAMES, pivot_long_wide
 from furrow.sinks.align import add_metadata
 
@@ -27,6 +30,32 @@ def _present(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for c in cols if c in df.columns]
 
 
+def cleaning_counts(df: DataFrame) -> list[Column]:
+    """Aggregates over the coerced values before cleaning, for the columns that
+    ``df`` has: what the rules are about to repair, and the range of each metric
+    (op 5.15)."""
+    rules, col = {}, {c: F.col(c) for c in df.columns}
+    for c in _present(df, [*DAILY_TEMPS]):
+        rules[f"{c}_outside"] = ~col[c].between(*C.TEMPERATURE_BOUNDS)
+    if "surface_pressure" in col:
+        rules["surface_pressure_outside"] = ~col["surface_pressure"].between(*C.PRESSURE_BOUNDS)
+    if "temperature_2m_max" in col and "temperature_2m_min" in col:
+        rules["temperature_swapped"] = col["temperature_2m_min"] > col["temperature_2m_max"]
+    if "precipitation_sum" in col:
+        rules["precipitation_negative"] = col["precipitation_sum"] < 0
+        rules["precipitation_high"] = col["precipitation_sum"] > C.PRECIP_MAX
+    if "relative_humidity_2m" in col:
+        rules["humidity_clipped"] = ~col["relative_humidity_2m"].between(*C.HUMIDITY_BOUNDS)
+    if "wind_speed_10m_max" in col:
+        rules["wind_clipped"] = ~col["wind_speed_10m_max"].between(0.0, C.FORECAST_WIND_MAX)
+    for c in _present(df, ["wind_speed_2m", ALL_SKY, CLEAR_SKY]):
+        rules[f"{c}_negative"] = col[c] < 0
+    if ALL_SKY in col and CLEAR_SKY in col:
+        rules["all_sky_capped"] = col[ALL_SKY] > col[CLEAR_SKY]
+    ranges = _present(df, [*DAILY_TEMPS, "precipitation_sum", "surface_pressure", "relative_humidity_2m", "wind_speed_10m_max", "wind_speed_2m", ALL_SKY, CLEAR_SKY])
+    return [F.count(F.lit(1)).alias("n_rows"), *rule_counts(rules, ranges)]
+
+
 def _series_keys(df: DataFrame, keys: Sequence[str], date_col: str):
     """Fill series per (keys, year), as the yearly files are.  The calendar
     bounds such a series (366 daily or 8,784 hourly rows per location-year), so
@@ -53,12 +82,13 @@ def _bounds_then_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str], d
 
 
 def openmeteo_daily(df: DataFrame, as_of, keys: Sequence[str] = ("location",),
-                    date_col: str = "date") -> DataFrame:
+                    date_col: str = "date", counts: Observation | None = None) -> DataFrame:
     """coerce -> swap -> mean repair -> (bounds -> interpolate -> ffill/bfill)
     per temperature -> precipitation rule -> metadata."""
     keys = [k for k in keys if k in df.columns]
     nums = _present(df, [*DAILY_TEMPS, "precipitation_sum"])
     out = df.select(*[C.coerce_numeric(c).alias(c) if c in nums else F.col(c) for c in df.columns])
+    out = observe(out, counts, cleaning_counts(out))
     if all(c in out.columns for c in DAILY_TEMPS):
         mn, mx = C.swap_min_max("temperature_2m_min", "temperature_2m_max")
         out = out.withColumns({"temperature_2m_min": mn, "temperature_2m_max": mx})
@@ -71,18 +101,19 @@ def openmeteo_daily(df: DataFrame, as_of, keys: Sequence[str] = ("location",),
 
 
 def openmeteo_hourly(df: DataFrame, as_of, keys: Sequence[str] = ("location",),
-                     date_col: str = "date") -> DataFrame:
+                     date_col: str = "date", counts: Observation | None = None) -> DataFrame:
     """coerce -> pressure bounds -> forward fill -> metadata."""
     keys = [k for k in keys if k in df.columns]
     out = df
     if "surface_pressure" in df.columns:
         out = out.withColumn("surface_pressure", C.coerce_numeric("surface_pressure"))
+        out = observe(out, counts, cleaning_counts(out))
         out = _bounds_then_fill(out, ["surface_pressure"], keys, date_col, *C.PRESSURE_BOUNDS, "ffill")
     return add_metadata(out, "openmeteo", as_of)
 
 
 def nasapower_daily(long: DataFrame, as_of, keys: Sequence[str] = ("location",),
-                    order_col: str | None = None) -> DataFrame:
+                    order_col: str | None = None, counts: Observation | None = None) -> DataFrame:
     """dedup -> pivot -> rename -> sentinel -> coerce -> temperature
     bounds/interpolate/fill -> precipitation -> cap all-sky -> clip humidity
     -> floor wind and radiation -> metadata.
@@ -97,6 +128,7 @@ def nasapower_daily(long: DataFrame, as_of, keys: Sequence[str] = ("location",),
     metrics = list(POINT_SERIES_NAMES.values())
     out = wide.select(*[C.coerce_numeric(C.sentinel_to_null(c)).alias(c) if c in metrics else F.col(c)
                         for c in wide.columns])
+    out = observe(out, counts, cleaning_counts(out))
     out = _bounds_then_fill(out, ["temperature_2m_mean"], keys, "date", *C.TEMPERATURE_BOUNDS, "interpolate")
     out = out.withColumns({
         "precipitation_sum": C.precipitation_rule("precipitation_sum"),
@@ -108,12 +140,13 @@ def nasapower_daily(long: DataFrame, as_of, keys: Sequence[str] = ("location",),
 
 
 def openmeteo_forecast(df: DataFrame, as_of, keys: Sequence[str] = ("location",),
-                       date_col: str = "date") -> DataFrame:
+                       date_col: str = "date", counts: Observation | None = None) -> DataFrame:
     """coerce -> max/min temperature bounds/interpolate/fill -> precipitation
     -> wind clip [0, 150] -> weather-code snap -> metadata (no swap)."""
     keys = [k for k in keys if k in df.columns]
     nums = [c for c in df.columns if c not in (*keys, date_col)]
     out = df.select(*[C.coerce_numeric(c).alias(c) if c in nums else F.col(c) for c in df.columns])
+    out = observe(out, counts, cleaning_counts(out))
     out = _bounds_then_fill(out, _present(out, ["temperature_2m_max", "temperature_2m_min"]), keys, date_col,
                             *C.TEMPERATURE_BOUNDS, "interpolate")
     upd = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -73,12 +73,16 @@ def assert_complete(report: DataFrame) -> None:
         raise DataQualityError(f"incomplete series: {[r.asDict() for r in bad]}")
 
 
-def nonnull_report(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """One row: total rows, non-null count per metric, rows with every metric null (op 5.8)."""
+def nonnull_counts(metrics: Sequence[str]) -> list[Column]:
+    """Aggregates: total rows, non-null count per metric, rows with every metric null."""
     all_null = F.coalesce(*[F.col(c) for c in metrics]).isNull() if metrics else F.lit(True)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  *[F.count(F.col(c)).alias(f"nonnull_{c}") for c in metrics],
-                  F.count_if(all_null).alias("all_null_rows"))
+    return [F.count(F.lit(1)).alias("n_rows"), *[F.count(F.col(c)).alias(f"nonnull_{c}") for c in metrics],
+            F.count_if(all_null).alias("all_null_rows")]
+
+
+def nonnull_report(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``nonnull_counts`` of all rows, or one row per ``by`` (op 5.8)."""
+    return df.groupBy(*by).agg(*nonnull_counts(metrics))
 
 
 def validate_forecast(df: DataFrame, required: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -96,13 +100,22 @@ def validate_forecast(df: DataFrame, required: Sequence[str], metrics: Sequence[
     return rep
 
 
-def violation_counts(df: DataFrame, rules: Mapping[str, Column],
-                     ranges: Sequence[str] = ()) -> DataFrame:
-    """One row of ``count_if(rule)`` per named rule plus min/max of ``ranges``
-    before cleaning (op 5.15).  Attach with ``df.observe`` during a write for
-    a zero-extra-pass variant."""
-    return df.agg(*[F.count_if(c).alias(f"n_{name}") for name, c in rules.items()],
-                  *[x for c in ranges for x in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))])
+def rule_counts(rules: Mapping[str, Column], ranges: Sequence[str] = ()) -> list[Column]:
+    """Aggregates: rows breaking each rule, and min/max of ``ranges``."""
+    return [*[F.count_if(c).alias(f"n_{name}") for name, c in rules.items()],
+            *[x for c in ranges for x in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))]]
+
+
+def violation_counts(df: DataFrame, rules: Mapping[str, Column], ranges: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """``rule_counts`` before cleaning, of all rows or one row per ``by`` (op 5.15)."""
+    return df.groupBy(*by).agg(*rule_counts(rules, ranges))
+
+
+def observe(df: DataFrame, observation: Observation | None, aggregates: Sequence[Column]) -> DataFrame:
+    """``df`` unchanged, its ``aggregates`` counted while whatever reads it runs,
+    as a write does: no pass of their own.  ``observation.get`` brings them after
+    the first action."""
+    return df if observation is None or not aggregates else df.observe(observation, *aggregates)
 
 
 def year_batches(df: DataFrame, date_col: str, keys: Sequence[str] = ()) -> DataFrame:

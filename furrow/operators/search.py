@@ -46,6 +46,13 @@ def keyword_filter(df: DataFrame, fields: Sequence, keywords: Sequence[str]) ->
     return df.where(any_keyword(fields, keywords))
 
 
+# Messages of the soil check.
+SOIL_UNKNOWN_PLANT = "Aucune exigence de sol trouvée pour %s."
+SOIL_FITS = "Le sol '%s' est compatible avec %s."
+SOIL_DOES_NOT_FIT = "Le sol '%s' n'est pas listé comme compatible avec %s. Sols compatibles: %s."
+SOIL_NONE = "aucun"
+
+
 def soil_compatibility(requests: DataFrame, plants: DataFrame, plant_col: str = "nom_du_plante",
                        soil_col: str = "soil_type", soils_col: str = "nature_des_sols",
                        exact_name: bool = True, dim_plant_col: str = "nom_du_plante") -> DataFrame:
@@ -69,10 +76,10 @@ def soil_compatibility(requests: DataFrame, plants: DataFrame, plant_col: str =
     found = F.col("__plant").isNotNull()
     ok = found & F.coalesce(F.array_contains("__norm", F.lower(F.trim(F.col(soil_col)))), F.lit(False))
     allowed = F.col("__allowed")
-    msg = (F.when(~found, F.concat(F.lit("Aucune exigence de sol trouvée pour "), F.col(plant_col), F.lit(".")))
-           .when(ok, F.concat(F.lit("Le sol '"), F.col(soil_col), F.lit("' est compatible avec "),
-                              F.col(plant_col), F.lit(".")))
-           .otherwise(F.concat(F.lit("Le sol '"), F.col(soil_col), F.lit("' n'est pas listé comme compatible avec "),
-                               F.col(plant_col), F.lit(". Sols compatibles: "),
-                               F.when(allowed == "", F.lit("aucun")).otherwise(allowed), F.lit("."))))
+    msg = (F.when(~found, F.format_string(SOIL_UNKNOWN_PLANT, F.col(plant_col)))
+           .when(ok, F.format_string(SOIL_FITS, F.col(soil_col), F.col(plant_col)))
+           .otherwise(F.format_string(SOIL_DOES_NOT_FIT, F.col(soil_col), F.col(plant_col),
+                                      F.when(allowed == "", F.lit(SOIL_NONE)).otherwise(allowed))))
+    # a missing plant or soil leaves no message
+    msg = F.when(F.col(plant_col).isNotNull() & (~found | F.col(soil_col).isNotNull()), msg)
     return j.select(*requests.columns, ok.alias("compatible"), allowed.alias("allowed_soils"), msg.alias("message"))

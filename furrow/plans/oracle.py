@@ -728,3 +728,7 @@ select case when lang <> 'es' then 'D' || cast(doc_id as varchar) else 'Unknown'
        case when lang <> 'de' then 'http://data.example/' || cast(doc_id as varchar) end as download_url
 from documents
 """
+
+from furrow.plans import lifecycle as _lifecycle  # noqa: E402
+
+ORACLE |= _lifecycle.ORACLE

@@ -40,6 +40,8 @@ TOP_K = 30
 DAYTIME_HOURS = (6, 18)
 
 _MICRO = 1_000_000
+#: a day's rain that is no number, infinite or beyond this many mm counts as unknown, so as none
+MAX_RAIN_MM = 1e9
 
 
 def daily_rollup(hourly: DataFrame, ts_col: str, temp_col: str, rain_col: str,
@@ -92,8 +94,7 @@ def planting_windows(daily: DataFrame, plants: DataFrame, requests: DataFrame,
                      rain_cap: float = DEFAULT_RAIN_CAP_MM,
                      germ_rows: int = GERM_ROWS, germ_min: int = GERM_MIN_DAYS,
                      perfect_share: float = PERFECT_SHARE, recent_years: int = RECENT_YEARS,
-                     min_years: int = MIN_YEARS, top_k: int | None = TOP_K,
-                     max_plants: int = 10_000) -> DataFrame:
+                     min_years: int = MIN_YEARS, top_k: int | None = TOP_K) -> DataFrame:
     """Best planting start dates per (location, plant).
 
     ``daily`` has ``loc_cols``, ``day_date``, ``daytime_temp_avg``,
@@ -110,14 +111,9 @@ def planting_windows(daily: DataFrame, plants: DataFrame, requests: DataFrame,
     plant_cols = ["nom_du_plante", "temp_min_opt", "temp_max_opt", "temp_min_abs",
                   "temp_max_abs", "crop_cycle_min"]
     dim = plants.select(*plant_cols)
-    # One small job over the plant dimension: its size (checked before it is
-    # broadcast) and its distinct cycle lengths, which drive one lead each.
-    stats = dim.agg(F.count(F.lit(1)).alias("n"),
-                    F.array_sort(F.collect_set("crop_cycle_min")).alias("cycles")).first()
-    cycles = list(stats["cycles"] or [])
-    small = stats["n"] <= max_plants
-    req = (requests.select(*loc_cols, "nom_du_plante").distinct()
-           .join(F.broadcast(dim) if small else dim, "nom_du_plante"))
+    # The distinct cycle lengths (whole days of a season) drive one lead each.
+    cycles = dim.agg(F.array_sort(F.collect_set("crop_cycle_min")).alias("cycles")).first()["cycles"]
+    req = requests.select(*loc_cols, "nom_du_plante").distinct().join(dim, "nom_du_plante")
 
     a = F.col("daytime_temp_avg")
     flags = (daily.join(req, list(loc_cols))
@@ -127,8 +123,7 @@ def planting_windows(daily: DataFrame, plants: DataFrame, requests: DataFrame,
                      F.when((F.col("daily_temp_min") < F.col("temp_min_abs"))
                             | (F.col("daily_temp_max") > F.col("temp_max_abs")), 1)
                       .otherwise(0).alias("x"),
-                     F.round(F.coalesce(F.nanvl(F.col("daily_rain"), F.lit(None).cast("double")), F.lit(0.0)) * _MICRO)
-                      .cast("bigint").alias("r")))
+                     F.coalesce(F.round(F.when(F.abs("daily_rain") < MAX_RAIN_MM, F.col("daily_rain")) * _MICRO).cast("bigint"), F.lit(0)).alias("r")))
 
     keys = [*loc_cols, "nom_du_plante"]
     w = Window.partitionBy(*keys).orderBy("day_date")

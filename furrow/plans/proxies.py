@@ -18,7 +18,7 @@ from furrow.functions import dates as D
 from furrow.functions import jsonx as J
 from furrow.functions import text as TX
 from furrow.operators import dedup, fill, keys, merge, quality, reshape, search
-from furrow.plans import catalog, conversations, planting
+from furrow.plans import catalog, conversations, lifecycle, planting
 from furrow.session import scratch_path
 from furrow.sinks import align, partitioned, upsert
 from furrow.sources import payloads
@@ -250,10 +250,8 @@ def violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        (F.col("value") / 3 - 10).alias("h"))
     rules = {"t_out": ~F.col("t").between(-50, 60), "p_neg": F.col("p") < 0, "p_high": F.col("p") > 500,
              "h_out": (F.col("h") < 0) | (F.col("h") > 100)}
-    rep = ev.groupBy("event_type").agg(
-        *[F.count_if(c).alias(f"n_{k}") for k, c in rules.items()],
-        *[x for c in ("t", "p", "h") for x in (F.round(F.min(c), 6).alias(f"min_{c}"), F.round(F.max(c), 6).alias(f"max_{c}"))])
-    return rep
+    rep = quality.violation_counts(ev, rules, ["t", "p", "h"], by=["event_type"])
+    return rep.select(*[F.round(c, 6).alias(c) if c.startswith(("min_", "max_")) else F.col(c) for c in rep.columns])
 
 
 def nonnull_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,11 +261,7 @@ def nonnull_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("value") <= 400, F.col("value")).alias("m1"),
         F.when(F.col("value") <= 100, F.col("value") * 2).alias("m2"),
         F.when(F.hour("ts") >= 12, F.col("value")).alias("m3"))
-    metrics = ["m1", "m2", "m3"]
-    all_null = F.coalesce(*[F.col(c) for c in metrics]).isNull()
-    return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"),
-                                        *[F.count(c).alias(f"nonnull_{c}") for c in metrics],
-                                        F.count_if(all_null).alias("all_null_rows"))
+    return quality.nonnull_report(ev, ["m1", "m2", "m3"], by=["event_type"])
 
 
 # --------------------------------------------------------------------------- fills
@@ -438,26 +432,6 @@ def upsert_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_custkey", "n_orders", "first_day", "last_day", "name", "label")
 
 
-def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 10.1: order files landed per year, consumed by a file stream two
-    files per micro-batch, merged by customer (latest order wins) into a
-    table partitioned by a bucket of the customer key."""
-    from pyspark.sql import types as T
-
-    from furrow.streaming.incremental import key_bucket
-    from furrow.streaming.incremental import stream_upsert as run
-    landing = scratch_path(spark, "landing")
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    (o.withColumn("y", F.year("o_orderdate")).repartition("y").write.partitionBy("y").parquet(landing))
-    schema = T.StructType([T.StructField("o_custkey", T.LongType()), T.StructField("o_orderkey", T.LongType()),
-                           T.StructField("o_orderdate", T.TimestampNTZType()),
-                           T.StructField("o_totalprice", T.DoubleType())])
-    target = scratch_path(spark, "orders-latest")
-    run(spark, landing + "/*", schema, target, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["bucket"],
-        clean=lambda b: b.withColumn("bucket", key_bucket(["o_custkey"], 16)), max_files_per_trigger=2)
-    return spark.read.parquet(target).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-
-
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 2.12/1.9: orders exported as CSV (header) and JSON lines below the
     shared folder, read back with an explicit schema (no inference pass);
@@ -487,16 +461,14 @@ def csv_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
     back by dropping the preamble, renaming headers and casting the date."""
     from furrow.sources.files import read_csv_skip_preamble
     cols = ["o_orderkey", "o_totalprice", "o_orderdate"]
-    o = table(spark, sf_dir, "orders").select(*cols).withColumn("pid", F.spark_partition_id())
-    data = o.select("pid", F.lit(3).alias("ord"),
-                    F.concat_ws(",", *[F.col(c).cast("string") for c in cols]).alias("line"))
+    o = table(spark, sf_dir, "orders").select(*cols)
     head = ["latitude,longitude,elevation", "35.8256,10.6411,12.0", "time_key,price (TND),time"]
-    pre = data.select("pid").distinct().select(
-        "pid", F.posexplode(F.array(*[F.lit(x) for x in head])).alias("ord", "line"))
+    # the first row of every scan partition brings the head of its file
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
     path = scratch_path(spark, "csv-export")
-    (pre.unionByName(data).repartition("pid").sortWithinPartitions("pid", "ord")
-     .select("pid", "line").write.partitionBy("pid").text(path))
-    back = read_csv_skip_preamble(spark, path + "/pid=*", "time_key bigint, price double, time string",
+    o.select(F.concat(F.when(first, F.lit("\n".join(head) + "\n")).otherwise(F.lit("")),
+                      F.concat_ws(",", *[F.col(c).cast("string") for c in cols])).alias("line")).write.text(path)
+    back = read_csv_skip_preamble(spark, path, "time_key bigint, price double, time string",
                                   skip_lines=2, renames={"time_key": "o_orderkey", "price": "o_totalprice",
                                                          "time": "o_orderdate"},
                                   date_cols=["o_orderdate"])
@@ -949,7 +921,6 @@ REGISTRY = {
     "upsert_latest": upsert_latest,
     "upsert_versioned": upsert_versioned,
     "upsert_partial": upsert_partial,
-    "stream_upsert": stream_upsert,
     "export_roundtrip": export_roundtrip,
     "csv_preamble": csv_preamble,
     "get_or_create_keys": get_or_create_keys,
@@ -982,3 +953,5 @@ REGISTRY = {
     "normalize_point_series": normalize_point_series,
     "normalize_forecast": normalize_forecast,
 }
+
+REGISTRY |= lifecycle.REGISTRY

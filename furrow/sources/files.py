@@ -79,17 +79,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 def read_csv_skip_preamble(spark: SparkSession, path: str, schema: T.StructType | str,
                            skip_lines: int = 2, renames: Mapping[str, str] | None = None,
                            date_cols: Sequence[str] = ()) -> DataFrame:
-    """CSV export with ``skip_lines`` preamble lines before its header (op 1.10).
-
-    Each file is read whole (export files are per-station; parallel across
-    files), preamble and header dropped by line index, remaining lines parsed
-    with ``from_csv`` against ``schema`` (already in target column order);
-    ``renames`` maps export headers to schema names; dates cast to DATE.
+    """CSV exports with ``skip_lines`` preamble lines before the header (op 1.10).
+
+    Files are read line by line and split over tasks like any text (compressed
+    ones are not split, but still read line by line).  Each line knows its file
+    and the start of its block; a small aggregate finds the row at which every
+    file's first block begins, and the preamble and header are the rows right
+    behind it.  Lines are parsed with ``from_csv`` against ``schema`` (already in
+    target column order); ``renames`` maps export headers to schema names; dates
+    are cast to DATE.  A line end inside quotes is not supported.
     """
     ddl = schema if isinstance(schema, str) else schema.simpleString()[len("struct<"):-1].replace(":", " ")
-    lines = spark.read.text(path, wholetext=True).select(
-        F.split(F.regexp_replace("value", "\r\n", "\n"), "\n").alias("lines"))
-    body = lines.select(F.explode(F.slice("lines", F.lit(skip_lines + 2), F.size("lines"))).alias("line")).where(F.trim("line") != "")
+    # rows of a block are numbered in the order of its lines; both readings of the
+    # unchanged files deal the same blocks to the same tasks
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+                                         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min("row").alias("first"))
+    body = lines.join(first, "file").where(((F.col("block") > 0) | (F.col("row") > F.col("first") + skip_lines)) & (F.trim("line") != ""))
     parsed = body.select(F.from_csv("line", ddl).alias("r")).select("r.*")
     if renames:
         parsed = parsed.withColumnsRenamed(dict(renames))

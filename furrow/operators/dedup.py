@@ -39,10 +39,12 @@ def distinct_sorted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def any_match_dedup(df: DataFrame, id_col: str, conds: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows matching any named condition, once per id, plus per-condition hit counts (op 5.12)."""
-    hit = F.array(*[F.when(c, F.lit(name)) for name, c in conds.items()])
-    tagged = df.withColumn("__hits", F.filter(hit, lambda x: x.isNotNull()))
-    rows = tagged.where(F.size("__hits") > 0).drop("__hits").dropDuplicates([id_col])
-    counts = (tagged.select(F.explode("__hits").alias("keyword"))
-              .groupBy("keyword").agg(F.count(F.lit(1)).alias("n")))
-    return rows, counts
+    """Rows matching any named condition, one per id (the smallest by the other
+    columns in order), and per condition the number of ids that match (op 5.12)."""
+    hits = {f"__hit{i}": c for i, c in enumerate(conds.values())}
+    tagged = df.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in hits.items()})
+    any_hit = F.greatest(*[F.col(k) for k in hits]) if len(hits) > 1 else F.col("__hit0")
+    rows = first_by_key(tagged.where(any_hit).drop(*hits), [id_col], [c for c in df.columns if c != id_col])
+    once = tagged.groupBy(id_col).agg(*[F.bool_or(k).alias(k) for k in hits])
+    named = F.explode(F.array_compact(F.array(*[F.when(F.col(k), F.lit(name)) for k, name in zip(hits, conds)])))
+    return rows, once.select(named.alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))

@@ -61,4 +61,4 @@ def get_or_create(existing: DataFrame, candidates: DataFrame, key_cols: Sequence
 def source_name(c) -> F.Column:
     """Empty or null source names become ``unknown`` (op 12.2)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.nullif(F.trim(col), F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.nullif(col, F.lit("")), F.lit("unknown"))

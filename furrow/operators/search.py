@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.jsonx import normalized_array
+from furrow.operators.dedup import first_by_key
 from furrow.functions.text import any_keyword, contains_ci
 
 DEFAULT_LIMIT = 10
@@ -41,9 +42,13 @@ def filter_prefix(df: DataFrame, col: str, prefix: str) -> DataFrame:
     return df.where(F.col(col).startswith(prefix))
 
 
-def keyword_filter(df: DataFrame, fields: Sequence, keywords: Sequence[str]) -> DataFrame:
-    """Records matching any keyword in any field, each once (ops 3.26, 5.12)."""
-    return df.where(any_keyword(fields, keywords))
+def keyword_filter(df: DataFrame, fields: Sequence, keywords: Sequence[str], id_col: str | None = None,
+                   columns: Sequence[str] | None = None) -> DataFrame:
+    """Records matching any keyword in any field (op 3.26); with ``id_col`` once
+    per id, the smallest by the other columns in order (op 5.12).  ``columns``
+    (id included) are what is kept and, per id, shuffled."""
+    found = df.where(any_keyword(fields, keywords)).select(*(columns or df.columns))
+    return found if id_col is None else first_by_key(found, [id_col], [c for c in found.columns if c != id_col])
 
 
 # Messages of the soil check.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.text import collapse_ws, decode_entities
@@ -29,6 +29,30 @@ def catalog_summary(df: DataFrame, country_col: str = "country", creator_col: st
                   F.countDistinct(creator_col).alias("n_creators"))
 
 
+def catalog_report(df: DataFrame, tops: dict[str, int], measures: dict[str, F.Column] | None = None) -> DataFrame:
+    """(dim, value, n) in one pass over the records: per column of ``tops`` its
+    most frequent values (ties by value) and, as dim ``distinct``, how many it
+    has; as dim ``summary`` the records and those that each of ``measures``
+    counts.  Grouping sets share the scan and the partial counts; the top values
+    are cut in the tasks before they meet."""
+    dims, measures = list(tops), {"n_records": F.lit(True), **(measures or {})}
+    base = df.select(*[F.col(c).cast("string").alias(c) for c in dims], *[F.coalesce(m, F.lit(False)).cast("long").alias(f"m_{k}") for k, m in measures.items()])
+    sets = base.groupingSets([[F.col(c)] for c in dims] + [[]], *dims).agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), *[F.sum(f"m_{k}").alias(f"m_{k}") for k in measures])
+    # a bit per column, the first one highest, is 0 where the set groups by it
+    full = (1 << len(dims)) - 1
+    gid_of = {c: full - (1 << (len(dims) - 1 - i)) for i, c in enumerate(dims)}
+    dim = value = limit = F.lit(None)
+    for c, g in gid_of.items():
+        dim, value, limit = F.when(F.col("gid") == g, F.lit(c)).otherwise(dim), F.when(F.col("gid") == g, F.col(c)).otherwise(value), F.when(F.col("gid") == g, F.lit(tops[c])).otherwise(limit)
+    rows = sets.select("gid", "n", dim.alias("dim"), value.alias("value"), limit.alias("k"), *[f"m_{k}" for k in measures])
+    ranked = rows.where(F.col("dim").isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy(F.col("n").desc(), F.col("value"))))
+    top = ranked.where((F.col("place") <= max(tops.values())) & (F.col("place") <= F.col("k"))).select("dim", "value", "n")
+    distinct = rows.where(F.col("dim").isNotNull()).groupBy("dim").agg(F.count("value").alias("n")).select(F.lit("distinct").alias("dim"), F.col("dim").alias("value"), "n")
+    pairs = F.array(*[F.struct(F.lit(k).alias("value"), F.coalesce(F.col(f"m_{k}"), F.lit(0)).alias("n")) for k in measures])
+    summary = rows.where(F.col("gid") == full).select(F.inline(pairs)).select(F.lit("summary").alias("dim"), "value", "n")
+    return top.unionByName(distinct).unionByName(summary)
+
+
 def country_of(id_col: str = "id") -> F.Column:
     """Country of a catalogue id: its first two characters, ``Unknown`` if it has fewer."""
     return F.when(F.length(id_col) >= 2, F.substring(id_col, 1, 2)).otherwise(F.lit("Unknown"))

@@ -130,9 +130,49 @@ def planting_sql_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT * FROM planting_window('ORDERS', 'Proxy')")
 
 
-REGISTRY = {f.__name__: f for f in (stream_upsert, stream_daily_facts, stream_fill, location_dimension, write_counts, metrics_variant, planting_sql_tool)}
+# Keywords of the indexed search over documents.
+INDEX_KEYWORDS = ["License", "error", "42", "@example.com", "zzzqqq"]
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 3.22, 3.26: documents by keyword through a trigram index of whole texts."""
+    from furrow.operators.search_index import build_index, search_index
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    path = build_index(docs, scratch_path(spark, "trigrams"), "doc_id", ["text", "source"])
+    return search_index(docs, path, "doc_id", ["text", "source"], INDEX_KEYWORDS).select("keyword", "doc_id")
+
+
+def catalog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 5.10, 5.11: countries, creators and totals of the catalogue in one pass;
+    documents as records, too short ids without a country."""
+    from furrow.plans import catalog
+
+    docs = _table(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 7 == 0, F.lit("x")).otherwise(F.concat(F.upper("lang"), F.lit("-"), F.col("doc_id"))).alias("id"),
+        F.col("source").alias("creator"), F.when(F.col("n_chars") > 1000, F.col("source")).alias("download_url"))
+    records = docs.withColumn("country", catalog.country_of("id"))
+    return catalog.catalog_report(records, {"country": catalog.TOP_COUNTRIES, "creator": catalog.TOP_CREATORS},
+                                  {"n_with_url": F.col("download_url") != ""})
+
+
+REGISTRY = {f.__name__: f for f in (stream_upsert, stream_daily_facts, stream_fill, location_dimension, write_counts, metrics_variant, planting_sql_tool,
+                                    keyword_index, catalog_report)}
 
 ORACLE = {
+    "keyword_index": "select k as keyword, doc_id from documents, (values " + ", ".join(f"('{k.lower()}')" for k in INDEX_KEYWORDS) + """) t(k)
+where contains(lower(coalesce(text, '')), k) or contains(lower(coalesce(source, '')), k)
+""",
+    "catalog_report": """
+with d as (select case when doc_id % 7 = 0 then 'Unknown' else substr(upper(lang), 1, 2) end as country, source as creator, n_chars > 1000 and source <> '' as url from documents)
+(select 'country' as dim, country as value, count(*) as n from d group by country order by n desc, value limit 20)
+union all
+(select 'creator', creator, count(*) as n from d group by creator order by n desc, creator limit 10)
+union all select 'distinct', 'country', count(distinct country) from d
+union all select 'distinct', 'creator', count(distinct creator) from d
+union all select 'summary', 'n_records', count(*) from d
+union all select 'summary', 'n_with_url', count(*) filter (where url) from d
+""",
     "stream_daily_facts": """
 select o_custkey, o_orderkey, o_orderdate, o_totalprice from (
   select *, row_number() over (partition by o_custkey, o_orderdate order by o_orderkey desc) as rn from orders)

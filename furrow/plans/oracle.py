@@ -309,8 +309,8 @@ where rn = 1
 
 ORACLE["get_or_create_keys"] = """
 with cand as (select distinct name from (
-        select coalesce(nullif(trim(event_type), ''), 'unknown') as name from events
-        union all select coalesce(nullif(trim(r_name), ''), 'unknown') from region
+        select coalesce(nullif(event_type, ''), 'unknown') as name from events
+        union all select coalesce(nullif(r_name, ''), 'unknown') from region
         union all select n_name from nation)),
 new as (select name from cand where name not in (select n_name from nation)),
 m as (select max(n_nationkey) as mx from nation)

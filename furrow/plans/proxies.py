@@ -569,13 +569,13 @@ KEYWORDS = ["license", "token", "@", "und"]
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 3.26/5.12: documents matching any keyword, once each."""
     docs = table(spark, sf_dir, "documents")
-    return search.keyword_filter(docs, ["text", "source"], KEYWORDS).select("doc_id", "lang", "source", "n_chars")
+    return search.keyword_filter(docs, ["text", "source"], KEYWORDS, "doc_id", ["doc_id", "lang", "source", "n_chars"])
 
 
 def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 5.12: per keyword, documents matching it."""
     docs = table(spark, sf_dir, "documents")
-    _, counts = dedup.any_match_dedup(docs, "doc_id", {k: TX.contains_ci("text", k) for k in KEYWORDS})
+    _, counts = dedup.any_match_dedup(docs.select("doc_id", "text"), "doc_id", {k: TX.contains_ci("text", k) for k in KEYWORDS})
     return counts.select("keyword", "n")
 
 

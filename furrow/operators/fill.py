@@ -33,6 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators.ranges import range_tasks
 from furrow.session import cut_lineage
 
 _UNB_P, _CUR = Window.unboundedPreceding, Window.currentRow
@@ -61,8 +62,8 @@ def neighbors(df: DataFrame, keys: Sequence[str], order: Sequence, values: Seque
         # data-adaptive chunks: range partitions of (keys, order) split even one
         # hot key into bounded pieces, and their index grows with the order
         # inside a key.  Written once so both branches see the same chunk ids.
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *[_as_order(o) for o in order])
+        # Their number follows the bytes.
+        ranged = df.repartitionByRange(range_tasks(df), *[F.col(k) for k in keys], *[_as_order(o) for o in order])
         df = cut_lineage(ranged.withColumn("__range", F.spark_partition_id()), "fill-ranges")
         chunk_c = F.col("__range")
     else:

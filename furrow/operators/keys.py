@@ -13,18 +13,19 @@ reads.  The per-partition counts
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.operators.ranges import range_tasks
 from furrow.session import cut_lineage
 
 
 def dense_index(df: DataFrame, order: Sequence[str], id_col: str = "id", start: int = 1,
                 num_partitions: int | None = None) -> DataFrame:
     """Consecutive ids ``start, start+1, ...`` in ``order`` (ties broken by all columns)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_tasks(df)
     order = list(order) + [c for c in df.columns if c not in order]
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("__pid", F.spark_partition_id())
@@ -33,15 +34,12 @@ def dense_index(df: DataFrame, order: Sequence[str], id_col: str = "id", start:
     ranged = cut_lineage(ranged, "dense-index")
     # monotonically_increasing_id = (partition index << 33) + row index in partition
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    # one count per partition (metadata-sized): offsets are applied from a literal map
+    # one count per partition: what is read back and broadcast is as many numbers as there are tasks
     counts = sorted((r["__pid"], r["n"]) for r in
                     ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, acc = [], 0
-    for pid, cnt in counts:
-        offsets += [F.lit(pid), F.lit(acc)]
-        acc += cnt
-    off = F.create_map(*offsets)[F.col("__pid")] if offsets else F.lit(0)
-    return ranged.select(*df.columns, (F.lit(start) + off + local).cast("long").alias(id_col))
+    before = accumulate((n for _, n in counts), initial=0)
+    offsets = df.sparkSession.createDataFrame([(pid, off) for (pid, _), off in zip(counts, before)], "__pid int, __off long")
+    return ranged.join(F.broadcast(offsets), "__pid").select(*df.columns, (F.lit(start) + F.col("__off") + local).cast("long").alias(id_col))
 
 
 def get_or_create(existing: DataFrame, candidates: DataFrame, key_cols: Sequence[str],

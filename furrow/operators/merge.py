@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METADATA = ("date", "source", "extraction_date")
@@ -47,37 +48,41 @@ def spread_daily_on_hourly(hourly: DataFrame, daily: DataFrame, keys: Sequence[s
 def source_priority_merge(frames: Sequence[tuple[str, DataFrame]], keys: Sequence[str] = (),
                           date_col: str = "date", how: str = "full_outer",
                           extraction_col: str = "extraction_date", mode: str = "drop") -> DataFrame:
-    """Merge per-source frames; a metric already supplied by a higher-priority
-    source (earlier in ``frames``) is dropped from later ones (op 3.18).
+    """Merge any number of per-source frames; a metric already supplied by a
+    higher-priority source (earlier in ``frames``) is dropped from later ones (op 3.18).
 
-    Metric name sets are schema metadata (op 8.3 is a set intersection of
-    column names).  Rows are outer-joined on ``keys + date``; the merged
-    ``extraction_date`` is the row-wise latest per-source date (op 5.9).
-    ``mode="coalesce"`` keeps the priority but fills a metric that the
-    higher-priority source lacks on a date from the next source.
+    The frames are united under their rank and met by one aggregate on ``keys +
+    date``: rows move once, however many sources there are, and are combined in
+    the tasks first.  Metric name sets are schema metadata (op 8.3 is a set
+    intersection of column names); ``extraction_date`` is the latest of a
+    key's sources (op 5.9).  ``mode="coalesce"`` keeps the priority but fills a
+    metric that the higher-priority source lacks on a date from the next source.
+    ``how`` keeps the keys of any source, of the first (``left``) or of all
+    (``inner``).
+
+    A source holds one row per key and date (the normalisers see to it); of
+    repeated ones each metric is the smallest non-null value.  Null keys are
+    one key.
     """
-    keys = list(keys)
-    seen: list[str] = []
-    merged = None
-    ext_cols = []
-    fills: dict[str, list[str]] = {}
-    for i, (source, df) in enumerate(frames):
-        all_metrics = metric_columns(df, (*METADATA, *keys, date_col))
-        metrics = [c for c in all_metrics if c not in seen]
-        seen += metrics
-        ext = f"{source}_{extraction_col}"
-        ext_cols.append(ext)
-        extra = []
-        if mode == "coalesce":
-            # overlapping metrics kept under a source-suffixed name, used to fill gaps
-            for c in all_metrics:
-                if c not in metrics:
-                    fills.setdefault(c, []).append(f"__{i}_{c}")
-                    extra.append(F.col(c).alias(f"__{i}_{c}"))
-        part = df.select(*keys, date_col, *metrics, *extra, F.col(extraction_col).alias(ext))
-        merged = part if merged is None else merged.join(part, [*keys, date_col], how)
-    out_metrics = [F.coalesce(F.col(c), *[F.col(x) for x in fills[c]]).alias(c) if c in fills else F.col(c)
-                   for c in seen]
-    return merged.select(*keys, date_col, *out_metrics,
-                         F.greatest(*[F.col(c) for c in ext_cols]).alias(extraction_col)
-                         if len(ext_cols) > 1 else F.col(ext_cols[0]).alias(extraction_col))
+    if mode not in ("drop", "coalesce") or how not in ("full_outer", "left", "inner"):
+        raise ValueError((mode, how))
+    on = [*keys, date_col]
+    owners: dict[str, list[int]] = {}
+    for i, (_, df) in enumerate(frames):
+        for c in metric_columns(df, (*METADATA, *on)):
+            if mode == "coalesce" or c not in owners:
+                owners.setdefault(c, []).append(i)
+    parts = [df.select(*on, *[c for c, o in owners.items() if i in o], F.col(extraction_col).alias("__ext"), F.lit(i).alias("__rank"))
+             for i, (_, df) in enumerate(frames)]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def best(c: str) -> Column:
+        v = F.col(f"`{c}`")
+        if len(owners[c]) == 1:
+            return F.min(v).alias(c)
+        return F.min(F.when(v.isNotNull(), F.struct(F.col("__rank"), v.alias("v"))))["v"].alias(c)
+
+    out = both.groupBy(*on).agg(*[best(c) for c in owners], F.max("__ext").alias(extraction_col),
+                                   F.min("__rank").alias("__first"), F.count_distinct("__rank").alias("__n"))
+    keep = {"left": F.col("__first") == 0, "inner": F.col("__n") == len(frames)}.get(how)
+    return (out if keep is None else out.where(keep)).drop("__first", "__n")

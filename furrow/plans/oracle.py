@@ -730,5 +730,6 @@ from documents
 """
 
 from furrow.plans import lifecycle as _lifecycle  # noqa: E402
+from furrow.plans import loads as _loads  # noqa: E402
 
-ORACLE |= _lifecycle.ORACLE
+ORACLE |= _lifecycle.ORACLE | _loads.ORACLE

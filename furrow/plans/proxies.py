@@ -18,7 +18,7 @@ from furrow.functions import dates as D
 from furrow.functions import jsonx as J
 from furrow.functions import text as TX
 from furrow.operators import dedup, fill, keys, merge, quality, reshape, search
-from furrow.plans import catalog, conversations, lifecycle, planting
+from furrow.plans import catalog, conversations, lifecycle, loads, planting
 from furrow.session import scratch_path
 from furrow.sinks import align, partitioned, upsert
 from furrow.sources import payloads
@@ -954,4 +954,4 @@ REGISTRY = {
     "normalize_forecast": normalize_forecast,
 }
 
-REGISTRY |= lifecycle.REGISTRY
+REGISTRY |= lifecycle.REGISTRY | loads.REGISTRY

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.operators.ranges import range_tasks
+
 
 def with_date_parts(df: DataFrame, date_col: str, parts: Sequence[str] = ("year", "month", "day")) -> DataFrame:
     fns = {"year": F.year, "month": F.month, "day": F.dayofmonth,
@@ -30,14 +32,15 @@ def write_partitioned(df: DataFrame, path: str, date_col: str,
     landing in one.  Files are sorted for min/max pruning.  With ``dynamic``
     (the default) an overwrite replaces only the partitions present in
     ``df``, so re-running a day is idempotent and other days survive; a fresh
-    folder can skip the staging step with ``dynamic=False``.
+    folder can skip the staging step with ``dynamic=False``.  The number of
+    tasks follows the bytes and folders of ``df`` (``ranges.range_tasks``, one
+    aggregate) unless ``num_tasks`` names it.
     """
     parts = list(parts)
-    spark = df.sparkSession
-    n = num_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = [F.col(c) for c in sort_cols] or [F.xxhash64(*[F.col(c) for c in df.columns])]
-    out = (with_date_parts(df, date_col, parts)
-           .repartitionByRange(n, F.col(date_col), *tie)
+    dated = with_date_parts(df, date_col, parts)
+    n = num_tasks or range_tasks(dated, [F.col(p) for p in parts])
+    out = (dated.repartitionByRange(n, F.col(date_col), *tie)
            .sortWithinPartitions(*parts, *sort_cols))
     (out.write.mode(mode).option("partitionOverwriteMode", "dynamic" if dynamic else "static")
      .partitionBy(*parts).parquet(path))

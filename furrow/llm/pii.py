@@ -19,7 +19,8 @@ in the tasks first; a common word is one row per instance it meets.  Scores
 move by aggregates and plain joins that AQE can split, each round written to
 the shared folder.  Only accepted patterns meet the findings again.
 
-Patterns run in time linear in the text (see ``secrets``).
+Patterns run in time linear in the text, places and overlaps of k matches in
+k log k (see ``secrets``).
 
 Defined cases: a null text is empty; rows that repeat are scanned each and
 count once in the graph; without seeds no pattern is accepted; an empty table
@@ -84,15 +85,15 @@ def findings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     src = docs.select(F.monotonically_increasing_id().alias("uid"), plain(id_col)[0].alias("doc_id"), F.coalesce(plain(text_col)[0].cast("string"), F.lit("")).alias("text"))
     src = src.select("uid", "doc_id", *[c.alias(k) for k, c in base_spans(F.col("text")).items()], S.find(F.col("text"), CONTEXT).alias("near"))
     token = lambda s: F.regexp_extract(s["text"], TOKEN, 1)
-    base = F.concat(*KINDS[:4])
+    tokens = F.transform(F.filter("near", lambda s: F.length(token(s)) >= MIN_LENGTH), lambda s: F.struct(
+        (s["end"] - F.length(token(s))).alias("start"), s["end"].alias("end"), F.regexp_replace(s["text"], r"\x20[^\x20]*\z", "").alias("pattern"), token(s).alias("text")))
+    src = src.select("uid", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]], F.concat(*KINDS[:4]).alias("base"), tokens.alias("near"))
     bare = lambda col: F.transform(col, lambda s: F.struct(*[s[c].alias(c) for c in ("k", "start", "end", "kind")]))
-    inside = lambda s: F.exists(base, lambda b: (s["end"] - F.length(token(s)) < b["end"]) & (b["start"] < s["end"]))
     instance = lambda start, end, pattern, text, seed: F.struct(
         start.alias("start"), end.alias("end"), F.lower(pattern).alias("pattern"), F.md5(text.cast("binary")).alias("instance"), F.lit(seed).alias("seed"))
-    seeds = F.filter(F.transform(base, lambda s: instance(s["start"], s["end"], F.regexp_extract(s["before"], LEAD, 1), s["text"], True)), lambda s: s["pattern"] != "")
-    unseen = F.transform(F.filter("near", lambda s: (F.length(token(s)) >= MIN_LENGTH) & ~inside(s)), lambda s: instance(
-        s["end"] - F.length(token(s)), s["end"], F.regexp_replace(s["text"], r"\x20[^\x20]*\z", ""), token(s), False))
-    return src.select("uid", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]], bare(base).alias("base"), F.concat(seeds, unseen).alias("near"))
+    seeds = F.filter(F.transform("base", lambda s: instance(s["start"], s["end"], F.regexp_extract(s["before"], LEAD, 1), s["text"], True)), lambda s: s["pattern"] != "")
+    unseen = F.transform(S.apart(F.col("near"), F.col("base")), lambda s: instance(s["start"], s["end"], s["pattern"], s["text"], False))
+    return src.select("uid", "doc_id", *[f"n_{k}" for k in KINDS[:4]], bare(F.col("base")).alias("base"), F.concat(seeds, unseen).alias("near"))
 
 
 def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:

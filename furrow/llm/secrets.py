@@ -3,19 +3,23 @@
 Candidates are the base patterns (assignments, access keys, long hex) and, in
 addition, long tokens that mix letters and digits.  Each candidate value is
 hashed; per hash the distinct repositories and owners that hold it are counted
-over the whole corpus.  A value seen with ``EXAMPLE_OWNERS`` owners or more is
-a widely copied example; a value of fewer owners looks live.  Long mixed tokens
-that look live are added as spans of kind ``live``; base spans always stay.
+over the whole corpus.  A value seen with ``EXAMPLE_OWNERS`` owners or more, in
+``EXAMPLE_REPOSITORIES`` repositories or more (if repositories are given), is a
+widely copied example; any other looks live: it belongs to its owners, or to one
+repository that they share.  Every candidate, base ones too, gets this verdict.
+Long mixed tokens that look live are added as spans of kind ``live``; base spans
+always stay.
 
 Scale.  One pass over the texts writes the findings (places and hashes, no
 text) to the shared folder.  Counting is two aggregates that combine in the
-tasks first: (hash, owner, repository), then hash.  Only the hashes of live
-tokens are joined back, and AQE can split a hot one, as both sides are plain
+tasks first: (hash, owner, repository), then hash.  The verdicts are joined back
+to all candidates by hash, and AQE can split a hot one, as both sides are plain
 exchanges.  What is grouped again is one document's findings.
 
 Patterns run in time that is linear in the text: runs are possessive and may
 only start where a run starts (or where the last match ended), which gives the
-same matches as the plain patterns.
+same matches as the plain patterns.  Places and overlaps of a text with k matches
+cost k log k (``spans``).
 
 Defined cases: a null text is empty; a null owner or repository counts as one
 of its own; rows that repeat are scanned each, and count once per owner and
@@ -32,6 +36,7 @@ from furrow.llm.common import plain, staged
 
 KINDS = ("assign", "access", "hex", "live")
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 2
 MIN_DISTINCT = 10
 
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -49,10 +54,6 @@ def base_spans(text: Column) -> dict[str, Column]:
             "hex": S.tagged(S.find(text, HEX), "hex", 2)}
 
 
-def _apart(spans: Column, others: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
-
-
 def findings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
     """Per row: uid, doc_id, owner, repository, base counts and spans, and
     ``values``: every candidate with its place and hash."""
@@ -62,36 +63,40 @@ def findings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ow
                       F.coalesce(plain(text_col)[0].cast("string"), F.lit("")).alias("text"))
     src = src.select("uid", "doc_id", "owner", "repository", *[c.alias(k) for k, c in base_spans(F.col("text")).items()],
                      S.tagged(S.find(F.col("text"), MIXED), "live", 3, lambda s: F.size(F.array_distinct(F.split(s["text"], ""))) > MIN_DISTINCT).alias("live"))
-    base = F.concat("assign", "access", "hex")
     src = src.select("uid", "doc_id", "owner", "repository", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
-                     base.alias("base"), _apart(F.col("live"), base).alias("live"))
+                     F.concat("assign", "access", "hex").alias("base"), "live").withColumn("live", S.apart(F.col("live"), F.col("base")))
     value = lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["text"], ASSIGN_VALUE, 1)).otherwise(s["text"])
     strip = lambda col: F.transform(col, lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.md5(value(s).cast("binary")).alias("hash")))
     return src.select("uid", "doc_id", "owner", "repository", "n_assign", "n_access", "n_hex", strip(F.col("base")).alias("base"), strip(F.col("live")).alias("live"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repositories, n_rows) over the whole corpus."""
+    """(hash, n_owners, n_repositories, n_rows) over the whole corpus; a
+    repository that several owners share is one."""
     one = found.select("owner", "repository", F.explode(F.concat("base", "live")["hash"]).alias("hash"))
     per = one.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
-    return per.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repositories"), F.sum("n").alias("n_rows"))
+    # a struct around each, so that null counts as one
+    return per.groupBy("hash").agg(F.count_distinct(F.struct("owner")).alias("n_owners"), F.count_distinct(F.struct("repository")).alias("n_repositories"), F.sum("n").alias("n_rows"))
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner: Column | None = None, repository: Column | None = None,
-         example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, n_live, n_example
-    (candidates whose value is widely copied), base (spans of the base
-    patterns), all (with the added ones), each sorted by start."""
+         example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, n_live (added
+    spans), n_example (candidates whose value is widely copied), base (spans of
+    the base patterns), all (with the added ones), judged (every candidate, base
+    ones too, with n_owners, n_repositories and example, its verdict), each
+    sorted by start."""
     found = staged(findings(docs, text_col, id_col, owner, repository), "secrets")
-    owned = staged(ownership(found).select("hash", (F.col("n_owners") >= example_owners).alias("example")), "ownership")
+    spread = F.col("n_owners") >= example_owners
+    if repository is not None:
+        spread = spread & (F.col("n_repositories") >= example_repositories)
+    owned = staged(ownership(found).select("hash", "n_owners", "n_repositories", spread.alias("example")), "ownership")
     each = found.select("uid", F.explode(F.concat("base", "live")).alias("s")).select("uid", "s", F.col("s.hash").alias("hash"))
-    judged = each.join(owned, "hash")
-    per = judged.groupBy("uid").agg(
-        F.sort_array(F.collect_list(F.when((F.col("s.kind") == "live") & ~F.col("example"), F.struct("s.start", "s.k", "s.end", "s.kind")))).alias("added"),
-        F.sum(F.col("example").cast("long")).alias("n_example"))
-    out = found.join(per, "uid", "left")
+    verdict = F.struct("s.start", "s.k", "s.end", "s.kind", "n_owners", "n_repositories", "example")
+    per = each.join(owned, "hash").groupBy("uid").agg(F.sort_array(F.collect_list(verdict)).alias("judged"))
+    out = found.join(per, "uid", "left").withColumn("judged", F.coalesce("judged", F.array().cast("array<struct<start:int,k:int,end:int,kind:string,n_owners:bigint,n_repositories:bigint,example:boolean>>")))
+    place = lambda s: F.struct(*[s[c].alias(c) for c in ("start", "k", "end", "kind")])
     base = S.by_start(F.col("base"))
-    added = F.coalesce(F.col("added"), F.slice(base, 1, 0))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.size(added).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
-                      base.alias("base"), F.array_sort(F.concat(base, added)).alias("all"))
+    added = F.transform(F.filter("judged", lambda s: (s["kind"] == "live") & ~s["example"]), place)
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.size(added).cast("long").alias("n_live"), F.size(F.filter("judged", lambda s: s["example"])).cast("long").alias("n_example"),
+                      base.alias("base"), F.array_sort(F.concat(base, added)).alias("all"), "judged")

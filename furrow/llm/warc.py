@@ -10,8 +10,9 @@ neighbouring records with one coalesced byte range.
 Scale.  Winners are found by an aggregate over (digest, length), kept only for
 groups of two or more, and joined back; AQE splits a hot digest.  Each task
 writes one file; a retried task writes under a new name and only files in the
-committed index count.  Reading deals out pieces of ``RANGE_BYTES`` of a file,
-and one range holds ``READ_BYTES`` at most (or one record).
+committed index count.  Reading deals out pieces of ``RANGE_BYTES`` of a file
+to as many tasks as the records' bytes ask for (``TASK_BYTES``; every core while
+there are pieces), and one range holds ``READ_BYTES`` at most (or one record).
 
 Defined cases: null html is an empty payload; a null url writes no target URI;
 control characters and spaces in a url are percent-encoded in the header (the
@@ -23,6 +24,7 @@ an empty index; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -39,6 +41,7 @@ MIN_REVISIT = 1000
 RANGE_BYTES = 16 << 20
 READ_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+TASK_BYTES = 64 << 20
 
 _INDEX = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long, length long"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -172,8 +175,12 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that ``index`` rows point at, read from the archives; a
     record named twice is read once.  Columns: page_id, payload_bytes,
     payload_digest, record_type, refers_to and, if asked for, the payload
-    (null for a revisit)."""
+    (null for a revisit).  The tasks follow the bytes of the records, not those
+    of the index rows."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if with_payload else "")
     piece = F.floor(F.col("offset") / RANGE_BYTES)
-    return index.select("path", "offset", "length").withColumn("piece", piece).repartition("path", "piece") \
+    rows = index.select("path", "offset", "length").withColumn("piece", piece)
+    size = rows.groupBy("path", "piece").agg(F.sum("length").alias("b")).agg(F.count(F.lit(1)).alias("pieces"), F.sum("b").alias("b")).first()
+    n = max(1, math.ceil((size["b"] or 0) / TASK_BYTES), min(size["pieces"], index.sparkSession.sparkContext.defaultParallelism))
+    return rows.repartition(n, "path", "piece") \
         .sortWithinPartitions("path", "offset").select("path", "offset", "length").mapInArrow(_read(with_payload), schema)

@@ -134,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         .where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic")) \
         .orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(plain(id_col)[0].alias("id"), text_bytes(f"`{text_col}`").alias("text")) \
-        .where(F.length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+        .where(F.length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "id") \
+        .groupBy("id", "toxic").agg(F.min("text").alias("text"))  # of rows with one id the smallest text
     rows = staged(rows.select("id", "toxic", "text"), "labelled")
     return staged(rows.coalesce(1).sortWithinPartitions(F.xxhash64("id"), "id").select("text", "toxic")
                   .mapInArrow(_train, "place int, weight double"), "weights")
@@ -175,8 +176,9 @@ def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD,
              max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``."""
+    """(doc_id, held_out, score, predicted) for every row of ``docs``; a null id is
+    never learned from and counts as held out."""
     weights = train(docs, training_rows(labels, id_col), text_col, id_col, max_rows=max_rows)
     return score(docs, weights, text_col, id_col).select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"), "score",
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))

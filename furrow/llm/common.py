@@ -209,3 +209,19 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     total = int(lens.sum())
     out = np.arange(total, dtype=np.int64)
     return out + np.repeat(starts.astype(np.int64) - (np.cumsum(lens) - lens), lens)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def rows_with_id(docs: DataFrame, ids: DataFrame, id_col: str, keep: bool) -> DataFrame:
+    """Rows of ``docs`` whose ``id_col`` is among the one column of ``ids`` (or is
+    not, without ``keep``); null equals null, any further columns stay."""
+    name = free_name(docs, "__id")
+    found = ids.toDF(name).distinct()
+    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_semi" if keep else "left_anti")

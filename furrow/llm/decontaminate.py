@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import WORD_TABLE, plain, staged, sub_batches, text_bytes
+from furrow.llm.common import WORD_TABLE, plain, rows_with_id, staged, sub_batches, text_bytes
 
 WINDOW = 10
 DEPTH = 16
@@ -238,5 +238,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark window."""
     id_col = kw.get("id_col", "doc_id")
-    bad = contamination(docs, benchmark, **kw).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__bad")), "left_anti")
+    return rows_with_id(docs, contamination(docs, benchmark, **kw).where("contaminated").select("doc_id"), id_col, keep=False)

@@ -31,7 +31,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import plain, staged
+from furrow.llm.common import plain, rows_with_id, staged
 
 DIMS = ("source", "lang", "topic")
 TEMPER = 0.8
@@ -135,5 +135,4 @@ def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
 def sample(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """The rows of ``docs`` that the mixture keeps, with all their columns.
     Rows that share a doc_id are kept if one of them is."""
-    kept = mixture(docs, id_col=id_col, **kw).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
+    return rows_with_id(docs, mixture(docs, id_col=id_col, **kw).where("kept").select("doc_id"), id_col, keep=True)

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import components, plain, release, staged, sub_batches, text_bytes
+from furrow.llm.common import components, plain, release, rows_with_id, staged, sub_batches, text_bytes
 
 SHINGLE = 4
 THRESHOLD = 85
@@ -411,5 +411,4 @@ def similar_documents(docs: DataFrame, text_col: str = "text", id_col: str = "do
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """The documents whose id is the smallest of their component."""
     id_col = kw.get("id_col", "doc_id")
-    stay = similar_documents(docs, **kw).where("component_id <=> doc_id").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")), "left_semi")
+    return rows_with_id(docs, similar_documents(docs, **kw).where("component_id <=> doc_id").select("doc_id"), id_col, keep=True)

@@ -8,17 +8,16 @@ returns a DataFrame that is written as Parquet and read again as the next one's
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from furrow.llm import decontaminate, mixing, ngram_join, token_ids, toxicity
-from furrow.llm.common import staged, table
+from furrow.llm.common import rows_with_id, staged, table
 from furrow.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score does not reject."""
-    bad = toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id")
+    return rows_with_id(docs, bad, "doc_id", keep=False)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

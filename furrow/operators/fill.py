@@ -28,7 +28,7 @@ shared checkpoint folder instead of computing it for both branches.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,5 +177,10 @@ def ffill_bfill(df: DataFrame, keys: Sequence[str], order: Sequence, values: Seq
 def carry_forward_before(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str,
                          chunk=None) -> DataFrame:
     """``out`` = latest non-null ``value`` strictly before each row (ops 6.6, 6.8)."""
-    nb = neighbors(df, keys, order, [value], chunk, strict=True)
-    return nb.select(*df.columns, F.col(_names(value)["prev"]).alias(out))
+    return carry_all_before(df, keys, order, {value: out}, chunk)
+
+
+def carry_all_before(df: DataFrame, keys: Sequence[str], order: Sequence, outs: Mapping[str, str], chunk=None) -> DataFrame:
+    """``carry_forward_before`` of several columns ({value: out}) in one scan of the series."""
+    nb = neighbors(df, keys, order, list(outs), chunk, strict=True)
+    return nb.select(*df.columns, *[F.col(_names(v)["prev"]).alias(out) for v, out in outs.items()])

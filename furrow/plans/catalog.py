@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.functions.text import collapse_ws, decode_entities
-from furrow.operators.fill import carry_forward_before
+from furrow.functions.text import decode_entities
+from furrow.operators.fill import carry_all_before
 
 TOP_COUNTRIES = 20
 TOP_CREATORS = 10
@@ -69,9 +69,14 @@ _CATEGORY = r"(?i)^[a-p]\.\s+"
 KC_VALUES = ("kc_ini", "kc_mid", "kc_end", "max_height_m")
 
 
-def _cell_text(cell: F.Column) -> F.Column:
-    text = decode_entities(F.regexp_replace(F.regexp_replace(cell, _SUP, ""), r"(?s)<[^>]+>", ""))
-    return collapse_ws(F.translate(text, "\u00a0", " "))
+def _cell_texts(cells: F.Column) -> F.Column:
+    """The texts of an array of cells, step by step, so that no step reads a
+    result twice; footnotes and references are looked for where there are any."""
+    no_sup = F.transform(cells, lambda c: F.when(c.rlike("(?i)<sup"), F.regexp_replace(c, _SUP, "")).otherwise(c))
+    bare = F.transform(no_sup, lambda c: F.regexp_replace(c, r"(?s)<[^>]+>", ""))
+    decoded = F.transform(bare, lambda c: F.when(F.contains(c, F.lit("&")), decode_entities(c)).otherwise(c))
+    blank = F.transform(decoded, lambda c: F.regexp_replace(c, r"[\t\n\x0B\f\r \u00a0]+", " "))
+    return F.transform(blank, lambda c: F.trim(c))
 
 
 def html_table_rows(pages: DataFrame, id_col: str, html_col: str, value_cols: Sequence[str] = KC_VALUES) -> DataFrame:
@@ -98,7 +103,7 @@ def html_table_rows(pages: DataFrame, id_col: str, html_col: str, value_cols: Se
     table_html = F.regexp_extract(F.col(html_col), _TABLE, 1)
     rows = pages.select(id_col, F.posexplode(F.regexp_extract_all(table_html, F.lit(_ROW), 1)).alias("row_no", "tr")).where("row_no > 0")
     cells = rows.select(id_col, "row_no", F.regexp_extract_all("tr", F.lit(_CELL), 0).alias("raw")) \
-        .select(id_col, "row_no", "raw", F.transform("raw", _cell_text).alias("cells"), F.size("raw").alias("n"))
+        .select(id_col, "row_no", "raw", _cell_texts(F.col("raw")).alias("cells"), F.size("raw").alias("n"))
 
     def raw(i: int) -> F.Column:
         return F.coalesce(F.get("raw", F.lit(i)), F.lit(""))
@@ -112,7 +117,9 @@ def html_table_rows(pages: DataFrame, id_col: str, html_col: str, value_cols: Se
     is_var = (F.col("n") > 1) & (text(0) == "") & text(1).startswith("-")
     name = F.coalesce(F.nullif(text(0), F.lit("")), F.nullif(text(1), F.lit("")))
     kind = F.when(is_cat, "category").when(is_var, "variant").when((F.col("n") > 1) & name.isNotNull(), "crop")
-    typed = cells.withColumn("kind", kind).where("kind IS NOT NULL")
+    # rows of no kind carry nothing and leave at the end: a filter here would be
+    # pushed below the cells, which would then be read twice
+    typed = cells.withColumn("kind", kind)
 
     first = F.when((F.col("kind") != "variant") & (span == "2"), 1).otherwise(2)
     category = F.when(F.col("kind") == "category", F.regexp_replace(text(0), r"^[a-p]\.\s*", ""))
@@ -128,13 +135,12 @@ def html_table_rows(pages: DataFrame, id_col: str, html_col: str, value_cols: Se
         F.when(F.col("kind") == "category", "").when(F.col("kind") == "crop", name).alias("__crop"),
         F.when(F.col("kind") == "variant", F.regexp_replace(text(1), r"^-\s*", "")).alias("variant"),
         *[value(i).alias(v) for i, v in enumerate(value_cols)], further.alias("further"))
-    with_cat = carry_forward_before(typed, [id_col], ["row_no"], "__cat", "__cat_prev")
-    carried = carry_forward_before(with_cat, [id_col], ["row_no"], "__crop", "__crop_prev")
+    carried = carry_all_before(typed, [id_col], ["row_no"], {"__cat": "__cat_prev", "__crop": "__crop_prev"})
     crop = F.when(F.col("kind") == "category", F.col("__cat")).when(F.col("kind") == "crop", F.col("__crop")) \
         .otherwise(F.nullif(F.col("__crop_prev"), F.lit("")))
     has_value = F.coalesce(*[F.col(v) for v in value_cols]).isNotNull()
     return (carried.withColumn("crop", crop)
-            .where(F.col("crop").isNotNull() & ((F.col("kind") == "variant") | has_value))
+            .where(F.col("kind").isNotNull() & F.col("crop").isNotNull() & ((F.col("kind") == "variant") | has_value))
             .select(id_col, "row_no", F.coalesce("__cat", "__cat_prev").alias("category"), "crop", "variant", *value_cols, "further"))
 
 

@@ -19,7 +19,7 @@ from furrow.functions import jsonx as J
 from furrow.functions import text as TX
 from furrow.operators import dedup, fill, keys, merge, quality, reshape, search
 from furrow.plans import catalog, conversations, lifecycle, loads, planting
-from furrow.session import scratch_path
+from furrow.session import scratch_path, spread
 from furrow.sinks import align, partitioned, upsert
 from furrow.sources import payloads
 from furrow.sources.files import param_sql as _param_sql
@@ -696,7 +696,7 @@ def catalog_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 9.22-9.30 over whole documents."""
     from furrow.operators.textstats import text_profile
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     prof = text_profile(docs, "text")
     t = F.col("text")
     return prof.select(

@@ -56,6 +56,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt over all cores if it has fewer splits than there are cores
+    (one row group, say), else as it is.  For work per row that costs more than
+    moving the row once; the rows are the same either way.  Meant for scans and
+    narrow steps on them: counting the splits of a shuffled frame would run it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as a Parquet table below the shared checkpoint folder
     and continue from it: later stages (and retries after executor loss) read

@@ -66,3 +66,13 @@ def test_edges_take_nearest(spark):
     got = _spark(spark, rows, "interp", False)
     assert [got[(1, i)] for i in range(6)] == [2.0, 2.0, 2.0, 4.0, 6.0, 6.0]
     assert np.isclose(got[(1, 3)], 4.0)
+
+
+def test_carry_all_before_equals_one_carry_per_column(spark):
+    rows = [(k, i, "a%d" % i if i % 3 == 0 else None, i if i % 4 == 1 else None) for k in "xy" for i in range(12)]
+    df = spark.createDataFrame(rows, "k string, i int, a string, b int")
+    both = fill.carry_all_before(df, ["k"], ["i"], {"a": "pa", "b": "pb"})
+    one = fill.carry_forward_before(fill.carry_forward_before(df, ["k"], ["i"], "a", "pa"), ["k"], ["i"], "b", "pb")
+    assert sorted(both.select(*one.columns).collect(), key=str) == sorted(one.collect(), key=str)
+    last = {(r.k, r.i): (r.pa, r.pb) for r in both.collect()}
+    assert last["x", 0] == (None, None) and last["x", 6] == ("a3", 5) and last["y", 11] == ("a9", 9)

@@ -32,3 +32,14 @@ def test_cut_lineage_writes_below_checkpoint_root(spark):
     root = checkpoint_root(spark).rstrip("/")
     files = cut.inputFiles()
     assert files and all(root.replace("file:", "") in f for f in files)
+
+
+def test_spread_deals_a_scan_of_few_splits_and_leaves_others(spark, tmp_path):
+    from furrow.session import spread
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spread(spark.read.parquet(str(tmp_path / "one")))
+    assert one.rdd.getNumPartitions() == cores
+    assert sorted(r.id for r in one.collect()) == list(range(100))
+    many = spark.range(0, 100, 1, cores)
+    assert spread(many) is many

@@ -9,15 +9,16 @@ places where its window occurs; adjacent hits on one diagonal are joined into
 maximal verbatim matches with their locations.
 
 Scale.  Documents are never shuffled: shards are independent and the work is
-linear in the text.  The benchmark goes to the tasks in blocks of
-``BLOCK_BYTES`` (sizes are counted first), each block one pass over the
-documents, so what is broadcast has a fixed bound however large the benchmark
-is.  Only documents with a match enter the merge of the passes.
+linear in the text.  The benchmark is dealt into blocks of ``BLOCK_BYTES``
+(sizes are counted first) that Spark writes to the shared folder; each block is
+one pass over the documents, whose tasks read it from there.  The driver holds
+no part of the benchmark, a worker one block at a time, however large the
+benchmark is.  Only documents with a match enter the merge of the passes.
 
 Defined cases: a null text has no words; an item of 1 to 9 words is one window
 as a whole; an item without words never occurs; items without an id are left
-out; rows that share an item_id are one item; repeated document rows are rows
-of their own; empty tables give no match; further columns are ignored.
+out; rows that share an item_id are one item, repeats of one (id, text) count
+once; repeated document rows are rows of their own; empty tables give no match; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import WORD_TABLE, plain, rows_with_id, staged, sub_batches, text_bytes
+from furrow.session import scratch_path
 
 WINDOW = 10
 DEPTH = 16
@@ -145,9 +147,29 @@ def _scan(s: Suffixes, texts: list[bytes]) -> tuple[np.ndarray, dict[str, np.nda
                                        "n_words": at[last] - at[first] + n[last]}
 
 
-def _matches(block):
+_LOADED: dict[tuple, Suffixes] = {}
+
+
+def _load(folder: str, k: int, window: int) -> Suffixes:
+    """Block ``k`` of the benchmark from the shared folder; a worker keeps the
+    last one it read, for the tasks that follow."""
+    key = (folder, k, window)
+    if key not in _LOADED:
+        from pyarrow import dataset, fs
+
+        _LOADED.clear()
+        where, path = fs.FileSystem.from_uri(f"{folder}/block={k}")
+        rows = []
+        if where.get_file_info(path).type != fs.FileType.NotFound:  # a block that no item fell into has no folder
+            t = dataset.dataset(path, filesystem=where, format="parquet").to_table(columns=["item", "text"])
+            rows = sorted(zip(t["item"].to_pylist(), t["text"].to_pylist()))
+        _LOADED[key] = Suffixes(rows, window)
+    return _LOADED[key]
+
+
+def _matches(block: tuple[str, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s: Suffixes = block.value
+        s = _load(*block)
         for whole in batches:
             for b in sub_batches(whole, "text"):
                 _, f = _scan(s, b.column("text").to_pylist())
@@ -158,10 +180,10 @@ def _matches(block):
     return run
 
 
-def _one_pass(block):
+def _one_pass(block: tuple[str, int, int]):
     """A row per document: its words, the items that occur and the spans of the matches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s: Suffixes = block.value
+        s = _load(*block)
         for whole in batches:
             for b in sub_batches(whole, "text"):
                 sizes, f = _scan(s, b.column("text").to_pylist())
@@ -182,18 +204,17 @@ def _one_pass(block):
 _SPAN = pa.struct([("p", pa.int32()), ("n", pa.int32())])
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> list:
-    """The benchmark as broadcast blocks of bounded size; their number follows
-    a count of its bytes."""
-    items = benchmark.select(plain(id_col)[0].cast("string").alias("item"), text_bytes(f"`{text_col}`").alias("text")).where("item IS NOT NULL")
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> list[tuple[str, int, int]]:
+    """The benchmark written as blocks of bounded size, (folder, number, window)
+    each; their number follows a count of its bytes.  Rows that repeat are one."""
+    if not 1 <= window <= DEPTH:
+        raise ValueError(f"window must be 1 to {DEPTH}")
+    items = benchmark.select(plain(id_col)[0].cast("string").alias("item"), text_bytes(f"`{text_col}`").alias("text")).where("item IS NOT NULL").distinct()
     total = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     n = max(1, math.ceil(2 * total / block_bytes))
-    out = []
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        rows = [(r.item, bytes(r.text)) for r in part.orderBy("item", "text").collect()]
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Suffixes(rows, window)))
-    return out
+    folder = scratch_path(benchmark.sparkSession, "benchmark")
+    items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")).repartition("block").write.partitionBy("block").parquet(folder)
+    return [(folder, k, window) for k in range(n)]
 
 
 def _source(docs: DataFrame, text_col: str, blocks: list, *cols) -> DataFrame:

@@ -279,3 +279,19 @@ def test_null_ids_do_not_crash(spark):
     assert {(r.doc_id, r.component_id) for r in ngram_join.similar_documents(docs).collect()} == {(None, 4), (3, 3), (4, 4)}
     assert secrets.scan(docs).count() == 4 and pii.scan(docs).count() == 4 and mixing.mixture(docs.withColumns({"source": F.lit("s"), "lang": F.lit("l")})).count() == 4
     assert token_ids.read_ids(spark, token_ids.token_files(docs, queries.tokenizer_path())).where("doc_id IS NULL").count() == 2
+
+
+def test_benchmark_blocks_are_written_once_per_text(spark, given):
+    _, docs = given
+    line = " ".join(f"q{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, line)] * 500 + [(2, line + " z"), (3, None)], "item_id long, text string")
+    blocks = decontaminate._blocks(bench, "item_id", "text", 10, 1 << 20)
+    assert len(blocks) == 1 and spark.read.parquet(blocks[0][0]).count() == 3  # 500 repeats are one row
+    many = decontaminate._blocks(bench.limit(0).unionByName(bench), "item_id", "text", 10, 64)
+    assert len(many) > 3  # some blocks hold nothing
+    text = spark.createDataFrame([(7, "a " + line + " b")], "doc_id long, text string")
+    for size in (1 << 20, 64):
+        r = decontaminate.contamination(text, bench, block_bytes=size).collect()
+        assert [(x.n_words, x.n_hit, x.n_items, x.longest) for x in r] == [(14, 12, 2, 12)]
+    with pytest.raises(ValueError):
+        decontaminate.contamination(text, bench, window=17)

@@ -89,15 +89,18 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     """(source, lang, topic, tokens, weight): fitted shares of the whole.
     ``cells`` holds source, lang, topic, tokens."""
     cells = staged(cells, "cells")
-    goal = {d: staged(_targets(cells, d, (targets or {}).get(d), temper), f"target-{d}") for d in DIMS}
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for d in DIMS:
+        goal = staged(_targets(cells, d, (targets or {}).get(d), temper), f"target-{d}")
+        now = now.join(goal.toDF(f"v_{d}", f"target_{d}"), F.col(d).eqNullSafe(F.col(f"v_{d}"))).drop(f"v_{d}")
+    now = staged(now, "targets")
     for sweep in range(sweeps):
+        # one join per plan: a plan that goes on from the last one reads it twice
         for d in DIMS:
-            have = now.groupBy(F.col(d).alias("v")).agg(F.sum("weight").alias("have")) \
-                .join(goal[d].withColumnRenamed(d, "w"), F.expr("v <=> w")).select("v", F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(0.0).alias("scale"))
-            now = now.join(have, F.col(d).eqNullSafe(F.col("v"))).select(*DIMS, "tokens", (F.col("weight") * F.col("scale")).alias("weight"))
-        now = staged(now, f"rake-{sweep}")
-    return now
+            have = now.groupBy(F.col(d).alias("v")).agg(F.sum("weight").alias("have"))
+            scale = F.when(F.col("have") > 0, F.col(f"target_{d}") / F.col("have")).otherwise(0.0)
+            now = staged(now.join(have, F.col(d).eqNullSafe(F.col("v"))).withColumn("weight", F.col("weight") * scale).drop("v", "have"), f"rake-{sweep}-{d}")
+    return now.select(*DIMS, "tokens", "weight")
 
 
 def probabilities(cells: DataFrame, budget: float) -> DataFrame:

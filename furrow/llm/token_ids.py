@@ -72,13 +72,18 @@ _BYTE_LETTERS = _byte_letters()
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 #: letters, one mark, a line end, letters, one mark: each a unit of the splitting pattern
 _SIMPLE = rf"^(?P<a>{_LETTERS})(?P<b>[.,;:!?]?)(?:(?P<c>\n)(?P<d>{_LETTERS})(?P<e>[.,;:!?]?))?$"
+#: white space, which no word that is kept opens with
+_BARE = "\n"
+#: words that are given to the library as one text
+JOIN_WORDS = 300
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, with a bounded cache of
     units: a stem with the space before it serves all words made of it, a mark
-    and a line end.  Units that were not met for longest leave the cache."""
+    and a line end.  Units that were not met for longest leave the cache.  A
+    unit without a space before it is kept under its name behind ``_BARE``."""
 
     def __init__(self, path: str, special_as_text: bool = False):
         import os
@@ -124,10 +129,24 @@ class Encoder:
     def _stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, their number per stem) of stems with a space before each."""
         if not self.in_a_row:
-            return _rows([self._unit(u) for u in stems])
-        ids = np.array([i for k in range(0, len(stems), 64) for i in self._unit("".join(stems[k:k + 64]))], np.int32)
+            return _rows([self._unit(" " + u) for u in stems])
+        ids = np.array([i for k in range(0, len(stems), 64) for i in self._unit(" " + " ".join(stems[k:k + 64]))], np.int32)
         return ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
 
+    def _bare(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, their number per unit) of units kept without a space before them."""
+        return _rows([self._unit(u.removeprefix(_BARE)) for u in units])
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, their number per word) of words with a space before
+        each: many make one text, whose ids are cut where one opens with a
+        space.  If that finds other than one cut per word, each is a text."""
+        ids, _ = _rows(self._whole([" " + " ".join(words[k:k + JOIN_WORDS]) for k in range(0, len(words), JOIN_WORDS)]))
+        cuts = np.flatnonzero(self.opens[ids])
+        if len(cuts) != len(words) or len(cuts) and cuts[0]:
+            return _rows(self._whole([" " + w for w in words]))
+        return ids, np.diff(np.append(cuts, len(ids)))
+
     def _find(self, units: list[str], learn) -> np.ndarray:
         """Places of distinct units in the cache; ``learn`` encodes new ones, in
         slices, so that its lists of Python numbers stay small."""
@@ -166,16 +185,16 @@ class Encoder:
         match = match.filter(pa.array(simple))
         for k, field in enumerate("abcde"):
             coded = pc.fill_null(match.field(field), "").dictionary_encode()
-            units = coded.dictionary.to_pylist()
-            found = self._find([" " + u for u in units], self._stems) if k == 0 else np.full(len(units), -1, np.int64)
+            units = _strings(coded.dictionary)
+            found = self._find(units, self._stems) if k == 0 else np.full(len(units), -1, np.int64)
             if k and (some := [i for i, u in enumerate(units) if u]):
-                found[some] = self._find([units[i] for i in some], lambda new: _rows([self._unit(u) for u in new]))
+                found[some] = self._find([_BARE + units[i] for i in some], self._bare)
             at[simple, k] = found[coded.indices.to_numpy()]
         rest = np.flatnonzero(~simple)
-        words = distinct.take(pa.array(rest)).to_pylist()
+        words = _strings(distinct.take(pa.array(rest)))
         odd[rest] = [not w or w[0].isspace() or w[-1].isspace() for w in words]
         whole = np.flatnonzero(~odd[rest])
-        at[rest[whole], 0] = self._find([" " + words[i] for i in whole.tolist()], lambda new: _rows(self._whole(new)))
+        at[rest[whole], 0] = self._find([words[i] for i in whole.tolist()], self._words)
         return at, odd
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -191,24 +210,27 @@ class Encoder:
         coded = words.flatten().dictionary_encode()
         code = coded.indices.to_numpy()
         at, odd = self._pieces(coded.dictionary)
-        # the ids of every distinct word in a row, from those of its units
-        sizes = np.where(at >= 0, self.len[at], 0)
-        flat = self.flat[ranges(self.start[at].ravel(), sizes.ravel())]
-        size = sizes.sum(axis=1)
-        place = np.cumsum(size) - size
-        lens, starts = size[code], place[code]
+        # the ids of every distinct word, from those of its units
+        here = at >= 0
+        units = at[here]
+        size = np.zeros(at.shape, np.int64)
+        size[here] = self.len[units]
+        flat = self.flat[ranges(self.start[units], self.len[units])]
         odd = np.flatnonzero(odd)
         odd = np.unique(np.searchsorted(ends, np.flatnonzero(np.isin(code, odd)), side="right")) if len(odd) else odd
         # a text's first word has no space before it; the texts marked odd are
-        # encoded on their own: both point behind the ids of words
+        # encoded on their own: both stand behind the ids of words, then an empty list
         extra = self._whole(coded.dictionary.take(pa.array(code[begin])).to_pylist())
+        pick = code.copy()
+        pick[begin] = len(at) + np.arange(len(texts))
         for i in odd.tolist():
             extra[i] = self._careful(texts[i].as_py())
-            lens[begin[i]:ends[i]] = 0
-        more, lens[begin] = _rows(extra)
-        starts[begin] = len(flat) + np.cumsum(lens[begin]) - lens[begin]
-        total = np.concatenate([[0], np.cumsum(lens)])
-        return np.concatenate([flat, more])[ranges(starts, lens)], total[ends] - total[begin]
+            pick[begin[i] + 1:ends[i]] = len(at) + len(texts)
+        more, lens = _rows(extra)
+        cuts = np.cumsum(np.concatenate([[0], size.sum(axis=1), lens, [0]]))
+        out = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(np.concatenate([flat, more]))).take(pa.array(pick))
+        total = np.concatenate([[0], np.cumsum(pc.list_value_length(out).to_numpy().astype(np.int64))])
+        return out.flatten().to_numpy(), total[ends] - total[begin]
 
     def _careful(self, text: str) -> list[int]:
         """Cut only at a single space between two non-spaces."""
@@ -218,6 +240,11 @@ class Encoder:
         return [i for ids in self._whole([parts[0], *(" " + p for p in parts[1:])]) for i in ids]
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """``to_pylist`` of strings without nulls, converted as a whole."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _rows(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(all numbers in a row, their number per list)."""
     lens = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -270,9 +297,9 @@ def _values(data: bytes, n: int) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1, np.int64)
-    for b in batches:
-        for data, n in zip(b.column("ids"), b.column("n_tokens").to_pylist()):
-            c = np.bincount(_values(data.as_buffer(), n))
+    for whole in batches:
+        for b in sub_batches(whole, "ids", 2 * BLOCK_TOKENS):
+            c = np.bincount(np.concatenate([_values(x.as_buffer(), n) for x, n in zip(b.column("ids"), b.column("n_tokens").to_pylist())]))
             if len(c) > len(total):
                 total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
             total[:len(c)] += c
